@@ -1,6 +1,6 @@
 """Importing this package registers every query."""
 
-from metricloom.plans import catalog_profile  # noqa: F401
+from metricloom.plans import catalog_process, catalog_profile  # noqa: F401
 from metricloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
