@@ -1,6 +1,11 @@
 """Importing this package registers every query."""
 
-from metricloom.plans import catalog_process, catalog_profile  # noqa: F401
+from metricloom.plans import (  # noqa: F401
+    catalog_metrics,
+    catalog_process,
+    catalog_profile,
+    catalog_stats,
+)
 from metricloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
