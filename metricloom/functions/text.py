@@ -49,7 +49,7 @@ def fold(text: Column) -> Column:
 
 
 def accented(text: Column) -> Column:
-    return text.rlike(f"[{_ACCENTED}\\p{{Mn}}]")
+    return (F.translate(text, _ACCENTED, _PLAIN) != text) | text.rlike(r"\p{Mn}")
 
 
 def slug(text: Column) -> Column:

@@ -67,6 +67,12 @@ def refusals(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(clean, REFUSAL_SCHEMA)
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Put the columns of several one-row aggregates into one row (no join involved)."""
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return together.agg(*[F.first(c, ignorenulls=True).alias(c) for c in together.columns])
+
+
 class Outcome:
     """Metrics and what was refused, as two tables."""
 

@@ -224,7 +224,7 @@ def shortlist(metrics: DataFrame, wanted: Sequence[str] = (), budget: int = 40_0
     detail = F.contains(F.col("key"), F.lit(DETAIL))
     kind = F.when(F.col("key") == "rows.total", 0).when(headline & ~detail, 1).when(headline, 2).otherwise(3)
     cost = F.length(F.concat_ws("|", "key", F.col("value").cast("string"), "unit", "source")) + 2
-    ranked = metrics.select("*", F.when(head.isin(list(wanted)), 0).otherwise(1).alias("_asked"), kind.alias("_kind"), cost.cast("bigint").alias("_cost"))
+    ranked = metrics.select("*", F.when(head.isin(list(wanted)), 0).otherwise(1).alias("_asked"), kind.alias("_kind"), cost.cast("bigint").alias("_cost")).cache()
     running = scale.Sequenced(ranked, [], ["_asked", "_kind", "key"]).with_running_sum("_used", "_cost").with_position("_at").rows()
     keep = (F.col("_at") == 1) | (F.col("_used") <= budget)
     shown = running.filter(keep).select(*metrics.columns, F.col("_used").alias("used"))

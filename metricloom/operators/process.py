@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from metricloom import scale
 from metricloom.functions import dates, text
-from metricloom.operators.common import Outcome, metric, metric_rows, refusals, stacked
+from metricloom.operators.common import Outcome, metric, metric_rows, refusals, side_by_side, stacked
 from metricloom.session import materialize
 
 MIN_CASES = 5
@@ -198,7 +198,7 @@ def rework_cases(log: EventLog) -> DataFrame:
     loop_cases = loops.filter(F.col("_next") == F.col(ACTIVITY)).select(CASE).distinct()
     a = per_case.agg(F.count("*").alias("cases"), F.coalesce(F.sum("repeated"), F.lit(0)).alias("repeated_cases"))
     b = loop_cases.agg(F.count("*").alias("self_loop_cases"))
-    return a.join(F.broadcast(b), F.lit(True)).select(  # one row each
+    return side_by_side(a, b).select(
         "cases", "repeated_cases", "self_loop_cases",
         F.round(F.try_divide(100.0 * F.col("repeated_cases"), "cases"), 4).alias("repeated_pct"),
         F.round(F.try_divide(100.0 * F.col("self_loop_cases"), "cases"), 4).alias("self_loop_pct"),
@@ -215,7 +215,7 @@ def durations(log: EventLog) -> DataFrame:
     spans = case_durations(log)
     shares = scale.percentiles(spans, [], "hours", {"median": 0.5, "p95": 0.95})
     rest = spans.agg(F.avg("hours").alias("mean"), F.max("hours").alias("max"))
-    return shares.join(F.broadcast(rest), F.lit(True)).select(  # one row each
+    return side_by_side(shares, rest).select(
         *[F.round(c, 4).alias(f"{c}_hours") for c in ("median", "mean", "p95", "max")]
     )
 
@@ -406,7 +406,7 @@ def segregation_of_duties(log: EventLog, pairs: list[tuple[str, str]]) -> DataFr
         named = hits.orderBy(RESOURCE).limit(3).agg(F.array_sort(F.collect_list(RESOURCE)).alias("culprits"))
         total = hits.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("events"))
         parts.append(
-            total.join(F.broadcast(named), F.lit(True)).select(  # one row each
+            side_by_side(total, named).select(
                 F.lit(f"sod:{a}__vs__{b}").alias("test"), "events", F.array_join("culprits", ", ").alias("culprits")
             )
         )

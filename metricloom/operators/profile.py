@@ -499,7 +499,9 @@ def period_layout(df: DataFrame) -> DataFrame:
     labels = shape.filter(
         F.col("column").isin(others) & ~numeric & (F.col("distinct") / F.col("n") >= LABEL_SHARE)
     ).orderBy(F.desc("distinct"), F.array_position(F.array(*[F.lit(c) for c in others]), F.col("column"))).limit(1)
-    return labels.join(F.broadcast(all_numeric.filter("ok")), F.lit(True)).select(
+    if not all_numeric.first()["ok"]:
+        return spark.createDataFrame([], schema)
+    return labels.select(
         F.col("column").alias("label"), F.array(*[F.lit(p) for p in periods]).alias("periods"), "distinct"
     )
 

@@ -1,10 +1,12 @@
 """Importing this package registers every query."""
 
 from metricloom.plans import (  # noqa: F401
+    catalog_clean,
     catalog_metrics,
     catalog_process,
     catalog_profile,
     catalog_stats,
+    catalog_tables,
 )
 from metricloom.plans.registry import ORACLES, QUERIES
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metricloom.operators import metrics
+from metricloom.operators.common import side_by_side
 from metricloom.operators.profile import value_table
 from metricloom.plans.registry import cells_sql, number_sql, query
 
@@ -160,7 +161,7 @@ def _(t):
 @query("agg20_shortlist_budget")
 def _(t):
     shown, note = metrics.shortlist(order_metrics(t), ["o_orderstatus"], budget=900)
-    return note.join(F.broadcast(shown.agg(F.max("used").alias("used"))), F.lit(True))
+    return side_by_side(note, shown.agg(F.max("used").alias("used")))
 
 
 @query(
