@@ -28,25 +28,30 @@ PERIOD_LABEL = r"^\d{4}(-(Q[1-4]|\d{2}))?$"
 # Fixed pattern: a cell that looks like a date.
 DATE_LIKE = r"^\s*\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}([ T]\d{1,2}:\d{2})?\s*$"
 
-_OFFSET = r"(?:[zZ]|[+-]\d{2}:?\d{2})$"
+_OFFSET = r"(?:[zZ]|[+-]\d{2}:?\d{2})"
 
-#: Formats tried in turn by :func:`parse_mixed`; month comes before day, as is usual for mixed input.
+#: Accepted ways of writing a moment, each with the pattern that recognises it. Only the
+#: matching format is parsed: a failed parse is far more expensive than a pattern test.
+#: Month comes before day, as is usual for mixed input.
+_TIME = r"\d{1,2}:\d{1,2}"
 MIXED_FORMATS = (
-    "yyyy-M-d",
-    "yyyy-M-d H:m",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy/M/d",
-    "yyyy/M/d H:m:s",
-    "yyyyMMdd",
-    "M/d/yyyy",
-    "M/d/yyyy H:m:s",
-    "M-d-yyyy",
-    "d.M.yyyy",
-    "MMM d, yyyy",
-    "d MMM yyyy",
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}} {_TIME}$", "yyyy-M-d H:m"),
+    (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}} {_TIME}:\d{{1,2}}$", "yyyy-M-d H:m:s"),
+    (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}T{_TIME}$", "yyyy-M-d'T'H:m"),
+    (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}T{_TIME}:\d{{1,2}}$", "yyyy-M-d'T'H:m:s"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}} {_TIME}:\d{{1,2}}$", "yyyy/M/d H:m:s"),
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}} {_TIME}:\d{{1,2}}$", "M/d/yyyy H:m:s"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
 )
+# Full ISO moments with seconds fractions or an offset; the engine's own parser reads them.
+_ISO = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}[ T]{_TIME}(:\d{{1,2}}(\.\d+)?)?\s*({_OFFSET})?$"
 
 
 def period_key(text: Column) -> Column:
@@ -79,15 +84,19 @@ def quarter_start(text: Column) -> Column:
 
 
 def has_offset(text: Column) -> Column:
-    return text.rlike(r"\d" + _OFFSET)
+    return text.rlike(r"\d" + _OFFSET + "$")
 
 
 def parse_mixed(text: Column) -> Column:
     """The moment a cell names, whichever of the accepted formats it uses; null otherwise."""
     bare = F.trim(text)
-    plain = [F.try_to_timestamp(bare, F.lit(f)) for f in MIXED_FORMATS]
-    iso = F.when(bare.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*(" + _OFFSET + ")?"), F.try_to_timestamp(bare))
-    return F.coalesce(iso, *plain)
+    chain = None
+    for pattern, form in MIXED_FORMATS:
+        hit, read = bare.rlike(pattern), F.try_to_timestamp(bare, F.lit(form))
+        chain = F.when(hit, read) if chain is None else chain.when(hit, read)
+    moment = chain.when(bare.rlike(_ISO), F.try_to_timestamp(bare))
+    # Nothing that starts with another character can be a moment: one cheap test for most text.
+    return F.when(bare.rlike(r"^[0-9A-Z]"), moment)
 
 
 def as_moment(column: Column, data_type: T.DataType) -> Column:

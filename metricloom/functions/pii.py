@@ -34,12 +34,16 @@ def pattern(kind: str) -> str:
     return _FLAG + dict(PATTERNS)[kind]
 
 
+def tagged(kind: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+
 def hits(text: Column) -> Column:
     """``array<struct<kind, value>>``. Each pattern takes its text away from the next ones."""
     found, working = [], text
     for kind, regex in PATTERNS:
         matched = F.regexp_extract_all(working, F.lit(_FLAG + regex), F.lit(0))
-        found.append(F.transform(matched, lambda v, k=kind: F.struct(F.lit(k).alias("kind"), v.alias("value"))))
+        found.append(tagged(kind, matched))
         working = F.regexp_replace(working, _FLAG + regex, "  ")
     return F.concat(*found)
 

@@ -7,6 +7,7 @@ from metricloom.plans import (  # noqa: F401
     catalog_profile,
     catalog_stats,
     catalog_tables,
+    catalog_text,
 )
 from metricloom.plans.registry import ORACLES, QUERIES
 

@@ -8,6 +8,7 @@ from metricloom.operators import metrics
 from metricloom.operators.common import side_by_side
 from metricloom.operators.profile import value_table
 from metricloom.plans.registry import cells_sql, number_sql, query
+from metricloom.session import materialize
 
 N = number_sql("value")
 LINE_NUMBERS = ["l_discount", "l_extendedprice", "l_linenumber", "l_quantity", "l_tax"]
@@ -107,9 +108,10 @@ def _(t):
 
 
 def order_metrics(t):
-    return metrics.compute_metrics(
+    """The metric set of orders, stored once: the queries below read it several times."""
+    return materialize(metrics.compute_metrics(
         t.orders.select("o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), ["o_orderstatus", "o_orderpriority"], ["o_totalprice"]
-    )
+    ))
 
 
 ORDER_METRICS = f"""cells AS {cells_sql("orders", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])},
