@@ -5,6 +5,7 @@ from metricloom.plans import (  # noqa: F401
     catalog_metrics,
     catalog_process,
     catalog_profile,
+    catalog_sources,
     catalog_stats,
     catalog_tables,
     catalog_text,

@@ -173,7 +173,7 @@ def _(t):
 @query(
     "pii2_email_tokens",
     r"""WITH h AS (SELECT doc_id, regexp_extract_all(text, '\b[a-zA-Z0-9_.%+-]+@[a-zA-Z0-9_.-]+\.[A-Za-z]{2,}\b') AS v FROM documents),
-    e AS (SELECT doc_id, unnest(range(len(v))) AS at, unnest(v) AS value FROM h), f AS (SELECT value, min((doc_id, at)) AS first FROM e GROUP BY 1)
+    e AS (SELECT doc_id, unnest(range(len(v))) AS place, unnest(v) AS value FROM h), f AS (SELECT value, min((doc_id, place)) AS first FROM e GROUP BY 1)
     SELECT value, '<EMAIL_' || row_number() OVER (ORDER BY first) || '>' AS token FROM f""",
 )
 def _(t):
