@@ -34,6 +34,25 @@ def pattern(kind: str) -> str:
     return _FLAG + dict(PATTERNS)[kind]
 
 
+# What a text must contain before a pattern is worth running: cheap tests that skip most texts.
+_DIGITS = r"\p{Nd}(?:[ .-]?\p{Nd}){7}"
+
+
+def worth(kind: str, text: Column) -> Column:
+    return F.contains(text, F.lit("@")) if kind == "EMAIL" else text.rlike(_DIGITS)
+
+
+def extract(kind: str, text: Column) -> Column:
+    """All matches of one kind."""
+    found = F.regexp_extract_all(text, F.lit(pattern(kind)), F.lit(0))
+    return F.when(worth(kind, text), found).otherwise(F.array().cast("array<string>"))
+
+
+def take_out(kind: str, text: Column, mark: str = "  ") -> Column:
+    """The text with every match of one kind replaced; two blanks never join digits of different numbers."""
+    return F.when(worth(kind, text), F.regexp_replace(text, pattern(kind), mark)).otherwise(text)
+
+
 def tagged(kind: str, values: Column) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
@@ -41,19 +60,18 @@ def tagged(kind: str, values: Column) -> Column:
 def hits(text: Column) -> Column:
     """``array<struct<kind, value>>``. Each pattern takes its text away from the next ones."""
     found, working = [], text
-    for kind, regex in PATTERNS:
-        matched = F.regexp_extract_all(working, F.lit(_FLAG + regex), F.lit(0))
-        found.append(tagged(kind, matched))
-        working = F.regexp_replace(working, _FLAG + regex, "  ")
+    for kind, _ in PATTERNS:
+        found.append(tagged(kind, extract(kind, working)))
+        working = take_out(kind, working)
     return F.concat(*found)
 
 
 def kinds(text: Column) -> dict[str, Column]:
     """One boolean per kind, with the same order of claims as :func:`hits`."""
     found, working = {}, text
-    for kind, regex in PATTERNS:
-        found[kind] = working.rlike(_FLAG + regex)
-        working = F.regexp_replace(working, _FLAG + regex, "  ")
+    for kind, _ in PATTERNS:
+        found[kind] = worth(kind, working) & working.rlike(pattern(kind))
+        working = take_out(kind, working)
     return found
 
 

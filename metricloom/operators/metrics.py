@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from metricloom.operators.profile import _as_text, _quoted, _types, numeric_colu
 TOP_CATEGORIES = 20
 MAX_BREAKDOWNS = 2000
 MIN_GROUP_ROWS = 5
+WIDE = 32  # measures from which matrix products beat one aggregate per measure
 
 # Parts of a key that mark a headline statistic.
 HEADLINE = ("rows.total", ".mean", ".median", ".share_pct", ".count", ".corr.", ".r2.", ".p_value", ".eta_sq", ".f_stat")
@@ -44,18 +47,21 @@ def column_metrics(counts: DataFrame) -> DataFrame:
     ])
 
 
-def _readings(counts: DataFrame) -> DataFrame:
-    return counts.withColumn("x", numbers.to_double(F.col("value"))).filter(F.col("x").isNotNull())
+def summary_metrics(df: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """``sum, mean, median, min, max`` of numeric columns, read as they are stored (unreadable cells ignored).
 
-
-def summary_metrics(counts: DataFrame) -> DataFrame:
-    """``sum, mean, median, min, max`` of the columns in a value table (unreadable cells ignored)."""
-    read = _readings(counts)
-    shape = read.groupBy("column").agg(
-        F.sum(F.col("x") * F.col("n")).alias("sum"), F.sum("n").alias("_n"), F.min("x").alias("min"), F.max("x").alias("max")
-    ).withColumn("mean", F.col("sum") / F.col("_n"))
-    medians = scale.percentiles(read, ["column"], "x", {"median": 0.5}, weight="n")
-    shape = shape.join(F.broadcast(medians), "column")  # one row per column
+    One pass in long form, so the plan does not grow with the number of columns. When the
+    table is too long for a task to hold all values of a column, medians take the split way.
+    """
+    measures, kinds = list(measures), _types(df)
+    entries = F.array(*[F.struct(F.lit(m).alias("column"), numbers.numeric(_quoted(m), kinds[m]).alias("x")) for m in measures])
+    long = df.select(F.explode(entries).alias("e")).select("e.column", "e.x").filter("x IS NOT NULL")
+    short = df.count() <= scale.group_limit(df)
+    each = [F.sum("x").alias("sum"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max")]
+    shape = long.groupBy("column").agg(*each, *([F.median("x").alias("median")] if short else []))
+    if not short:
+        medians = scale.percentiles(long, ["column"], "x", {"median": 0.5}, split=True)
+        shape = shape.join(F.broadcast(medians), "column")  # one row per column
     name = F.col("column")
     return metric_rows(shape, [
         metric(F.concat(name, F.lit(f".{s}")), F.col(s), measure=name, stat=s, source=name)
@@ -106,42 +112,84 @@ def _kept_values(df: DataFrame, dimensions: Sequence[str], counts: DataFrame, to
     return found
 
 
+def _means_by_expand(df: DataFrame, kept: dict[str, list[str]], measures: list[str]) -> DataFrame:
+    """``d, r, j, mean``: each row is repeated once per dimension with a kept value."""
+    kinds = _types(df)
+    entries = [F.when(_place(df, dim, values) > 0, F.struct(F.lit(i).alias("d"), _place(df, dim, values).alias("r"))) for i, (dim, values) in enumerate(kept.items())]
+    spread = df.select(
+        F.explode(F.array_compact(F.array(*entries))).alias("g"),
+        *[numbers.numeric(_quoted(m), kinds[m]).alias(f"m{j}") for j, m in enumerate(measures)],
+    )
+    grouped = spread.groupBy("g.d", "g.r").agg(*[F.avg(f"m{j}").alias(f"m{j}") for j in range(len(measures))])
+    cells = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"m{j}").alias("mean")) for j in range(len(measures))])
+    return grouped.select("d", "r", F.explode(cells).alias("c")).select("d", "r", "c.j", "c.mean")
+
+
+def _means_by_product(df: DataFrame, kept: dict[str, list[str]], measures: list[str]) -> DataFrame:
+    """The same for wide tables: per Arrow batch one matrix product of group indicators and
+    measures per dimension; a task emits a single block of partial sums."""
+    kinds = _types(df)
+    sizes = [len(v) for v in kept.values()]
+    coded = df.select(
+        *[_place(df, dim, values).alias(f"c{i}") for i, (dim, values) in enumerate(kept.items())],
+        *[numbers.numeric(_quoted(m), kinds[m]).alias(f"m{j}") for j, m in enumerate(measures)],
+    )
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((k, len(measures))) for k in sizes]
+        counts = [np.zeros((k, len(measures))) for k in sizes]
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+            x = np.column_stack(columns[len(sizes):])
+            seen = ~np.isnan(x)
+            x = np.where(seen, x, 0.0)
+            for i, k in enumerate(sizes):
+                hit = (columns[i][:, None] == np.arange(1, k + 1)).astype(float)
+                sums[i] += hit.T @ x
+                counts[i] += hit.T @ seen
+        for i, k in enumerate(sizes):
+            r, j = np.nonzero(counts[i])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(r), i), pa.int32()), pa.array(r + 1, pa.int32()), pa.array(j, pa.int32()), pa.array(sums[i][r, j]), pa.array(counts[i][r, j])],
+                names=["d", "r", "j", "s", "n"],
+            )
+
+    blocks = coded.mapInArrow(partial, "d int, r int, j int, s double, n double")
+    return blocks.groupBy("d", "r", "j").agg((F.sum("s") / F.sum("n")).alias("mean"))
+
+
+def _place(df: DataFrame, dim: str, values: list[str]) -> Column:
+    """The rank of a row's category among the kept ones, 0 for the others."""
+    if not values:
+        return F.lit(0)
+    ranks = F.create_map(*[x for i, v in enumerate(values, start=1) for x in (F.lit(v), F.lit(i))])
+    return F.coalesce(F.try_element_at(ranks, _as_text(df, dim)), F.lit(0))
+
+
 def breakdowns(
     df: DataFrame, dimensions: Sequence[str], measures: Sequence[str], *, top: int = TOP_CATEGORIES,
     limit: int = MAX_BREAKDOWNS, counts: DataFrame | None = None,
 ) -> DataFrame:
     """``<measure>.mean.by.<dim>.<value>`` for every kept category, and how many were skipped.
 
-    One pass: each row is repeated once per dimension with a kept value, and all
-    measures are averaged together. Only kept categories reach the aggregation, so its
-    partial result per task is tiny.
+    One pass over the table whatever the number of columns. Only kept categories reach
+    the aggregation, so what a task passes on is bounded by the table's width.
     """
     dimensions, measures = list(dimensions), sorted(measures)
     counts = value_table(df, dimensions) if counts is None else counts
     kept = _kept_values(df, dimensions, counts, top)
-    kinds = _types(df)
-    entries = []
-    for i, dim in enumerate(dimensions):
-        value = _as_text(df, dim)
-        place = F.array_position(F.array(*[F.lit(v) for v in kept[dim]]), value) if kept[dim] else F.lit(0)
-        entries.append(F.when(place > 0, F.struct(F.lit(i).alias("d"), place.cast("int").alias("r"), value.alias("value"))))
-    means = [F.avg(f"_m{j}").alias(f"_m{j}") for j in range(len(measures))]
-    spread = df.select(
-        F.explode(F.array_compact(F.array(*entries))).alias("g"),
-        *[numbers.numeric(_quoted(m), kinds[m]).alias(f"_m{j}") for j, m in enumerate(measures)],
-    )
-    grouped = spread.groupBy("g.d", "g.r", "g.value").agg(*means)
-    cells = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(m).alias("measure"), F.col(f"_m{j}").alias("mean")) for j, m in enumerate(measures)])
-    names = F.array(*[F.lit(d) for d in dimensions])
-    long = grouped.select("d", "r", "value", F.element_at(names, F.col("d") + 1).alias("dim"), F.explode(cells).alias("c"))
-    long = long.select("d", "r", "dim", "value", "c.j", "c.measure", "c.mean").filter("mean IS NOT NULL")
+    means = (_means_by_expand if len(measures) <= WIDE else _means_by_product)(df, kept, measures).filter("mean IS NOT NULL")
+    labels = [(i, r, dim, value) for i, (dim, values) in enumerate(kept.items()) for r, value in enumerate(values, start=1)]
+    named = df.sparkSession.createDataFrame(labels, "d int, r int, dim string, value string")  # top x dimensions rows
+    measure_of = F.array(*[F.lit(m) for m in measures])
+    long = means.join(F.broadcast(named), ["d", "r"]).withColumn("measure", F.element_at(measure_of, F.col("j") + 1))
     # At most (dimensions x top x measures) cells, all aggregated: numbering them in one task is safe.
     placed = long.withColumn("_at", F.row_number().over(Window.orderBy("d", "r", "j")))
     key = F.concat("measure", F.lit(".mean.by."), "dim", F.lit("."), text.slug(F.col("value")))
     shown = metric_rows(placed.filter(F.col("_at") <= limit), [
         metric(key, F.col("mean"), measure=F.col("measure"), stat="mean", dim=F.col("dim"), grp=F.col("value"), source=F.concat_ws(" by ", "measure", "dim")),
     ])
-    left_out = metric_rows(placed.agg(F.count_if(F.col("_at") > limit).alias("n")).filter("n > 0"), [
+    left_out = metric_rows(long.agg((F.count("*") - limit).alias("n")).filter("n > 0"), [
         metric("breakdowns_omitted", F.col("n"), measure="breakdowns", stat="omitted", unit="metric", source="limit"),
     ])
     return shown.unionByName(left_out)
@@ -188,7 +236,7 @@ def compute_metrics(df: DataFrame, dimensions: Sequence[str] = (), measures: Seq
     of_dimensions = counts.filter(F.col("column").isin(dimensions))
     parts = [row_total(df), column_metrics(counts)]
     if numeric:
-        parts += [summary_metrics(of_numbers), flag_metrics(of_numbers)]
+        parts += [summary_metrics(df, numeric), flag_metrics(of_numbers)]
     if dimensions:
         parts.append(category_metrics(of_dimensions))
         if numeric:

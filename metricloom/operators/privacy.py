@@ -36,10 +36,8 @@ def _masking_hits(source: Column, kinds: Sequence[str]) -> tuple[Column, Column]
     """Hits in masking order, and the text with each hit replaced by a marker of its kind."""
     found, working = [], source
     for kind in kinds:
-        regex = pii.pattern(kind)
-        matched = F.regexp_extract_all(working, F.lit(regex), F.lit(0))
-        found.append(pii.tagged(kind, matched))
-        working = F.regexp_replace(working, regex, f"\u0001{kind}\u0002")
+        found.append(pii.tagged(kind, pii.extract(kind, working)))
+        working = pii.take_out(kind, working, f"\u0001{kind}\u0002")
     return F.concat(*found), working
 
 

@@ -8,7 +8,7 @@ Phrases and figures never cross from one text into the next.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,20 +47,42 @@ def tokens(source: Column) -> Column:
 
 
 def _is_figure(token: Column) -> Column:
-    return token.rlike(r"^-?\d")
+    """Tokens are words or figures, and only words start with a letter."""
+    return token < "a"
 
 
 def _is_content(token: Column) -> Column:
-    return (F.length(token) >= MIN_CHARS) & ~_is_figure(token) & ~token.isin(STOPWORDS)
+    return (token >= "a") & (F.length(token) >= MIN_CHARS) & ~token.isin(STOPWORDS)
+
+
+def _near(pos: Column, figures: Column, flags: Column) -> Column:
+    """Whether a figure lies within reach: few figures are compared, many are looked up around the position."""
+    start = F.greatest(pos - REACH, F.lit(0))
+    around = F.slice(flags, start + 1, pos + REACH + 1 - start)
+    few = F.exists(figures, lambda f: (f >= pos - REACH) & (f <= pos + REACH))
+    return F.when(F.size(figures) == 0, F.lit(False)).when(F.size(figures) <= 2 * REACH + 1, few).otherwise(F.exists(around, lambda x: x))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, even where the body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _read_text(tok: Column) -> Column:
+    """``struct(tok, subject)``: the tokens, and the content words as (pos, term, near)."""
+    words = F.filter(F.transform(tok, lambda t, i: F.struct(i.cast("int").alias("pos"), t.alias("term"))), lambda s: _is_content(s["term"]))
+    positions = F.filter(F.transform(tok, lambda t, i: F.when(_is_figure(t), i)), lambda i: i.isNotNull())
+    figures = F.struct(positions.alias("at"), F.transform(tok, _is_figure).alias("flags"))
+    subject = _let(figures, lambda f: F.transform(words, lambda s: F.struct(
+        s["pos"].alias("pos"), s["term"].alias("term"), _near(s["pos"], f["at"], f["flags"]).alias("near"))))
+    return F.struct(tok.alias("tok"), subject.alias("subject"))
 
 
 def _prepared(df: DataFrame, place: str, source: str) -> DataFrame:
-    """``place, tok, has_figures, subject``: the tokens of each text and its content words with positions."""
-    lead = df.filter(F.col(source).isNotNull()).select(F.col(place).alias("place"), tokens(F.col(source)).alias("tok"))
-    placed = F.transform("tok", lambda t, i: F.struct(i.cast("int").alias("pos"), t.alias("term")))
-    return lead.withColumn("has_figures", F.exists("tok", _is_figure)).withColumn(
-        "subject", F.filter(placed, lambda s: _is_content(s["term"]))
-    )
+    """``place, tok, subject``. Everything about neighbours is settled inside the row, so that
+    what is exploded later never drags the whole text along."""
+    read_once = df.filter(F.col(source).isNotNull()).select(F.col(place).alias("place"), _let(tokens(F.col(source)), _read_text).alias("t"))
+    return read_once.select("place", "t.tok", "t.subject")
 
 
 def _around(tok: Column, pos: Column) -> Column:
@@ -74,31 +96,29 @@ def word_positions(df: DataFrame, place: str, source: str) -> DataFrame:
     return _prepared(df, place, source).select("place", F.explode("subject").alias("s")).select("place", "s.pos", "s.term")
 
 
-def _with_figure(pos: Column) -> Column:
-    return F.when(F.col("has_figures"), F.exists(_around(F.col("tok"), pos), _is_figure)).otherwise(F.lit(False))
-
-
 def word_counts(df: DataFrame, place: str, source: str) -> DataFrame:
     """``term, count, near_figure`` of every content word."""
-    found = _prepared(df, place, source).select("tok", "has_figures", F.explode("subject").alias("s"))
-    return found.select(F.col("s.term").alias("term"), _with_figure(F.col("s.pos")).alias("near")).groupBy("term").agg(
-        F.count("*").alias("count"), F.max("near").alias("near_figure")
-    )
+    found = _prepared(df, place, source).select(F.explode("subject").alias("s"))
+    return found.groupBy(F.col("s.term").alias("term")).agg(F.count("*").alias("count"), F.max("s.near").alias("near_figure"))
 
 
 def _pairs(subject: Column) -> Column:
     """Adjacent content words of one text, at the position of the left one."""
-    n = F.size(subject)
-    left, right = F.slice(subject, 1, F.greatest(n - 1, F.lit(0))), F.slice(subject, 2, F.greatest(n - 1, F.lit(0)))
+    return _let(subject, _neighbours)
+
+
+def _neighbours(subject: Column) -> Column:
+    n = F.greatest(F.size(subject) - 1, F.lit(0))
+    left, right = F.slice(subject, 1, n), F.slice(subject, 2, n)
     both = F.zip_with(left, right, lambda a, b: F.struct(
-        a["pos"].alias("pos"), b["pos"].alias("next"), a["term"].alias("left"), b["term"].alias("right")))
+        a["pos"].alias("pos"), b["pos"].alias("next"), a["term"].alias("left"), b["term"].alias("right"), a["near"].alias("near")))
     return F.filter(both, lambda p: (p["next"] == p["pos"] + 1) & (p["left"] != p["right"]))
 
 
 def phrase_counts(df: DataFrame, place: str, source: str) -> DataFrame:
     """``term, left, right, count, near_figure`` of pairs seen at least twice; of two mirrored orders the rarer goes."""
-    found = _prepared(df, place, source).select("tok", "has_figures", F.explode(_pairs(F.col("subject"))).alias("p"))
-    flagged = found.select(F.col("p.left").alias("left"), F.col("p.right").alias("right"), _with_figure(F.col("p.pos")).alias("near"))
+    found = _prepared(df, place, source).select(F.explode(_pairs(F.col("subject"))).alias("p"))
+    flagged = found.select("p.left", "p.right", "p.near")
     counted = flagged.groupBy("left", "right").agg(F.count("*").alias("count"), F.max("near").alias("near_figure"))
     # Both orders of a pair meet on (smaller, larger): at most two rows per group.
     pair = counted.groupBy(F.least("left", "right").alias("_a"), F.greatest("left", "right").alias("_b")).agg(
@@ -170,12 +190,18 @@ def _occurrences(df: DataFrame, place: str, source: str, chosen: Sequence[str])
     words = F.transform("subject", lambda s: F.struct(s["term"].alias("term"), s["pos"].alias("pos")))
     pairs = F.transform(_pairs(F.col("subject")), lambda p: F.struct(F.concat_ws(" ", p["left"], p["right"]).alias("term"), p["pos"].alias("pos")))
     wanted = F.filter(F.concat(words, pairs), lambda o: o["term"].isin(list(chosen)))
-    found = prepared.withColumn("hits", wanted).filter(F.size("hits") > 0)
-    each = found.select("place", "tok", "has_figures", "hits", F.explode(F.array_distinct(F.transform("hits", lambda o: o["term"]))).alias("term"))
-    at = F.filter("hits", lambda o: o["term"] == F.col("term"))
-    near = F.flatten(F.transform(at, lambda o: F.filter(_around(F.col("tok"), o["pos"]), _is_figure)))
-    numbers = F.when(F.col("has_figures"), F.array_distinct(near)).otherwise(F.array().cast("array<string>"))
-    return each.select("place", "term", F.size(at).alias("times"), numbers.alias("numbers"))
+    found = prepared.select("place", "tok", wanted.alias("hits")).filter(F.size("hits") > 0)
+
+    def gathered(row: Column, term: Column) -> Column:
+        at = F.filter(row["hits"], lambda o: o["term"] == term)
+        near = F.flatten(F.transform(at, lambda o: F.filter(_around(row["tok"], o["pos"]), _is_figure)))
+        return F.struct(term.alias("term"), F.size(at).alias("times"), F.array_distinct(near).alias("numbers"))
+
+    each = _let(
+        F.struct(F.col("tok").alias("tok"), F.col("hits").alias("hits")),
+        lambda row: F.transform(F.array_distinct(F.transform(row["hits"], lambda o: o["term"])), lambda term: gathered(row, term)),
+    )
+    return found.select("place", F.explode(each).alias("o")).select("place", "o.term", "o.times", "o.numbers")
 
 
 def mentions(df: DataFrame, place: str, source: str, chosen: Sequence[str], limit: int = MAX_MENTIONS) -> DataFrame:

@@ -44,7 +44,7 @@ def _(t):
       SELECT "column", unnest(['sum', 'mean', 'median', 'min', 'max']) AS s, unnest([sum(x), avg(x), median(x), min(x), max(x)]) AS v FROM x GROUP BY 1)""",
 )
 def _(t):
-    return metrics.summary_metrics(value_table(t.lineitem, LINE_NUMBERS)).select("key", "value")
+    return metrics.summary_metrics(t.lineitem, LINE_NUMBERS).select("key", "value")
 
 
 @query(
