@@ -36,10 +36,6 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counted.agg(F.max("count")).first()[0] or 0
 
 
-def _same_key(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
-
-
 class Sequenced:
     """Rows of each key in a total order.
 
@@ -68,10 +64,9 @@ class Sequenced:
         """Attach one row per (key, block). Only keys that continue past a block are
         kept, so the joined side never has more rows than there are blocks."""
         names = [*self.keys, BLOCK]
-        return (
-            df.join(F.broadcast(per_block), _same_key(df, per_block, names), "left")
-            .drop(*[per_block[n] for n in names])
-        )
+        renamed = per_block.select(*[F.col(n).alias(f"_r_{n}") for n in names], *[c for c in per_block.columns if c not in names])
+        same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_r_{n}")) for n in names])
+        return df.join(F.broadcast(renamed), same, "left").drop(*[f"_r_{n}" for n in names])
 
     def with_next(self, columns: dict[str, str]) -> "Sequenced":
         """Add, for each ``new: old``, the value of ``old`` in the following row of the key."""
