@@ -51,7 +51,10 @@ def run_sql(sql: str, tables: Mapping[str, DataFrame], args: Mapping | None = No
         df.createOrReplaceGlobalTempView(shared)
         session.table(f"global_temp.{shared}").createOrReplaceTempView(name)
         base.catalog.dropGlobalTempView(shared)
-    return session.sql(sql, args=dict(args) if args else None)
+    result = session.sql(sql, args=dict(args) if args else None)
+    if "Join Cross" in result._jdf.queryExecution().analyzed().toString():
+        raise MartError("cross joins are refused: give the join a condition")
+    return result
 
 
 def build_mart(sql: str, tables: Mapping[str, DataFrame], path: str, *, max_rows: int = MAX_ROWS) -> Mart:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricloom.functions import tails, words
-from metricloom.operators import claims, clean, cohorts, digests, metrics, models, points, privacy, process, profile, stats, textmine, timeline, validate
+from metricloom.operators import claims, clean, cohorts, digests, mart, metrics, models, points, privacy, process, profile, stats, textmine, timeline, validate
 from metricloom.operators.clean import ROW_ID, Rule
 from metricloom.sources import files, markup, xes
 
@@ -252,3 +252,16 @@ def test_profile_ignores_partitioning(spark):
     df = spark.createDataFrame(rows, "id int, a string, b string, c string")
     get = lambda d: sorted(map(str, profile.profile_columns(d, "id").collect()))
     assert get(df) == get(df.orderBy(F.rand(3)).repartition(7))
+
+
+def test_mart_sees_only_granted_tables(spark, tmp_path):
+    a = spark.createDataFrame([(1, 2.0), (2, 3.0)], "k int, v double")
+    a.createOrReplaceTempView("hidden")
+    assert mart.run_sql("SELECT sum(v) AS s FROM t", {"t": a}).first()["s"] == 5.0
+    with pytest.raises(Exception):
+        mart.run_sql("SELECT * FROM hidden", {"t": a}).collect()
+    with pytest.raises(mart.MartError):
+        mart.run_sql("SELECT * FROM t CROSS JOIN u", {"t": a, "u": a})
+    with pytest.raises(mart.MartError):
+        mart.build_mart("SELECT * FROM t", {"t": a}, str(tmp_path / "m"), max_rows=1)
+    assert mart.build_mart("SELECT * FROM t", {"t": a}, str(tmp_path / "n")).rows_out == 2
