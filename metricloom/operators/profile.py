@@ -178,7 +178,7 @@ def pii_flags(df: DataFrame, row_id: str, columns: Sequence[str] | None = None)
 def profile_columns(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """The full profile, one row per column."""
     columns = [c for c in df.columns if c != row_id] if row_id else df.columns
-    counts = value_table(df, columns)
+    counts = value_table(df, columns).cache()  # used by shape, top values and quartiles; spills, and is recomputed if lost
     shape = column_shape(counts)
     numeric = F.col("numeric_share") >= numbers.NUMERIC_SHARE
     common = top_values(counts).groupBy("column").agg(
