@@ -13,7 +13,7 @@ to equal length, which turns the largest product into the smallest angle; rows a
 
 The target of candidates is a share of the rows, not a count, because the recall of a fixed count falls as
 rows grow. On vectors without structure, such as points spread evenly over a sphere, a
-recall of 0.9 needs close to half of the rows.
+recall of 0.9 needs about half of the rows.
 
 Cases: vectors that are null, all zero, or hold a null or a non-finite component take no part, nor do rows with a null id.
 Vectors of another length than the most frequent one take no part. Repeated ids are
@@ -138,8 +138,8 @@ def nearest(
     vector: str = "embedding",
     *,
     top: int = 20,
-    share: float = 0.5,
-    trees: int = 24,
+    share: float = 0.6,
+    trees: int = 48,
     bits: int = 32,
     block_rows: int = 8000,
     query_block_rows: int = 4000,

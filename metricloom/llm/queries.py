@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import language, neighbours, simhash
+from metricloom.llm import language, mixing, neighbours, shards, simhash
 from metricloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,12 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mix(table(spark, folder, "documents", "doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Learned from the rows whose crc32 of the id leaves a remainder other than 1 by 3."""
@@ -29,6 +35,13 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+@query
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Law `bytes`: sizes as near equal as groups of equal texts let them be."""
+    found = shards.assign(table(spark, folder, "documents", "doc_id", "text"), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"), shingle=3)
