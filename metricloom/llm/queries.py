@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import language, mixing, neighbours, shards, simhash
+from metricloom.llm import language, mixing, neighbours, pii, secrets, shards, simhash
+from metricloom.llm import spans as S
 from metricloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,12 +20,29 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents", "doc_id", "text"))
+    kinds = [rule.kind for rule in secrets.BASE]
+    base = F.filter("spans", lambda s: s["place"] < len(kinds))
+    counts = [S.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in kinds]
+    return found.select("doc_id", *counts, F.sha2(S.written(base), 256).alias("base_sha256"), S.written(F.col("spans")).alias("spans"))
+
+
 @query
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.mix(table(spark, folder, "documents", "doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents", "doc_id", "text"))
+    counts = [S.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS[:4]]
+    base, spans = (S.written(S.by_kind(F.col(c))) for c in ("base", "spans"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 @query
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Learned from the rows whose crc32 of the id leaves a remainder other than 1 by 3."""
