@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import language, mixing, neighbours, pii, secrets, shards, simhash
+from metricloom.llm import language, mixing, neighbours, pii, secrets, shards, simhash, substrings
 from metricloom.llm import spans as S
 from metricloom.llm.common import table
 
@@ -29,6 +29,12 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(S.written(base), 256).alias("base_sha256"), S.written(F.col("spans")).alias("spans"))
 
 
+@query
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = substrings.remove_repeats(table(spark, folder, "documents", "doc_id", "text"), window=35)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.mix(table(spark, folder, "documents", "doc_id", "text", "source"))
