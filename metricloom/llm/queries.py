@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import language, mixing, neighbours, pii, secrets, shards, simhash, substrings
+from metricloom.llm import fingerprints, language, mixing, neighbours, pii, secrets, shards, simhash, substrings
 from metricloom.llm import spans as S
 from metricloom.llm.common import table
 
@@ -35,6 +35,11 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, folder, "documents", "doc_id", "text"))
+
+
 @query
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.mix(table(spark, folder, "documents", "doc_id", "text", "source"))
