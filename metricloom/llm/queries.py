@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import fingerprints, language, mixing, neighbours, pii, secrets, shards, simhash, substrings
+from metricloom.llm import fingerprints, language, mixing, neighbours, pieces, pii, secrets, shards, simhash, substrings
 from metricloom.llm import spans as S
 from metricloom.llm.common import table
 
+#: The public merge model that the encoder is asked for.
+PIECE_MODEL = "piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,6 +32,21 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(S.written(base), 256).alias("base_sha256"), S.written(F.col("spans")).alias("spans"))
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECE_MODEL)
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    model = piece_model()
+    found = pieces.encode(table(spark, folder, "documents", "doc_id", "text"), model)
+    again = pieces.decoded(F.col("ids"), model)
+    return found.select("doc_id", F.size("ids").alias("n_ids"), "ids", again.eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     left = substrings.remove_repeats(table(spark, folder, "documents", "doc_id", "text"), window=35)
@@ -74,7 +92,7 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"), shingle=3)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 @query

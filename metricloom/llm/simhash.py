@@ -4,14 +4,18 @@ Fingerprint: lower-case A-Z, take the words, shingle them (``shingle`` words, re
 between; fewer words make one shingle), hash each with XXH64 (seed 42). A bit is set if it is
 set in over half of the hashes. A text without words has fingerprint zero.
 
-Links: equal fingerprints are one node from the start, so copies cost nothing further. Two
-different fingerprints within the budget of three bits agree on one of four 16-bit blocks, and
-on one of four 12-bit blocks of the remaining 48. Each fingerprint is therefore filed under 16
-keys. The fingerprints of a key form a binary trie, kept as ranges of a sorted array; node
-pairs are walked together from the root, differing bits are summed, and a pair of
-nodes is given up when the sum exceeds the budget. What leaves a task is a spanning
-forest of the links, never all pairs. Components of these edges are found by hooking each
-node to its smallest neighbour, shortening paths and contracting, until no edge is left.
+Links: equal fingerprints are one node from the start, so copies cost nothing further. The different ones are filed under
+keys, and the fingerprints of a key form a binary trie, kept as ranges of a sorted array; node pairs are
+walked together from the root, differing bits are summed, and a pair of nodes is given up when the sum
+exceeds the budget. What leaves a task is a spanning forest of the links, never all pairs. Components
+of these edges are found by hooking each node to its smallest neighbour, shortening paths and contracting, until no edge is left.
+
+* ``near_duplicates``: 64 bits, budget 3, exact. Two fingerprints within three bits agree on one of four 16-bit blocks, and on one of four
+  12-bit blocks of the remaining 48, so each is filed under 16 keys.
+* ``keep_one``: similarity of shingle sets. 64 bits cannot tell a similarity of 0.8 from 0.6, so the
+  fingerprint has 512 bits and the budget is the angle that belongs to the similarity plus one
+  standard deviation. A key is a random choice of bits; how many bits follows from the number of fingerprints, and how
+  many keys from the bits, so that a pair at the threshold shares a key with a chance of 0.99 at every size.
 
 Cases: null, empty and blank texts have fingerprint zero and link like any other. Rows with a
 null id are nodes too; a component with no id at all has a null component_id. Repeated rows give repeated result
@@ -20,6 +24,7 @@ rows. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,51 +33,63 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import column, fresh
+from metricloom.llm.common import column, fresh, text_bytes
 from metricloom.session import materialize
 
 BUDGET = 3
 SEED = 42
+#: 64-bit words of the fingerprint that measures similarity, and the chance that a pair at the threshold shares a key.
+WIDE = 8
+RECALL = 0.99
 #: Node pairs that are walked at once, and hashes whose bits are counted at once.
 FRONTIER = 1 << 19
 COUNTED = 1 << 16
 
 
-def fingerprint_of(text: bytes, shingle: int) -> int:
+def fingerprint_of(text: bytes, shingle: int, wide: int = 1) -> bytes:
+    """``wide`` big-endian 64-bit words; the first comes from the hashes themselves, each further one from a mix of them."""
     parts = text.lower().split()
     if not parts:
-        return 0
+        return bytes(8 * wide)
     joined = b" ".join(parts)
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     end = np.cumsum(size + 1) - 1
     start = end - size
-    wide = min(shingle, len(parts))
+    span = min(shingle, len(parts))
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(start[: len(parts) - wide + 1].tolist(), end[wide - 1 :].tolist())]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), COUNTED):
-        some = np.array(hashes[at : at + COUNTED], ">u8")
-        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+    hashes = [digest(joined[a:b], SEED) for a, b in zip(start[: len(parts) - span + 1].tolist(), end[span - 1 :].tolist())]
+    ones = np.zeros(64 * wide, np.int64)
+    for at in range(0, len(hashes), COUNTED // wide):
+        some = np.array(hashes[at : at + COUNTED // wide], np.uint64)
+        all_ = np.stack([some, *(_mixed(some, k) for k in range(1, wide))], axis=1).astype(">u8")
+        ones += np.unpackbits(all_.view(np.uint8).reshape(len(some), -1), axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def fingerprint(text: Column, shingle: int = 5) -> Column:
-    """The 64-bit fingerprint as a signed long."""
+def _mixed(x: np.ndarray, k: int) -> np.ndarray:
+    x = x + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    @F.arrow_udf("bigint")
+
+def fingerprint(text: Column, shingle: int = 5, wide: int = 1) -> Column:
+    """The fingerprint as big-endian bytes."""
+
+    @F.arrow_udf("binary")
     def hashed(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint_of(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in texts], pa.int64())
+        return pa.array([fingerprint_of(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, wide) for t in texts], pa.binary())
 
     return hashed(text)
 
 
 def trie_links(values: np.ndarray, starts: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within ``budget`` bits inside each group of ``values``; groups begin at ``starts``,
-    and the values of a group are distinct and ascending."""
+    """Index pairs within ``budget`` bits inside each group of ``values`` (a row of 64-bit words each); groups begin at
+    ``starts``, and the values of a group are distinct and ascending."""
     ends = np.append(starts[1:], len(values))
     several = ends - starts > 1
     lo, hi = starts[several], ends[several]
-    stack = [(63, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
+    stack = [(0, lo, hi, lo, hi, np.zeros(len(lo), np.int16))]
     while stack:
         bit, a0, a1, b0, b1, diff = stack.pop()
         if len(a0) > FRONTIER:
@@ -83,33 +100,38 @@ def trie_links(values: np.ndarray, starts: np.ndarray, budget: int) -> Iterator[
         leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
         if leaf.any():
             i, j = a0[leaf], b0[leaf]
-            near = (i != j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
-            if near.any():
-                yield i[near], j[near]
+            i, j = i[i != j], j[i != j]
+            total = np.zeros(len(i), np.int16)
+            for w in range(values.shape[1]):
+                total += np.bitwise_count(values[i, w] ^ values[j, w])
+                on = total <= budget
+                if not on.all():
+                    i, j, total = i[on], j[on], total[on]
+            if len(i):
+                yield i, j
             a0, a1, b0, b1, diff = (x[~leaf] for x in (a0, a1, b0, b1, diff))
-        if not len(a0) or bit < 0:
+        if not len(a0) or bit == 64 * values.shape[1]:
             continue
         am, bm = _middle(values, a0, a1, bit), _middle(values, b0, b1, bit)
-        other = a0 != b0
-        kids = [(a0, am, b0, bm, diff, None), (am, a1, bm, b1, diff, None), (a0, am, bm, b1, diff + 1, None), (am, a1, b0, bm, diff + 1, other)]
+        kids = [(a0, am, b0, bm, diff, None), (am, a1, bm, b1, diff, None), (a0, am, bm, b1, diff + 1, None), (am, a1, b0, bm, diff + 1, a0 != b0)]
         parts = []
         for k0, k1, l0, l1, d, only in kids:
             ok = (k1 > k0) & (l1 > l0) & (d <= budget)
             if only is not None:
                 ok &= only
             parts.append([x[ok] for x in (k0, k1, l0, l1, d)])
-        stack.append((bit - 1, *(np.concatenate(x) for x in zip(*parts))))
+        stack.append((bit + 1, *(np.concatenate(x) for x in zip(*parts))))
 
 
 def _middle(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
-    """First index of each range whose value has the bit set; the bits above are equal in a range."""
-    lo, hi = lo.copy(), hi.copy()
+    """First index of each range whose value has the bit set, bit 0 being the highest; the bits before are equal in a range."""
+    lo, hi, column_, shift = lo.copy(), hi.copy(), values[:, bit // 64], np.uint64(63 - bit % 64)
     while True:
         open_ = lo < hi
         if not open_.any():
             return lo
         mid = (lo + hi) >> 1
-        one = (values[np.minimum(mid, len(values) - 1)] >> np.uint64(bit)) & np.uint64(1) == 1
+        one = (column_[np.minimum(mid, len(values) - 1)] >> shift) & np.uint64(1) == 1
         hi = np.where(open_ & one, mid, hi)
         lo = np.where(open_ & ~one, mid + 1, lo)
 
@@ -130,7 +152,7 @@ def _hook(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _forest(key: np.ndarray, value: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((value, key))
+    order = np.lexsort((*value.T[::-1], key))
     key, value = key[order], value[order]
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     parent = np.arange(len(key))
@@ -140,42 +162,85 @@ def _forest(key: np.ndarray, value: np.ndarray, budget: int) -> tuple[np.ndarray
     return value[low], value[parent[low]]
 
 
-def _keys(value: Column) -> Column:
-    """The 16 keys of a fingerprint: one 16-bit block, and one 12-bit block of the rest."""
-    out = []
+def _words(prints: pa.Array) -> np.ndarray:
+    data, offsets = text_bytes(prints)
+    return data.view(">u8").reshape(len(offsets) - 1, -1).astype(np.uint64) if len(data) else np.zeros((0, 1), np.uint64)
+
+
+def _bytes(words: np.ndarray) -> pa.Array:
+    wide = words.shape[1] * 8
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(words), [None, pa.py_buffer(words.astype(">u8").tobytes())]).cast(pa.binary())
+
+
+def _block_keys(words: np.ndarray) -> np.ndarray:
+    """The 16 keys of each 64-bit fingerprint: one 16-bit block, and one 12-bit block of the rest."""
+    value, out = words[:, 0], []
     for i in range(4):
-        block = F.shiftrightunsigned(value, 16 * i).bitwiseAND(F.lit(0xFFFF))
-        low = value.bitwiseAND(F.lit((1 << 16 * i) - 1))
-        rest = low if i == 3 else F.shiftleft(F.shiftrightunsigned(value, 16 * (i + 1)), 16 * i).bitwiseOR(low)
-        for j in range(4):
-            inner = F.shiftrightunsigned(rest, 12 * j).bitwiseAND(F.lit(0xFFF))
-            out.append(F.lit((i * 4 + j) << 28) + block * 4096 + inner)
-    return F.array(*out)
+        block = value >> np.uint64(16 * i) & np.uint64(0xFFFF)
+        low = value & np.uint64((1 << 16 * i) - 1)
+        rest = low if i == 3 else value >> np.uint64(16 * (i + 1)) << np.uint64(16 * i) | low
+        out += [np.uint64((i * 4 + j) << 28) + block * np.uint64(4096) + (rest >> np.uint64(12 * j) & np.uint64(0xFFF)) for j in range(4)]
+    return np.stack(out, axis=1).view(np.int64)
+
+
+def _chosen_keys(bits: int, keys: int, wide: int):
+    """A function for keys of ``bits`` bits chosen at random from the whole fingerprint."""
+    rng = np.random.default_rng(3)
+    chosen = [rng.choice(64 * wide, bits, replace=False) for _ in range(keys)]
+
+    def of(words: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(words), keys), np.int64)
+        for k, some in enumerate(chosen):
+            for b in some.tolist():
+                out[:, k] = out[:, k] << 1 | (words[:, b // 64] >> np.uint64(63 - b % 64) & np.uint64(1)).astype(np.int64)
+            out[:, k] |= k << 40
+        return out
+
+    return of
 
 
-def links(distinct: DataFrame, name: str = "fp", budget: int = BUDGET) -> DataFrame:
-    """Spanning edges ``a > b`` (unsigned) of the links between distinct fingerprints, at most ``budget`` <= 3 bits apart."""
-    filed = distinct.select(F.col(name).alias("fp"), F.explode(_keys(F.col(name))).alias("key"))
-    sorted_ = filed.repartition("key").sortWithinPartitions("key")
+def links(distinct: DataFrame, budget: int = BUDGET, keys_of=_block_keys) -> DataFrame:
+    """Spanning edges ``a, b`` of the links between the distinct fingerprints ``fp`` at most ``budget`` bits apart that share a key."""
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = keys_of(_words(batch.column("fp"))) if batch.num_rows else np.zeros((0, 0), np.int64)
+            for k in range(keys.shape[1]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, k])), batch.column("fp")], ["key", "fp"])
+
+    sorted_ = distinct.select("fp").mapInArrow(file, "key bigint, fp binary").repartition("key").sortWithinPartitions("key")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left_k, left_v = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        left = None
 
         def out(key: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
             a, b = _forest(key, value, budget)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([_bytes(a), _bytes(b)], ["a", "b"])
 
         for batch in batches:
-            key = np.concatenate((left_k, batch.column("key").to_numpy()))
-            value = np.concatenate((left_v, batch.column("fp").to_numpy().view(np.uint64)))
-            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last key may go on in the next batch
+            if not batch.num_rows:
+                continue
+            key, value = batch.column("key").to_numpy(), _words(batch.column("fp"))
+            if left is not None:
+                key, value = np.concatenate((left[0], key)), np.concatenate((left[1], value))
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             if cut:
                 yield out(key[:cut], value[:cut])
-            left_k, left_v = key[cut:], value[cut:]
-        if len(left_k):
-            yield out(left_k, left_v)
+            left = key[cut:], value[cut:]
+        if left is not None:
+            yield out(*left)
+
+    return sorted_.mapInArrow(walk, "a binary, b binary").distinct()
+
 
-    return sorted_.mapInArrow(walk, "a bigint, b bigint").distinct()
+def similar(distinct: DataFrame, similarity: float, wide: int = WIDE) -> DataFrame:
+    """Spanning edges between fingerprints of ``wide`` words whose shingle sets are about as similar as asked, or more."""
+    part = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi  # of the bits that differ, for sets of equal size
+    bits = max(10, math.ceil(math.log2(max(2, distinct.count()))) - 4)
+    keys = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - part) ** bits)) if part else 1
+    size = 64 * wide
+    budget = int(size * part + math.sqrt(size * part * (1 - part)))
+    return links(distinct, budget, _chosen_keys(bits, keys, wide))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,27 +275,26 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(roots)
 
 
-def _grouped(df: DataFrame, row_id: str, text: str, shingle: int, budget: int) -> DataFrame:
-    """``id, seen, fp, root`` of every row: a hash of its text, its fingerprint, and the fingerprint that names its component."""
-    seen = F.xxhash64(F.coalesce(column(df, text), F.lit("")))
-    prints = materialize(df.select(column(df, row_id).alias("id"), seen.alias("seen"), fingerprint(column(df, text), shingle).alias("fp")))
-    joined = components(links(prints.select("fp").distinct(), "fp", budget)).withColumnRenamed("node", "fp")
-    return prints.join(joined, "fp", "left").select("id", "seen", "fp", F.coalesce("root", "fp").alias("root"))
-
-
 def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", *, shingle: int = 5, budget: int = BUDGET) -> DataFrame:
-    """``row_id, fp, component_id`` for every row: the signed fingerprint and the smallest id reachable over links."""
-    rows = materialize(_grouped(df, row_id, text, shingle, budget))
-    smallest = rows.groupBy("root").agg(F.min("id").alias("component_id"))
+    """``row_id, fp, component_id`` for every row: the 64-bit fingerprint as bytes, and the smallest id reachable over links."""
+    prints = materialize(df.select(column(df, row_id).alias("id"), fingerprint(column(df, text), shingle).alias("fp")))
+    joined = components(links(prints.select("fp").distinct(), budget)).withColumnRenamed("node", "fp")
+    rows = materialize(prints.join(joined, "fp", "left").select("id", "fp", F.coalesce("root", "fp").alias("root")))
+    smallest = materialize(rows.groupBy("root").agg(F.min("id").alias("component_id")))
     return rows.join(smallest, "root").select(F.col("id").alias(row_id), "fp", "component_id")
 
 
-def keep_one(df: DataFrame, row_id: str = "doc_id", text: str = "text", *, shingle: int = 5, budget: int = BUDGET) -> DataFrame:
+def keep_one(df: DataFrame, row_id: str = "doc_id", text: str = "text", *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of ``df``: that of the smallest id, a null id last."""
-    rows = _grouped(df, row_id, text, shingle, budget).groupBy("root", "id", "seen").agg(F.count("*").alias("n"))
+    seen = F.xxhash64(F.coalesce(column(df, text), F.lit("")))
+    prints = materialize(df.select(column(df, row_id).alias("id"), seen.alias("seen"), fingerprint(column(df, text), shingle, WIDE).alias("fp")))
+    nodes = materialize(prints.select("fp").distinct())
+    joined = components(similar(nodes, similarity)).withColumnRenamed("node", "fp")
+    rows = prints.join(joined, "fp", "left").select("id", "seen", F.coalesce("root", "fp").alias("root"))
+    counted = rows.groupBy("root", "id", "seen").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("id").isNull(), "id", "seen", "n")).alias("first")
-    winners = materialize(rows.groupBy("root").agg(first).select("first.id", "first.seen", "first.n"))
-    own = df.withColumn(mark := fresh(df, "seen"), F.xxhash64(F.coalesce(column(df, text), F.lit(""))))
+    winners = materialize(counted.groupBy("root").agg(first).select("first.id", "first.seen", "first.n"))
+    own = df.withColumn(mark := fresh(df, "seen"), seen)
 
     def match(side: DataFrame) -> Column:
         return own[row_id].eqNullSafe(side["id"]) & (own[mark] == side["seen"])
