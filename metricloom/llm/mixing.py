@@ -135,16 +135,18 @@ def mix(
 def take(df: DataFrame, row_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixed table, with the columns of ``df``: a row whose words are taken twice appears twice, one
     of which only a part is taken keeps its first words. Other rows go."""
-    seen, own = fresh(df, "seen"), mix(df, row_id, text, source, **options)
-    shares = own.filter("taken > 0").select(F.col(row_id).alias("_id"), F.col("seen").alias("_seen"), "size", "taken")
-    shares = materialize(shares.groupBy("_id", "_seen", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows")))
+    own = mix(df, row_id, text, source, **options).filter("taken > 0")
+    marks = {c: fresh(df, f"mix_{c}") for c in ("id", "seen", "size", "taken", "rows", "pass")}
+    shares = own.groupBy(F.col(row_id).alias(marks["id"]), F.col("seen").alias(marks["seen"]), F.col("size").alias(marks["size"]))
+    shares = materialize(shares.agg(F.sum("taken").alias(marks["taken"]), F.count("*").alias(marks["rows"])))
+    seen = fresh(df, "seen")
     first = df.withColumn(seen, F.xxhash64(F.coalesce(column(df, text), F.lit(""))))
-    if not shares.filter("rows > 1").isEmpty():  # equal rows are taken together
+    if not shares.filter(F.col(marks["rows"]) > 1).isEmpty():  # equal rows are taken together
         first = first.dropDuplicates([row_id, seen])
-    joined = first.join(shares, first[row_id].eqNullSafe(shares["_id"]) & (first[seen] == shares["_seen"]))
-    passes = F.expr("sequence(1L, cast(ceil(taken / size) as bigint))")
-    copies = joined.withColumn("_pass", F.explode(passes))
-    count = F.least(F.col("size"), F.col("taken") - (F.col("_pass") - 1) * F.col("size")).cast("int")
-    part = F.array_join(F.slice(words(column(copies, text)), F.lit(1), count), " ")
-    out = copies.withColumn(text, F.when(count < F.col("size"), part).otherwise(column(copies, text)))
+    joined = first.join(shares, column(df, row_id).eqNullSafe(F.col(marks["id"])) & (F.col(seen) == F.col(marks["seen"])))
+    size, taken, turn = (F.col(marks[c]) for c in ("size", "taken", "pass"))
+    copies = joined.withColumn(marks["pass"], F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(taken / size))))
+    count = F.least(size, taken - (turn - 1) * size).cast("int")
+    part = F.array_join(F.slice(words(column(df, text)), F.lit(1), count), " ")
+    out = copies.withColumn(text, F.when(count < size, part).otherwise(column(df, text)))
     return out.select(*[column(out, c) for c in df.columns])

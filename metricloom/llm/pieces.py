@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metricloom.llm.common import column, text_bytes
 
@@ -302,8 +303,9 @@ def encoder_of(model_file: str) -> Encoder:
 def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the ids of ``text`` as an array column; a column of that name is replaced."""
     encoder = encoder_of(model_file)
-    plain = df.select(*[column(df, c) for c in df.columns if c != ids])
-    place = plain.columns.index(text)
+    names = [c for c in df.columns if c != ids]
+    place = names.index(text)
+    plain = df.select(*[column(df, c).alias(f"c{k}") for k, c in enumerate(names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Memory(encoder)
@@ -316,11 +318,11 @@ def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids")
                 part = batch.slice(at, to - at)
                 gone = np.array(part.column(place).is_null(), bool)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()), mask=pa.array(gone))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "ids"])
                 at = to
 
-    kinds = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in plain.schema.fields]
-    return plain.mapInArrow(run, ", ".join([*kinds, f"`{ids}` array<int>"]))
+    kinds = T.StructType([*plain.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return plain.mapInArrow(run, kinds).toDF(*names, ids)
 
 
 def decoded(ids: Column, model_file: str) -> Column:
