@@ -98,11 +98,11 @@ def nation_pages(t):
 
 @query(
     "src8_stacked_tables",
-    """SELECT n_regionkey AS page, title || '|' || n_name || '|' || n_nationkey AS cells, 'Bảng|Chỉ tiêu|Key' AS header, 0 AS left_out FROM nation, (VALUES ('Nation'), ('Copy')) v(title)""",
+    """SELECT n_regionkey AS page, title || '|' || n_name || '|' || n_nationkey AS cells, 'Bảng|Chỉ tiêu|Key' AS header FROM nation, (VALUES ('Nation'), ('Copy')) v(title)""",
 )
 def _(t):
     stacked = markup.stack_tables(markup.html_tables(nation_pages(t), "n_regionkey", "html"))
-    return stacked.select("page", F.array_join("cells", "|").alias("cells"), F.array_join("header", "|").alias("header"), "left_out")
+    return stacked.select("page", F.array_join("cells", "|").alias("cells"), F.array_join("header", "|").alias("header"))
 
 
 @query(

@@ -220,6 +220,8 @@ def test_html(spark):
     page = "<html><head><title>x</title></head><body><p>Hello <b>you</b></p><script>no</script><table><tr><th colspan=2>T</th></tr><tr><td>a</td><td>1</td></tr></table>"
     assert markup.visible_lines(page) == ["Hello you", "a 1"]
     assert markup.tables_of(page) == [("T", ["T", "Cột 2"], [["a", "1"]])]
+    nested = "<table><tr><th>A<th>A<tr><td>x<table><tr><td>in</table>y<td> 1\n 2</table><table><tr><td></table><p>z<table><tr><td colspan=0>only"
+    assert markup.tables_of(nested) == [("A", ["A", "A (2)"], [["xiny", "1 2"]]), ("only", ["only"], [])]
 
 
 def test_mail():
