@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.functions import numbers
@@ -16,6 +16,8 @@ from metricloom.operators.profile import _quoted, _types
 MAX_ROWS = 50_000_000
 EXPLOSION = 10
 FEW_ROWS = 5
+#: Leaves of a plan that hold no table: constants, number ranges, and references to the statement's own WITH parts.
+FREE_LEAVES = ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef")
 
 
 class MartError(RuntimeError):
@@ -30,12 +32,28 @@ class Mart:
     note: str
 
 
+def _nodes(plan) -> Iterator:
+    """Every node of a logical plan, those of subqueries in expressions included."""
+    yield plan
+    for branch in (plan.children(), plan.subqueries()):
+        for k in range(branch.size()):
+            yield from _nodes(branch.apply(k))
+
+
+def _only_a_query(session: SparkSession, sql: str) -> None:
+    """Whatever is not a query does not parse in the place of a subquery, and nothing has run by then."""
+    try:
+        session._jsparkSession.sessionState().sqlParser().parsePlan(f"SELECT * FROM (\n{sql}\n)")
+    except Exception as error:
+        raise MartError("only one SELECT or WITH statement is allowed") from error
+
+
 def run_sql(sql: str, tables: Mapping[str, DataFrame], args: Mapping | None = None) -> DataFrame:
     """One SELECT or WITH over the granted tables.
 
-    Only those tables exist under these names in a session of their own, so the
-    statement cannot read a view somebody else registered. Cross joins are refused by
-    the engine's own setting; the plan stays lazy.
+    The statement runs in a session of its own, in which only those tables exist under these names and files cannot be
+    queried. Commands are refused before they run. In the analysed plan every leaf must come from a granted
+    table, and a join must have a condition. The plan stays lazy.
     """
     if not tables:
         raise MartError("no table was granted")
@@ -44,28 +62,39 @@ def run_sql(sql: str, tables: Mapping[str, DataFrame], args: Mapping | None = No
     session.conf.set("spark.sql.session.timeZone", base.conf.get("spark.sql.session.timeZone"))
     session.conf.set("spark.sql.shuffle.partitions", base.conf.get("spark.sql.shuffle.partitions"))
     session.conf.set("spark.sql.crossJoin.enabled", "false")
+    session.conf.set("spark.sql.runSQLOnFiles", "false")
+    _only_a_query(session, sql)
     token = uuid.uuid4().hex[:8]
+    granted = []
     for name, df in tables.items():
         # A global view hands the plan to the other session; the local name hides it again.
         shared = f"g{token}_{name}"
         df.createOrReplaceGlobalTempView(shared)
-        session.table(f"global_temp.{shared}").createOrReplaceTempView(name)
+        view = session.table(f"global_temp.{shared}")
+        view.createOrReplaceTempView(name)
+        granted += [n for n in _nodes(view._jdf.queryExecution().analyzed()) if not n.children().size()]
         base.catalog.dropGlobalTempView(shared)
     result = session.sql(sql, args=dict(args) if args else None)
-    if "Join Cross" in result._jdf.queryExecution().analyzed().toString():
-        raise MartError("cross joins are refused: give the join a condition")
+    for node in _nodes(result._jdf.queryExecution().analyzed()):
+        if not node.children().size() and node.nodeName() not in FREE_LEAVES and not any(leaf.sameResult(node) for leaf in granted):
+            raise MartError(f"a table was not granted: {node.nodeName()}")
+    for node in _nodes(result._jdf.queryExecution().optimizedPlan()):
+        if node.nodeName() == "Join" and node.condition().isEmpty() and node.joinType().sql() in ("CROSS", "INNER"):
+            raise MartError("cross joins are refused: give the join a condition")
     return result
 
 
 def build_mart(sql: str, tables: Mapping[str, DataFrame], path: str, *, max_rows: int = MAX_ROWS) -> Mart:
-    """Run, store and check the size of a mart. Counting happens on the stored result, the
-    statement itself runs once and stops just past the ceiling."""
+    """Run, store and check the size of a mart. The statement runs once and is written by all tasks; rows are counted while
+    they are written, and a result that is too large is emptied again."""
     result = run_sql(sql, tables)
-    result.limit(max_rows + 1).write.mode("overwrite").parquet(path)
-    stored = result.sparkSession.read.parquet(path)
-    rows_out = stored.count()
+    seen = Observation()
+    result.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").parquet(path)
+    rows_out = seen.get["rows"]
     if rows_out > max_rows:
-        raise MartError(f"the result has more than {max_rows:,} rows; a join may lack a condition")
+        result.limit(0).write.mode("overwrite").parquet(path)
+        raise MartError(f"the result has {rows_out:,} rows, more than {max_rows:,}; a join may lack a condition")
+    stored = result.sparkSession.read.schema(result.schema).parquet(path)
     rows_in = {name: df.count() for name, df in tables.items()}
     return Mart(stored, rows_in, rows_out, size_note(rows_in, rows_out))
 

@@ -141,12 +141,16 @@ def _means_by_product(df: DataFrame, kept: dict[str, list[str]], measures: list[
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
             x = np.column_stack(columns[len(sizes):])
-            seen = ~np.isnan(x)
-            x = np.where(seen, x, 0.0)
+            seen, endless = ~np.isnan(x), np.isinf(x)
+            up, down = (x > 0) & endless, (x < 0) & endless
+            x = np.where(seen & ~endless, x, 0.0)  # a product would turn one infinity into NaN for every group
             for i, k in enumerate(sizes):
                 hit = (columns[i][:, None] == np.arange(1, k + 1)).astype(float)
                 sums[i] += hit.T @ x
                 counts[i] += hit.T @ seen
+                if endless.any():
+                    with np.errstate(invalid="ignore"):
+                        sums[i] += np.where(hit.T @ up > 0, np.inf, 0.0) + np.where(hit.T @ down > 0, -np.inf, 0.0)
         for i, k in enumerate(sizes):
             r, j = np.nonzero(counts[i])
             yield pa.RecordBatch.from_arrays(

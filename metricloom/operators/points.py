@@ -12,8 +12,6 @@ from metricloom.functions import dates, numbers
 from metricloom.operators.common import stacked
 from metricloom.operators.profile import _quoted, _types
 
-MAX_COMBINATIONS = 10
-
 
 def _number(df: DataFrame, name: str):
     return numbers.numeric(_quoted(name), _types(df)[name])
@@ -56,11 +54,11 @@ def named_points(
 ) -> DataFrame:
     """``measure, filter, label, stat, value, rows`` at each named axis point and filter combination.
 
-    A single row gives its value; several give their sum (or mean on request). At most
-    ten combinations of filter values are computed, as asked for, in one pass.
+    A single row gives its value; several give their sum (or mean on request). All combinations
+    of filter values are computed in one pass.
     """
     filters = dict(filters or {})
-    combos = list(itertools.product(*[[(c, v) for v in vs] for c, vs in filters.items()]))[:MAX_COMBINATIONS]
+    combos = list(itertools.product(*[[(c, v) for v in vs] for c, vs in filters.items()]))
     rows = df.filter(_quoted(axis).isin(list(labels)))
     tags = []
     for combo in combos:

@@ -21,7 +21,6 @@ MAX_GROUPS = 20
 MIN_PER_PREDICTOR = 10
 MAX_VIF = 10.0
 MAX_SUGGESTED = 8
-FEW_COLUMNS = 8
 
 
 @dataclass(frozen=True)
@@ -63,21 +62,15 @@ def _pair_sums(df: DataFrame, width: int, centre: list[float]) -> DataFrame:
 
 
 def pair_correlations(df: DataFrame, columns: Sequence[str], wanted: Sequence[str] = ()) -> DataFrame:
-    """``left, right, n, r`` of all pairs, strongest first after those about ``wanted`` columns: ``rank`` gives the order."""
+    """``left, right, n, r`` of all pairs over rows in which both are finite numbers, strongest first after those about ``wanted`` columns: ``rank`` gives the order."""
     columns = list(columns)
     data = _doubles(df, columns)
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    if len(columns) <= FEW_COLUMNS:
-        both = [F.col(f"x{i}").isNotNull() & F.col(f"x{j}").isNotNull() for i, j in pairs]
-        aggs = [a for k, (i, j) in enumerate(pairs) for a in (F.corr(f"x{i}", f"x{j}").alias(f"r{k}"), F.count_if(both[k]).alias(f"n{k}"))]
-        rows = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"n{k}").alias("n"), F.col(f"r{k}").alias("r")) for k, (i, j) in enumerate(pairs)]
-        found = data.agg(*aggs).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
-    else:
-        centre = [v or 0.0 for v in data.agg(*[F.avg(c) for c in data.columns]).first()]
-        s = _pair_sums(data, len(columns), centre).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-        cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-        var = (F.col("sxx") - F.col("sx") ** 2 / F.col("n")) * (F.col("syy") - F.col("sy") ** 2 / F.col("n"))
-        found = s.filter("n > 1").select("i", "j", F.col("n").cast("bigint").alias("n"), F.when(var > 0, cov / F.sqrt(var)).alias("r"))
+    finite = [F.when(F.abs(c) < float("inf"), F.col(c)) for c in data.columns]
+    centre = [v or 0.0 for v in data.agg(*[F.avg(c) for c in finite]).first()]
+    s = _pair_sums(data, len(columns), centre).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), "n")
+    var = (F.col("sxx") - F.try_divide(F.col("sx") ** 2, "n")) * (F.col("syy") - F.try_divide(F.col("sy") ** 2, "n"))
+    found = s.select("i", "j", F.col("n").cast("bigint").alias("n"), F.when((F.col("n") > 1) & (var > 0), cov / F.sqrt(var)).alias("r"))
     names = F.array(*[F.lit(c) for c in columns])
     left, right = F.element_at(names, F.col("i") + 1), F.element_at(names, F.col("j") + 1)
     asked = left.isin(list(wanted)).cast("int") + right.isin(list(wanted)).cast("int")

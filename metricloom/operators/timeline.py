@@ -83,10 +83,14 @@ def _in_order() -> Window:
     return Window.partitionBy("measure").orderBy("ord")
 
 
-def period_means(periods: DataFrame, limit: int = MAX_PERIODS) -> DataFrame:
-    """``measure, label, mean`` of the first periods in time order."""
+def _first(placed: DataFrame, limit: int | None) -> DataFrame:
+    return placed if limit is None else placed.filter(F.col("position") <= limit)
+
+
+def period_means(periods: DataFrame, limit: int | None = None) -> DataFrame:
+    """``measure, label, mean`` of the periods in time order, or of the first ``limit`` of them."""
     placed = periods.withColumn("position", F.row_number().over(_in_order()))
-    return placed.filter(F.col("position") <= limit).select("measure", "position", "label", F.round("mean", 4).alias("mean"))
+    return _first(placed, limit).select("measure", "position", "label", F.round("mean", 4).alias("mean"))
 
 
 def trend(periods: DataFrame) -> DataFrame:
@@ -101,10 +105,10 @@ def trend(periods: DataFrame) -> DataFrame:
     return out.filter(F.col("periods") >= MIN_PERIODS).select("measure", "periods", F.when(~F.isnan("rho"), F.round("rho", 4)).alias("rho"))
 
 
-def change(periods: DataFrame, limit: int = MAX_PERIODS) -> DataFrame:
+def change(periods: DataFrame, limit: int | None = None) -> DataFrame:
     """``measure, label, change`` of each period against the one before."""
     placed = periods.withColumns({"position": F.row_number().over(_in_order()), "before": F.lag("mean").over(_in_order())})
-    kept = placed.filter((F.col("position") <= limit) & F.col("before").isNotNull())
+    kept = _first(placed, limit).filter(F.col("before").isNotNull())
     return kept.select("measure", "position", "label", F.round(F.col("mean") - F.col("before"), 4).alias("change"))
 
 

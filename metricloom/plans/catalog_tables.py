@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from metricloom.operators import bi, mart, points, profile, validate
 from metricloom.operators.clean import with_labels
 from metricloom.plans.registry import query
+from metricloom.session import checkpoint_dir
 
 # --- mart --------------------------------------------------------------------
 
@@ -47,12 +50,22 @@ def _(t):
     return mart.run_sql(sql, {"documents": t.documents})
 
 
-@query("sql2_size_checks")
+@query(
+    "sql2_size_checks",
+    """WITH l AS (SELECT count(*) AS n FROM lineitem), o AS (SELECT count(*) AS n FROM orders), e AS (SELECT count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_returnflag = b.l_returnflag AND a.l_shipdate = b.l_shipdate)
+    SELECT 'same' AS "case", l.n AS rows_out, '' AS note FROM l UNION ALL
+    SELECT 'few', (SELECT count(DISTINCT o_orderstatus) FROM orders), 'only ' || (SELECT count(DISTINCT o_orderstatus) FROM orders) || ' rows from ' || format('{:,}', o.n) FROM o UNION ALL
+    SELECT 'exploded', e.n, CASE WHEN e.n > 10 * l.n THEN format('{:,}', e.n) || ' rows from a largest table of ' || format('{:,}', l.n) || ': more than 10 times, check the join conditions' ELSE '' END FROM e, l""",
+)
 def _(t):
-    rows_in = {"orders": t.orders.count(), "lineitem": t.lineitem.count()}
-    exploded = mart.size_note(rows_in, rows_in["lineitem"] * 11)
-    few = mart.size_note(rows_in, t.orders.groupBy("o_orderstatus").count().count())
-    return t.spark.createDataFrame([("exploded", exploded), ("few", few)], "case string, note string")
+    folder = f"{checkpoint_dir(t.spark)}/marts-{uuid.uuid4().hex}"
+    statements = {
+        "same": ("SELECT l_orderkey, l_linenumber FROM lineitem", {"lineitem": t.lineitem}),
+        "few": ("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1", {"orders": t.orders}),
+        "exploded": ("SELECT a.l_orderkey FROM lineitem a JOIN lineitem b ON a.l_returnflag = b.l_returnflag AND a.l_shipdate = b.l_shipdate", {"lineitem": t.lineitem}),
+    }
+    built = [(case, mart.build_mart(sql, tables, f"{folder}/{case}", max_rows=10**12)) for case, (sql, tables) in statements.items()]
+    return t.spark.createDataFrame([(case, m.rows_out, m.note) for case, m in built], "case string, rows_out bigint, note string")
 
 
 @query(
@@ -86,11 +99,11 @@ def _(t):
 
 # --- points ------------------------------------------------------------------
 
-QUARTERLY = """st AS (SELECT o_orderstatus AS item, 'Q' || quarter(o_orderdate) || '-' || year(o_orderdate) AS period, year(o_orderdate) * 4 + quarter(o_orderdate) AS ord, o_totalprice AS amount FROM orders WHERE year(o_orderdate) IN (1996, 1997))"""
+QUARTERLY = """st AS (SELECT o_orderstatus AS item, 'Q' || quarter(o_orderdate) || '-' || year(o_orderdate) AS period, year(o_orderdate) * 4 + quarter(o_orderdate) AS ord, o_totalprice AS amount FROM orders)"""
 
 
 def statement(t):
-    rows = t.orders.filter(F.year("o_orderdate").isin(1996, 1997))
+    rows = t.orders
     period = F.concat(F.lit("Q"), F.quarter("o_orderdate"), F.lit("-"), F.year("o_orderdate"))
     return rows.select(F.col("o_orderstatus").alias("item"), period.alias("period"), F.col("o_totalprice").alias("amount"))
 
@@ -136,7 +149,7 @@ def _(t):
 @query(
     "sql11_ratio_long",
     f"""WITH {QUARTERLY}, s AS (SELECT period, sum(amount) FILTER (WHERE item = 'F') / sum(amount) FILTER (WHERE item = 'O') AS r FROM st GROUP BY 1)
-    SELECT period AS label, round(r, 4) AS ratio, round(r * 100, 4) AS ratio_pct FROM s""",
+    SELECT period AS label, round(r, 4) AS ratio, round(r * 100, 4) AS ratio_pct FROM s WHERE r IS NOT NULL""",
 )
 def _(t):
     return points.ratio_points(statement(t), "item", "F", "O", "amount", "period")[0]

@@ -17,7 +17,6 @@ SAMPLE_BYTES = 64 * 1024
 HEAD_BYTES = 16
 LARGE_BYTES = 100 * 1024 * 1024
 READABLE_BYTES = 2**31 - 64  # a binary cell cannot hold more
-MAX_FILES = 500
 LOW_CONFIDENCE = 0.75
 REVIEW_SHARE = 0.15
 
@@ -107,16 +106,15 @@ def _kind(hexed: Column, text: Column, size: Column) -> tuple[Column, Column]:
     return kind.when(text, "text").otherwise("unknown"), label.when(text, "text").otherwise("not recognised")
 
 
-def file_survey(spark: SparkSession, folder: str, *, glob: str = "*", max_files: int = MAX_FILES) -> DataFrame:
+def file_survey(spark: SparkSession, folder: str, *, glob: str = "*") -> DataFrame:
     """``name, size, kind, label, reader, warning``: what each file is by its first bytes.
 
     The extension only decides how text and containers are read. Sizes come from the
     listing; contents are read for files that fit a cell, the rest is reported unread.
     """
     listed = _files(spark, folder, glob).select("path", F.col("length").alias("size"))
-    chosen = listed.orderBy("path").limit(max_files)
     heads = _files(spark, folder, glob).filter(F.col("length") <= READABLE_BYTES).select(F.col("path").alias("_p"), F.substring("content", 1, HEAD_BYTES).alias("head"))
-    rows = chosen.join(heads, F.col("path") == F.col("_p"), "left")
+    rows = listed.join(heads, F.col("path") == F.col("_p"), "left")
     text = _is_text("head") & F.col("head").isNotNull()
     kind, label = _kind(F.hex("head"), text, F.col("size"))
     rows = rows.withColumn("name", F.element_at(F.split("path", "/"), -1))

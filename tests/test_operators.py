@@ -267,3 +267,48 @@ def test_mart_sees_only_granted_tables(spark, tmp_path):
     with pytest.raises(mart.MartError):
         mart.build_mart("SELECT * FROM t", {"t": a}, str(tmp_path / "m"), max_rows=1)
     assert mart.build_mart("SELECT * FROM t", {"t": a}, str(tmp_path / "n")).rows_out == 2
+
+
+def test_mart_is_confined(spark, tmp_path):
+    a = spark.createDataFrame([("x", 2.0), ("y", 3.0)], "k string, v double")
+    a.write.parquet(str(tmp_path / "file"))
+    a.write.mode("overwrite").saveAsTable("not_granted")
+    refused = (
+        f"SELECT count(*) FROM parquet.`{tmp_path}/file`", "CREATE VIEW v AS SELECT 1", f"INSERT OVERWRITE DIRECTORY '{tmp_path}/out' USING parquet SELECT * FROM t",
+        "SELECT * FROM default.not_granted", "SELECT (SELECT max(v) FROM default.not_granted) AS m FROM t", "SELECT 1) x; DROP TABLE not_granted --", "SELECT * FROM t, u",
+    )
+    for sql in refused:
+        with pytest.raises(Exception):
+            mart.run_sql(sql, {"t": a, "u": a}).collect()
+    assert not (tmp_path / "out").exists()
+    assert spark.table("not_granted").count() == 2
+    spark.sql("DROP TABLE not_granted")
+    for sql, rows in (("SELECT 'Join Cross' AS s FROM t", 2), ("WITH w AS (SELECT k FROM t) SELECT * FROM w JOIN t USING (k)", 2), ("SELECT * FROM t, u WHERE t.k = u.k", 2), ("SELECT * FROM t WHERE v IN (SELECT max(v) FROM u)", 1)):
+        assert mart.run_sql(sql, {"t": a, "u": a}).count() == rows
+    stored = mart.build_mart("SELECT * FROM t", {"t": a.repartition(3)}, str(tmp_path / "many"))
+    assert stored.rows_out == 2
+
+
+def test_named_points_keep_all_combinations(spark):
+    rows = [(f"f{k}", "2020", float(k)) for k in range(25)]
+    found = points.named_points(spark.createDataFrame(rows, "f string, year string, v double"), "year", ["2020"], ["v"], {"f": [r[0] for r in rows]})
+    assert found.count() == 25
+
+
+def test_infinite_cells_stay_in_their_group(spark):
+    inf = float("inf")
+    for width in (3, 40):
+        rows = [(f"g{k % 3}", inf if k == 0 else float(k), *[float(k + j) for j in range(1, width)]) for k in range(9)]
+        df = spark.createDataFrame(rows, ["g", *[f"m{j}" for j in range(width)]])
+        found = metrics.breakdowns(df, ["g"], [f"m{j}" for j in range(width)], limit=10**6)
+        values = {r["grp"]: r["value"] for r in found.filter("measure = 'm0'").collect()}
+        assert values == {"g0": inf, "g1": 4.0, "g2": 5.0}
+
+
+def test_every_pair_is_kept(spark):
+    for width in (8, 10):
+        rows = [(*[float((k * (j + 3)) % 7) for j in range(width - 1)], None) for k in range(20)]
+        schema = ", ".join(f"c{j} double" for j in range(width))
+        found = stats.strongest_pairs(spark.createDataFrame(rows, schema), [f"c{j}" for j in range(width)])
+        assert found.count() == width * (width - 1) // 2
+        assert found.filter("n = 0").count() == width - 1
