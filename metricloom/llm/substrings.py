@@ -22,7 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.llm.common import column, text_bytes
@@ -36,7 +37,13 @@ CHUNK = 2_000_000
 #: Odd multipliers of the polynomial hashes modulo 2**64: of bytes in a word, and of words in a run.
 OF_BYTES, OF_WORDS, OF_WORDS_TOO = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xDA942042E4DD58B5
 
-FOUND = "h bigint, g int, k1 bigint, k2 bigint, pos int, n int"
+#: Rows of hashes, with what differs from row to row side by side so that shuffles compress well. ``p`` holds the place in
+#: its document and a state (ALONE, KNOWN, COVERED) in its lower half, or for windows in its upper half above the rest of the hash.
+FOUND = "k1 bigint, k2 bigint, h bigint, p bigint"
+#: Seen once in its batch; known to be repeated; known, and its words are covered by known neighbours.
+ALONE, KNOWN, COVERED = 1, 2, 3
+#: Every so many of consecutive known windows are reported; must be less than a window.
+APART = 16
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -99,21 +106,28 @@ def _runs(words: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarra
     return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _folded(h: np.ndarray, g: np.ndarray, k1: np.ndarray, k2: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """One row for each hash with its count; the other rows of a repeated hash are known to be repeated, and carry
-    a hash of their own place so that they spread."""
+def _folded(h: np.ndarray, g: np.ndarray, k1: np.ndarray, k2: np.ndarray, pos: np.ndarray, window: int | None) -> pa.RecordBatch:
+    """One row for each hash of a batch. The other rows of a repeated hash are known to be repeated; they carry a hash of
+    their own place, so that they spread. Given a ``window``, of consecutive known rows those in between go."""
     _, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    n = np.minimum(count[back], 2).astype(np.int32)
+    known = count[back] > 1
     rest = np.ones(len(h), bool)
     rest[first] = False
     own = _mixed(k1.view(np.uint64) + pos.astype(np.uint64) * np.uint64(OF_WORDS)).view(np.int64)
-    spread = np.where(rest, own, h)
-    return pa.RecordBatch.from_arrays([pa.array(spread), pa.array(g), pa.array(k1), pa.array(k2), pa.array(pos.astype(np.int32)), pa.array(n)], ["h", "g", "k1", "k2", "pos", "n"])
-
-
-def _emit(batch: pa.RecordBatch, places_of, length: int) -> pa.RecordBatch:
+    state = np.where(known, KNOWN, ALONE)
+    if window and len(h):
+        near = known[1:] & known[:-1] & (pos[1:] == pos[:-1] + 1) & (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
+        between = np.append(False, near) & np.append(near, False) & (pos % min(APART, window) != 0)
+        state = np.where(between, COVERED, state)
+    place = pos << 2 | state
+    if window:
+        place = place << 32 | g.view(np.uint32).astype(np.int64)
+    stay = ~(rest & (state == COVERED))
+    return pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (k1, k2, np.where(rest, own, h), place)], ["k1", "k2", "h", "p"])
+
+
+def _emit(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, places_of, length: int, window: int | None) -> pa.RecordBatch:
     """Hashes of the runs at the places that ``places_of(text, words)`` names in each text of a batch."""
-    data, offsets = text_bytes(batch.column("text"))
     k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
     parts = []
     for first, words, at in _chunks(data, offsets):
@@ -124,13 +138,34 @@ def _emit(batch: pa.RecordBatch, places_of, length: int) -> pa.RecordBatch:
         row = np.repeat([first + i for i, _ in picks], [len(p) for _, p in picks])
         parts.append((*_runs(words, places, length), k1[row], k2[row], np.concatenate([p for _, p in picks])))
     if not parts:
-        return _folded(*(np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int64)))
-    return _folded(*(np.concatenate(x) for x in zip(*parts)))
+        return _folded(*(np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64, np.int64)), window)
+    return _folded(*(np.concatenate(x) for x in zip(*parts)), window)
+
+
+def _repeated(found: DataFrame, windows: bool) -> DataFrame:
+    """``k1, k2, pos`` of the rows whose hash occurs again."""
+    dealt, place = found.repartition("h"), F.shiftright("p", 32) if windows else F.col("p")
+    rest = F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)) if windows else F.lit(0)
+    marked = dealt.withColumns({"place": place.cast("int"), "g": rest}).withColumn("times", F.count("*").over(Window.partitionBy("h", "g")))
+    state = F.col("place").bitwiseAND(F.lit(3))
+    kept = marked.filter(((F.col("times") > 1) & (state != COVERED)) | (state == KNOWN))
+    return kept.select("k1", "k2", F.shiftright("place", 2).alias("pos"))
+
+
+def _packed(text: Column) -> Column:
+    """A text compressed on its own; half the bytes to shuffle."""
+
+    @F.arrow_udf("binary")
+    def pack(texts: pa.Array) -> pa.Array:
+        press = zstandard.ZstdCompressor(level=3)
+        return pa.array([press.compress(t.as_buffer().to_pybytes()) for t in texts], pa.binary())
+
+    return pack(text)
 
 
-def _repeated(found: DataFrame, *keys: str) -> DataFrame:
-    again = F.count("*").over(Window.partitionBy(*keys)) > 1
-    return found.withColumn("again", again | (F.col("n") > 1)).filter("again").select("k1", "k2", "pos")
+def _unpacked(packed: pa.Array) -> list[bytes]:
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(t.as_buffer().to_pybytes()) for t in packed]
 
 
 def remove_repeats(df: DataFrame, row_id: str = "doc_id", text: str = "text", *, window: int = 35) -> DataFrame:
@@ -138,7 +173,9 @@ def remove_repeats(df: DataFrame, row_id: str = "doc_id", text: str = "text", *,
     period, cover = cover_for(window)
     anchor = window - period + 1
     whole = F.coalesce(column(df, text), F.lit(""))
-    base = df.select(column(df, row_id).alias("id"), whole.alias("text"), F.xxhash64(column(df, row_id), F.lit(1)).alias("k1"), F.xxhash64(whole).alias("k2"))
+    keys = F.xxhash64(column(df, row_id), F.lit(1)).alias("k1"), F.xxhash64(whole).alias("k2")
+    plain = df.select(whole.alias("text"), *keys)
+    base = df.select(column(df, row_id).alias("id"), _packed(whole).alias("packed"), *keys)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def on_cover(_: int, n: int) -> np.ndarray:
@@ -146,7 +183,7 @@ def remove_repeats(df: DataFrame, row_id: str = "doc_id", text: str = "text", *,
             return p[np.isin(p % period, cover)] if n >= window else p[:0]
 
         for batch in batches:
-            yield _emit(batch, on_cover, anchor)
+            yield _emit(batch, *text_bytes(batch.column("text")), on_cover, anchor, None)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,13 +197,15 @@ def remove_repeats(df: DataFrame, row_id: str = "doc_id", text: str = "text", *,
                 np.add.at(step, some + 1, -1)
                 return np.flatnonzero(np.cumsum(step)[: n - window + 1] > 0)
 
-            yield _emit(batch, around, window)
+            texts = _unpacked(batch.column("packed"))
+            offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+            yield _emit(batch, np.frombuffer(b"".join(texts), np.uint8), offsets, around, window, window)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, left = [], [], []
-            for whole, held in zip(batch.column("text"), batch.column("held")):
-                words = whole.as_buffer().to_pybytes().split()
+            for raw, held in zip(_unpacked(batch.column("packed")), batch.column("held")):
+                words = raw.split()
                 gone = 0
                 if held.is_valid:
                     step = np.zeros(len(words) + 1, np.int64)
@@ -185,9 +224,9 @@ def remove_repeats(df: DataFrame, row_id: str = "doc_id", text: str = "text", *,
     def of_row(places: DataFrame) -> DataFrame:
         return places.groupBy("k1", "k2").agg(F.collect_list("pos").alias("held"))
 
-    shared = of_row(_repeated(base.select("text", "k1", "k2").mapInArrow(anchors, FOUND), "h"))
-    near = base.join(shared, ["k1", "k2"]).select("id", "text", "k1", "k2", "held").mapInArrow(windows, FOUND)
-    hit = of_row(_repeated(near, "h", "g"))
+    shared = of_row(_repeated(plain.mapInArrow(anchors, FOUND), False))
+    near = base.join(shared, ["k1", "k2"]).select("id", "packed", "k1", "k2", "held").mapInArrow(windows, FOUND)
+    hit = of_row(_repeated(near, True))
     kind = df.select(column(df, row_id).alias("id")).schema["id"].dataType.simpleString()
-    done = base.join(hit, ["k1", "k2"], "left").select("id", "text", "k1", "k2", "held").mapInArrow(kept, f"id {kind}, n_words bigint, n_removed bigint, kept string")
+    done = base.join(hit, ["k1", "k2"], "left").select("id", "packed", "k1", "k2", "held").mapInArrow(kept, f"id {kind}, n_words bigint, n_removed bigint, kept string")
     return done.withColumnRenamed("id", row_id)
