@@ -74,8 +74,8 @@ def has_leading_zero(text: Column) -> Column:
     return strip(text).rlike(r"^-?0\d")
 
 
-def preview(trace: Column, steps: int = 6) -> Column:
-    """The first steps of a trace and how many follow."""
-    head = F.array_join(F.slice(trace, 1, steps), " -> ")
-    rest = F.size(trace) - steps
-    return F.when(rest <= 0, head).otherwise(F.concat(head, F.lit(" -> ... (+"), rest.cast("string"), F.lit(" steps)")))
+def preview(head: Column, length: Column | None = None, steps: int = 6) -> Column:
+    """The first steps of a trace and how many follow; ``length`` is that of the whole trace if ``head`` is only its start."""
+    shown = F.array_join(F.slice(head, 1, steps), " -> ")
+    rest = (F.size(head) if length is None else length) - steps
+    return F.when(rest <= 0, shown).otherwise(F.concat(shown, F.lit(" -> ... (+"), rest.cast("string"), F.lit(" steps)")))

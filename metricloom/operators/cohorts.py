@@ -37,12 +37,12 @@ def case_attributes(log: EventLog) -> DataFrame:
 
 
 def case_table(log: EventLog) -> DataFrame:
-    """``case_id, events, hours, repeated, trace`` per case."""
+    """``case_id, events, hours, repeated, variant, head`` per case; ``process.ordered_events`` has the whole traces."""
     hours = dates.hours_between(F.min(MOMENT), F.max(MOMENT))
     spans = log.events.groupBy(CASE).agg(hours.alias("hours"))
     twice = log.events.groupBy(CASE, ACTIVITY).agg(F.count("*").alias("n")).groupBy(CASE).agg((F.max("n") > 1).alias("repeated"))
-    traces = process.case_traces(log).select(CASE, "events", F.col("head").alias("trace"))
-    return traces.join(spans, CASE).join(twice, CASE).select(CASE, "events", F.round("hours", 4).alias("hours"), "repeated", "trace")
+    traces = process.case_traces(log)
+    return traces.join(spans, CASE).join(twice, CASE).select(CASE, "events", F.round("hours", 4).alias("hours"), "repeated", "variant", "head")
 
 
 def cohort_labels(log: EventLog, attribute: str, focus: str, against: str = "") -> DataFrame:

@@ -19,6 +19,8 @@ MIN_PARSED = 0.9
 TOP_VARIANTS = 5
 TOP_TRANSITIONS = 5
 TOP_ACTIVITIES = 10
+#: First steps of a path that are kept for ranking ties and for previews.
+HEAD_STEPS = 100
 
 CASE, ACTIVITY, MOMENT, RESOURCE, ROW, AT = "case_id", "activity", "moment", "resource", "row_id", "_at"
 _LAST = 2**63 - 1
@@ -119,41 +121,17 @@ def slug_map(names: DataFrame, name: str = ACTIVITY) -> DataFrame:
 
 
 def case_traces(log: EventLog) -> DataFrame:
-    """One row per case: ``case_id, events, variant, head, complete``.
+    """One row per case: ``case_id, events, variant, head``.
 
-    While every case is small ``head`` is its whole trace. Otherwise a trace is cut in
-    chunks of the group limit; ``variant`` is the digest of the chunk digests (over all
-    events) and ``head`` is the first chunk.
+    ``variant`` is a 128-bit digest folded from (position, activity) of all events, so it needs neither the whole
+    trace in one cell nor an order of arrival. ``head`` holds the first steps, at most ``HEAD_STEPS``.
     """
-    item = F.struct(AT, ROW, ACTIVITY)
-    if not log.sequence.split:
-        trace = F.transform(F.array_sort(F.collect_list(item)), lambda e: e[ACTIVITY])
-        grouped = log.events.groupBy(CASE).agg(trace.alias("head"), F.count("*").alias("events"))
-        return grouped.select(
-            CASE, "events", F.sha2(F.to_json("head"), 256).alias("variant"), "head", F.lit(True).alias("complete")
-        )
-    size = scale.group_limit(log.df)
     placed = log.sequence.with_position("_pos").rows()
-    chunk = ((F.col("_pos") - 1) / size).cast("bigint")
-    chunks = (
-        placed.withColumn("_chunk", chunk)
-        .groupBy(CASE, "_chunk")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", ACTIVITY))), lambda e: e[ACTIVITY]).alias("part"))
-    )
-    digests = F.array_sort(F.collect_list(F.struct("_chunk", F.sha2(F.to_json("part"), 256).alias("d"))))
-    return (
-        chunks.groupBy(CASE)
-        .agg(
-            F.sum(F.size("part")).alias("events"),
-            F.sha2(F.array_join(F.transform(digests, lambda c: c["d"]), ""), 256).alias("_many"),
-            F.max(F.when(F.col("_chunk") == 0, F.col("part"))).alias("head"),
-            F.max("_chunk").alias("_last"),
-        )
-        .select(
-            CASE, "events",
-            F.when(F.col("_last") == 0, F.sha2(F.to_json("head"), 256)).otherwise(F.col("_many")).alias("variant"),
-            "head", (F.col("_last") == 0).alias("complete"),
-        )
+    folded = [F.hex(F.bit_xor(h)) for h in (F.xxhash64("_pos", ACTIVITY), F.xxhash64(ACTIVITY, "_pos"))]
+    first = F.collect_list(F.when(F.col("_pos") <= HEAD_STEPS, F.struct("_pos", ACTIVITY)))
+    return placed.groupBy(CASE).agg(
+        F.count("*").alias("events"), F.concat_ws("-", *folded, F.count("*").cast("string")).alias("variant"),
+        F.transform(F.array_sort(first), lambda e: e[ACTIVITY]).alias("head"),
     )
 
 
@@ -166,22 +144,34 @@ def variant_table(log: EventLog, traces: DataFrame | None = None) -> DataFrame:
 
 
 def top_variants(log: EventLog, table: DataFrame | None = None, limit: int = TOP_VARIANTS) -> DataFrame:
-    """The most common paths, ties by path: ``rank, trace, cases, steps, share_pct, example``."""
+    """The most common paths, ties by their first steps, then by digest: ``rank, head, cases, steps, share_pct, example``."""
     table = variant_table(log) if table is None else table
     total = table.agg(F.sum("cases")).first()[0] or 0
-    ranked = table.orderBy(F.desc("cases"), F.asc("head"), F.asc("variant")).limit(limit)
-    place = Window.orderBy(F.desc("cases"), F.asc("head"), F.asc("variant"))  # at most ``limit`` rows
+    order = [F.desc("cases"), F.asc("head"), F.asc("variant")]
+    ranked = table.orderBy(*order).limit(limit)
+    place = Window.orderBy(*order)  # at most ``limit`` rows
     return ranked.select(
-        F.row_number().over(place).alias("rank"), F.col("head").alias("trace"), "cases", "steps",
+        F.row_number().over(place).alias("rank"), "head", "cases", "steps",
         F.round(100.0 * F.col("cases") / F.lit(total), 4).alias("share_pct"), "example",
     )
 
 
+def variant_paths(log: EventLog, best: DataFrame) -> DataFrame:
+    """``rank, position, activity``: every step of the chosen paths, read from their example cases."""
+    placed = log.sequence.with_position("position").rows()
+    chosen = best.select("rank", "example")
+    return placed.join(F.broadcast(chosen), F.col(CASE) == F.col("example")).select("rank", "position", ACTIVITY)  # as many rows as paths were asked for
+
+
 def variant_signatures(log: EventLog) -> DataFrame:
-    """``case_id, events, signature``: first 16 hex digits over the joined activity names."""
-    traces = case_traces(log)
-    whole = F.substring(F.sha2(F.array_join("head", "|"), 256), 1, 16)
-    return traces.select(CASE, "events", F.when(F.col("complete"), whole).otherwise(F.substring("variant", 1, 16)).alias("signature"))
+    """``case_id, events, signature``: first 16 hex digits over the joined activity names.
+
+    The signature is defined on one text of all names, so the names of a case must fit one cell (2 GB). ``case_traces`` has a
+    digest without that bound.
+    """
+    placed = log.sequence.with_position("_pos").rows()
+    names = F.transform(F.array_sort(F.collect_list(F.struct("_pos", ACTIVITY))), lambda e: e[ACTIVITY])
+    return placed.groupBy(CASE).agg(F.count("*").alias("events"), F.substring(F.sha2(F.array_join(names, "|"), 256), 1, 16).alias("signature"))
 
 
 def rework_by_activity(log: EventLog) -> DataFrame:
@@ -280,9 +270,7 @@ def mine_process(log: EventLog) -> Outcome:
         refused.append(("mine_process", log.case, "too few cases for variants, rework or waits", size["cases"], MIN_CASES))
         return Outcome(stacked(parts), refusals(spark, refused))
     cases = F.lit(size["cases"])
-    table = variant_table(log)
-    if size["cases"] > scale.group_limit(log.df):
-        table = materialize(table)
+    table = materialize(variant_table(log))
     best = top_variants(log, table).cache()
     number = F.col("rank").cast("string")
     parts += [

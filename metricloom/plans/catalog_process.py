@@ -76,13 +76,24 @@ def _(t):
     return process.activity_counts(event_log(t)).orderBy(F.desc("events"), "activity").limit(10)
 
 
+def joined(names, separator):
+    """Names of steps in the order of their position, as one text."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", names))), lambda e: e[names]), separator)
+
+
+def shown_variants(log):
+    best = process.top_variants(log)
+    paths = process.variant_paths(log, best).groupBy("rank").agg(joined("activity", " > ").alias("trace"))
+    return best.join(paths, "rank")
+
+
 @query(
     "prc3_variants",
     f"""WITH {TRACES} SELECT rank, array_to_string(trace, ' > ') AS trace, cases,
     round(100.0 * cases / (SELECT count(*) FROM traces), 4) AS share_pct FROM top WHERE rank <= 5""",
 )
 def _(t):
-    return process.top_variants(dialogue_log(t)).select("rank", F.array_join("trace", " > ").alias("trace"), "cases", "share_pct")
+    return shown_variants(dialogue_log(t)).select("rank", "trace", "cases", "share_pct")
 
 
 @query(
@@ -92,7 +103,7 @@ def _(t):
     SELECT row_number() OVER (ORDER BY cases DESC, trace) AS rank, array_to_string(trace, ' > ') AS trace, cases FROM variants QUALIFY rank <= 5""",
 )
 def _(t):
-    return process.top_variants(event_log(t)).select("rank", F.array_join("trace", " > ").alias("trace"), "cases")
+    return shown_variants(event_log(t)).select("rank", "trace", "cases")
 
 
 @query(
@@ -217,7 +228,9 @@ def _(t):
     SELECT case_id, events, hours, repeated, array_to_string(trace, '>') AS trace FROM e""",
 )
 def _(t):
-    return cohorts.case_table(event_log(t)).withColumn("trace", F.array_join("trace", ">"))
+    log = event_log(t)
+    traces = process.ordered_events(log).groupBy("case_id").agg(joined("activity", ">").alias("trace"))
+    return cohorts.case_table(log).join(traces, "case_id").select("case_id", "events", "hours", "repeated", "trace")
 
 
 GAPS = f"""{STEPS}, lab AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS case_id, user_id % 3 = 0 AS focus FROM events),
@@ -326,4 +339,4 @@ def _(t):
     SELECT CAST(user_id AS VARCHAR) AS case_id, array_to_string(tr[1:6], ' -> ') || CASE WHEN len(tr) > 6 THEN ' -> ... (+' || (len(tr) - 6) || ' steps)' ELSE '' END AS path FROM traces""",
 )
 def _(t):
-    return process.case_traces(event_log(t)).select("case_id", text.preview(F.col("head")).alias("path"))
+    return process.case_traces(event_log(t)).select("case_id", text.preview(F.col("head"), F.col("events")).alias("path"))

@@ -71,7 +71,8 @@ def test_process_operators_do_not_depend_on_the_way(skewed, spark):
         log = log_of(df)
         return (
             sorted(map(tuple, process.transitions(log, limit=None).collect()), key=str), process.rework_cases(log).first(), process.durations(log).first(),
-            sorted((r["cases"], r["steps"]) for r in process.variant_table(log).collect()),
+            sorted(map(str, process.case_traces(log).collect())), [tuple(r) for r in process.top_variants(log).collect()],
+            sorted(map(tuple, process.variant_paths(log, process.top_variants(log)).collect())), sorted(map(tuple, process.variant_signatures(log).collect())),
         )
     plain = measured()
     spark.conf.set(scale.GROUP_LIMIT_CONF, "50")
