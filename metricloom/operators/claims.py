@@ -77,7 +77,8 @@ def citations(claims: DataFrame) -> DataFrame:
 
 def resolved(claims: DataFrame, metrics: DataFrame) -> DataFrame:
     """Citations with the metric they point to. A name may leave out the measure (``dim.group``)."""
-    known = metrics.select(_tidy(F.col("key")).alias("real"), "measure", "stat", "dim", "grp", "value", "unit").dropDuplicates(["real"])
+    rest = ("measure", "stat", "dim", "grp", "value", "unit")
+    known = metrics.groupBy(_tidy(F.col("key")).alias("real")).agg(F.min(F.struct(*rest)).alias("m")).select("real", "m.*")  # of equal keys always the same one
     cited = citations(claims)
     exact = cited.join(known, cited["key"] == known["real"], "left")
     short = known.filter(F.contains("real", F.lit(".by."))).select(

@@ -29,14 +29,16 @@ MAX_METRIC_TERMS = 20
 BANDS = ("nen", "vua", "hiem")  # fixed values: background, middle, rare
 
 # Words without content (Vietnamese without accents, then English).
-STOPWORDS = """
-la cua va co the cho voi tu den nhu nao gi khong duoc mot cac cai nhung hay ra ve theo trong tren duoi ban toi
-chung ta minh nay do kia se da dang bi boi tai khi neu thi ma hon rat cung van chi moi nen phai can sau truoc
-giua hoac tuy vi nhat vao len xuong qua lai day no ho ai dau sao bao and or of to in on for with is are was were
-be been an this that these it as at by from has have had not but we the me my mine us our you your they them
-their he him his she her its would could should will can may might must am being do does did so if then than
-there what which who when where why how
-""".split()
+STOPWORDS = [
+    "la", "cua", "va", "co", "the", "cho", "voi", "tu", "den", "nhu", "nao", "gi", "khong", "duoc", "mot", "cac", "cai", "nhung", "hay",
+    "ra", "ve", "theo", "trong", "tren", "duoi", "ban", "toi", "chung", "ta", "minh", "nay", "do", "kia", "se", "da", "dang", "bi", "boi",
+    "tai", "khi", "neu", "thi", "ma", "hon", "rat", "cung", "van", "chi", "moi", "nen", "phai", "can", "sau", "truoc", "giua", "hoac",
+    "tuy", "vi", "nhat", "vao", "len", "xuong", "qua", "lai", "day", "no", "ho", "ai", "dau", "sao", "bao", "and", "or", "of", "to", "in",
+    "on", "for", "with", "is", "are", "was", "were", "be", "been", "an", "this", "that", "these", "it", "as", "at", "by", "from", "has",
+    "have", "had", "not", "but", "we", "the", "me", "my", "mine", "us", "our", "you", "your", "they", "them", "their", "he", "him", "his",
+    "she", "her", "its", "would", "could", "should", "will", "can", "may", "might", "must", "am", "being", "do", "does", "did", "so", "if",
+    "then", "than", "there", "what", "which", "who", "when", "where", "why", "how",
+]
 
 # Fixed pattern: a word, or a figure with separators and a percent sign.
 TOKEN = r"[a-z][a-z0-9_]*|-?\d[\d.,]*%?"
@@ -142,6 +144,7 @@ class Reading:
     """What was read: all terms, and the totals."""
 
     terms: DataFrame  # term, is_phrase, count, share, band, near_figure
+    every: DataFrame  # the same term and share with the words that phrases absorb
     total_words: int
     distinct_terms: int
 
@@ -161,7 +164,8 @@ def read(df: DataFrame, place: str, source: str) -> Reading:
     )
     share = F.col("count") / F.lit(float(max(size["total"], 1)))
     terms = both.select("term", "is_phrase", "count", F.round(share, 4).alias("share"), band(F.col("count"), share).alias("band"), "near_figure")
-    return Reading(terms, size["total"], size["distinct"])
+    every = words.select("term", "count").unionByName(phrases.select("term", "count")).withColumn("share", share)
+    return Reading(terms, every, size["total"], size["distinct"])
 
 
 
@@ -264,7 +268,7 @@ def read_column(df: DataFrame, place: str, source: str, inside: Column | None =
     hit = F.coalesce(inside, F.lit(False))
     reading, rest = read(df.filter(hit), place, source), read(df.filter(~hit), place, source)
     shown = share_out(reading.terms)
-    lifts = lift(shown, share_out(rest.terms, MAX_TERMS * 4), rest.total_words)
+    lifts = lift(shown, rest.every, rest.total_words)
     return to_metrics(reading, shown, lifts)
 
 
@@ -272,10 +276,11 @@ def read_column(df: DataFrame, place: str, source: str, inside: Column | None =
 
 RELEVANT = 0.25
 # Words that carry no meaning in a question about data.
-QUESTION_STOPWORDS = """
-la cua va co the cho voi tu den nhu nao gi khong duoc mot cac cai nhung hay o ra ve theo trong tren duoi ban toi
-chung ta minh nay do kia phan tich du lieu ket qua so bao cao muc gia tri
-""".split()
+QUESTION_STOPWORDS = [
+    "la", "cua", "va", "co", "the", "cho", "voi", "tu", "den", "nhu", "nao", "gi", "khong", "duoc", "mot", "cac", "cai", "nhung", "hay",
+    "o", "ra", "ve", "theo", "trong", "tren", "duoi", "ban", "toi", "chung", "ta", "minh", "nay", "do", "kia", "phan", "tich", "du", "lieu",
+    "ket", "qua", "so", "bao", "cao", "muc", "gia", "tri",
+]
 
 
 def _grams(source: Column) -> Column:
@@ -292,22 +297,22 @@ def relevance(df: DataFrame, key: str, source: str, question: str, threshold: fl
     ``key, score, kept, checked``.
     """
     spark = df.sparkSession
-    mine = df.filter(F.col(source).isNotNull()).select(F.col(key).cast("string").alias("_k"), F.col(source).alias("_t"))
-    asked = spark.createDataFrame([(None, question)], "_k string, _t string")
-    counted = mine.unionByName(asked).select("_k", F.explode(_grams(F.col("_t"))).alias("gram")).groupBy("_k", "gram").agg(F.count("*").alias("tf"))
+    mine = df.filter(F.col(source).isNotNull()).select(F.col(key).cast("string").alias("_k"), F.col(source).alias("_t"), F.lit(False).alias("_q"))
+    asked = spark.createDataFrame([(None, question, True)], "_k string, _t string, _q boolean")
+    counted = mine.unionByName(asked).select("_k", "_q", F.explode(_grams(F.col("_t"))).alias("gram")).groupBy("_k", "_q", "gram").agg(F.count("*").alias("tf"))
     total = mine.count() + 1
     spread = counted.groupBy("gram").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0 + total) / (1.0 + F.col("df"))) + 1.0
-    weighted = counted.join(spread, "gram").select("_k", "gram", ((1.0 + F.log("tf")) * idf).alias("w"))
+    weighted = counted.join(spread, "gram").select("_k", "_q", "gram", ((1.0 + F.log("tf")) * idf).alias("w"))
     # The question is one text: its weights are few and known to be few.
-    query = weighted.filter("_k IS NULL").select("gram", F.col("w").alias("q"))
+    query = weighted.filter("_q").select("gram", F.col("w").alias("q"))
     norm = query.agg(F.sqrt(F.sum(F.col("q") ** 2))).first()[0] or 0.0
     sums = (
-        weighted.filter("_k IS NOT NULL").join(F.broadcast(query), "gram", "left")
+        weighted.filter("NOT _q").join(F.broadcast(query), "gram", "left")
         .groupBy("_k").agg(F.sum(F.col("w") * F.coalesce("q", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") ** 2)).alias("len"))
     )
     cosine = F.coalesce(F.try_divide("dot", F.col("len") * F.lit(norm)), F.lit(0.0))
-    scored = mine.join(sums.select("_k", cosine.alias("score")), "_k", "left")
+    scored = mine.join(sums.select(F.col("_k").alias("_key"), cosine.alias("score")), F.col("_k").eqNullSafe(F.col("_key")), "left")
     comparable = text.accented(F.col("_t")) == text.accented(F.lit(question))
     score = F.coalesce("score", F.lit(0.0))
     return scored.select(

@@ -63,9 +63,13 @@ def tidied_names(raw: Sequence[object]) -> list[str]:
 
 def read_csv(spark: SparkSession, path: str, *, encoding: str = "utf-8", delimiter: str = ",", has_header: bool = True) -> DataFrame:
     """Delimited text with every column as text. The header is read as a row of data, so
-    repeated and empty names reach the tidying unchanged."""
+    repeated and empty names reach the tidying unchanged. Files are split among tasks unless some quoted cell spans lines, which
+    shows in a line with an odd number of quotes."""
     reader = spark.read.option("sep", delimiter).option("encoding", encoding.replace("-sig", "")).option("inferSchema", False)
-    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", False).option("nullValue", "")
+    reader = reader.option("quote", '"').option("escape", '"').option("nullValue", "")
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    spans = not spark.read.text(path).filter(odd % 2 == 1).isEmpty()
+    reader = reader.option("multiLine", spans)
     first = reader.option("header", False).csv(path).limit(1).first()
     width = len(first) if first else 0
     names = tidied_names(["" if v is None else v for v in first]) if first and has_header else [f"{UNNAMED}_{i + 1}" for i in range(width)]

@@ -312,3 +312,16 @@ def test_every_pair_is_kept(spark):
         found = stats.strongest_pairs(spark.createDataFrame(rows, schema), [f"c{j}" for j in range(width)])
         assert found.count() == width * (width - 1) // 2
         assert found.filter("n = 0").count() == width - 1
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,one\n')
+    (tmp_path / "b.csv").write_text('id,note\n1,"says ""hi"""\n')
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "a.csv")).collect()] == [("1", "two\nlines"), ("2", "one")]
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "b.csv")).collect()] == [("1", 'says "hi"')]
+
+
+def test_texts_without_a_key_are_no_questions(spark):
+    df = spark.createDataFrame([(None, "lead time grew"), ("1", "lead time grew"), ("2", "other words")], "k string, t string")
+    got = {r["k"]: r["score"] for r in textmine.relevance(df, "k", "t", "lead time").collect()}
+    assert got[None] == got["1"] > got["2"] == 0
