@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metricloom.operators.common import stacked
 from metricloom.scale import Sequenced
+from metricloom.session import materialize
 
 # Elements that carry an attribute.
 ATTRIBUTE_TAGS = ("string", "date", "int", "float", "boolean", "id")
-BATCH = 50_000  # cases read per step
 
 _PAIR = T.ArrayType(T.StructType([T.StructField("_key", T.StringType()), T.StructField("_value", T.StringType())]))
 _ATTRIBUTES = [T.StructField(tag, _PAIR) for tag in ATTRIBUTE_TAGS]
@@ -33,8 +34,14 @@ def _keys(holder: str) -> Column:
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """One row per trace element. Each file is streamed by one task, so large logs are best kept in many files."""
-    return spark.read.format("xml").option("rowTag", "trace").option("attributePrefix", "_").schema(_SCHEMA).load(path)
+    """One row per trace element that holds something. Files are cut at the end tags of traces, so many tasks share a large log.
+
+    An end tag inside a comment or a CDATA section is taken for a real one.
+    """
+    pieces = spark.read.option("lineSep", "</trace>").text(path)
+    opened = F.regexp_extract("value", r"(?s)^.*(<trace[\s>].*)$", 1)  # what stands before the first trace belongs to the log
+    traces = pieces.select(opened.alias("xml")).filter("xml <> ''").select(F.concat("xml", F.lit("</trace>")).alias("xml"))
+    return traces.select(F.from_xml("xml", _SCHEMA, {"attributePrefix": "_"}).alias("t")).select("t.*")
 
 
 def read_events(spark: SparkSession, path: str, trace_columns: Mapping[str, str], event_columns: Mapping[str, str]) -> DataFrame:
@@ -56,45 +63,39 @@ def unmapped_keys(spark: SparkSession, path: str, trace_columns: Mapping[str, st
     return outer.unionByName(inner).distinct()
 
 
-def _take(index: DataFrame, budget: int) -> tuple[list[str], int]:
-    """Cases in order that fit a budget; one that would overflow it is skipped.
+def _take(index: DataFrame, budget: int) -> tuple[list[DataFrame], int]:
+    """Cases in order that fit a budget, as tables; one that would overflow it is skipped.
 
-    The index is read in ordered batches of bounded size that only hold cases still able to
-    fit; what remains of the budget only shrinks, so a skipped case never fits later and
-    the choice is exact. Every case has at least one event, so at most ``budget`` are taken.
+    Each round takes the longest start of the cases that still fit. What remains of the budget only shrinks, so a case that
+    was skipped never fits later and the choice is exact.
     """
-    taken, left, after = [], budget, None
+    taken, left, rest = [], budget, index.select("case_id", "events")
     while left > 0:
-        fitting = index.filter(F.col("events") <= left)
-        if after is not None:
-            fitting = fitting.filter(F.col("case_id") > after)
-        batch = fitting.orderBy("case_id").limit(min(max(left, 1000), BATCH)).collect()
-        if not batch:
+        fitting = rest.filter(F.col("events") <= left)
+        placed = materialize(Sequenced(fitting, [], ["case_id"]).with_running_sum("upto", "events").rows())
+        start = placed.filter(F.col("upto") <= left)
+        got = start.agg(F.sum("events").alias("events"), F.max("case_id").alias("last")).first()
+        if got["last"] is None:
             break
-        for row in batch:
-            if row["events"] <= left:
-                taken.append(row["case_id"])
-                left -= row["events"]
-        after = batch[-1]["case_id"]
+        taken.append(start.select("case_id"))
+        left -= got["events"]
+        rest = placed.filter(F.col("case_id") > got["last"]).select("case_id", "events")
     return taken, budget - left
 
 
-def _ids(like: DataFrame, cases: list[str]) -> DataFrame:
-    """Chosen cases as a table; there are never more of them than the event budget."""
-    return like.sparkSession.createDataFrame([(c,) for c in cases], "case_id string")
-
-
-def select_cases(index: DataFrame, target_events: int, variant_share: float = 0.5) -> list[str]:
-    """Whole cases up to an event budget from ``case_id, variant, events``.
+def select_cases(index: DataFrame, target_events: int, variant_share: float = 0.5) -> DataFrame:
+    """``case_id`` of whole cases up to an event budget, from ``case_id, variant, events``.
 
     Part of the budget goes to the first case of each variant, the rest is filled in case
     order. Cases of one variant have equally many events, so one per variant is enough.
     """
+    index = materialize(index)
     firsts = index.groupBy("variant").agg(F.min("case_id").alias("case_id"), F.first("events").alias("events"))
     variants, used = _take(firsts, int(target_events * variant_share))
-    rest = index.join(_ids(index, variants), "case_id", "left_anti") if variants else index
+    chosen = stacked(variants) if variants else index.select("case_id").limit(0)
+    rest = index.join(chosen, "case_id", "left_anti")
     others, _ = _take(rest, target_events - used)
-    return sorted([*variants, *others])
+    return stacked([chosen, *others])
 
 
 def slice_log(df: DataFrame, case: str, activity: str, order: list[str], target_events: int, variant_share: float = 0.5) -> DataFrame:
@@ -104,6 +105,5 @@ def slice_log(df: DataFrame, case: str, activity: str, order: list[str], target_
     # Order-sensitive signature without collecting a trace: two sums over hashes of (position, activity).
     sums = [F.sum(F.xxhash64(F.lit(seed), "_pos", "_a").cast("decimal(38,0)")).cast("string") for seed in (1, 2)]
     index = placed.groupBy("case_id").agg(F.concat_ws("|", F.count("*").cast("string"), *sums).alias("variant"), F.count("*").alias("events"))
-    chosen = select_cases(index, target_events, variant_share)
-    wanted = _ids(df, chosen).withColumnRenamed("case_id", "_case")
+    wanted = select_cases(index, target_events, variant_share).withColumnRenamed("case_id", "_case")
     return df.join(wanted, F.col(case).cast("string") == F.col("_case"), "left_semi")

@@ -242,11 +242,24 @@ def brute_cases(index, target, share=0.5):
 
 
 @pytest.mark.parametrize("target", [5, 37, 90, 10_000])
-def test_slice_equals_brute_force(spark, target, monkeypatch):
-    monkeypatch.setattr(xes, "BATCH", 4)
+def test_slice_equals_brute_force(spark, target):
     index = [(f"c{i:03d}", f"v{i % 7}", 3 + (i % 7) * 2) for i in range(60)]
     df = spark.createDataFrame(index, "case_id string, variant string, events int")
-    assert xes.select_cases(df, target) == brute_cases(index, target)
+    assert sorted(r["case_id"] for r in xes.select_cases(df, target).collect()) == brute_cases(index, target)
+
+
+def test_traces_are_shared_among_tasks(spark, tmp_path):
+    event = '<event><string key="concept:name" value="a{0}"/><date key="time:timestamp" value="2020-01-0{0}"/></event>'
+    traces = [f'<trace>\n<string key="concept:name" value="c{k}"/>' + "".join(event.format(j + 1) for j in range(k % 3 + 1)) + "</trace>" for k in range(2000)]
+    (tmp_path / "log.xes").write_text('<?xml version="1.0"?><log><extension name="x"/><global><string key="g" value="1"/></global>' + "\n".join(traces) + "</log>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        events = xes.read_events(spark, str(tmp_path / "log.xes"), {"concept:name": "case_id"}, {"concept:name": "activity"})
+        assert events.rdd.getNumPartitions() > 3
+        got = events.groupBy("case_id").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["case_id"]: r["count"] for r in got} == {f"c{k}": k % 3 + 1 for k in range(2000)}
 
 
 def test_profile_ignores_partitioning(spark):
