@@ -36,10 +36,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = piece_model()
-    found = pieces.encode(docs, model)
-    again = pieces.decoded(F.col("ids"), model)
-    return found.select("doc_id", "source", "lang", F.size("ids").alias("n_ids"), "ids", again.eqNullSafe(F.col("text")).alias("round_trip"))
+    found = pieces.encode(docs, piece_model(), check="round_trip", keep_text=False)
+    return found.select("doc_id", "source", "lang", F.size("ids").alias("n_ids"), "ids", "round_trip")
 
 
 def _measured(docs: DataFrame) -> DataFrame:

@@ -33,10 +33,11 @@ from metricloom.llm.common import column, text_bytes
 
 BLANK = "▁"
 #: Bytes of text encoded at once, words that a partition remembers, and the word length from which words are folded singly.
-CHUNK = 3_000_000
-REMEMBERED = 1_500_000
+CHUNK = 1_000_000
+REMEMBERED = 500_000
 LONG = 48
 OF_POINTS = 0x9E3779B97F4A7C15
+SLOTS = 19  # bits of the number of remembered pairs
 NONE, UNKNOWN, START = -1, -2, -3
 FREE = 1 << 40  # a rank that no merge has
 
@@ -104,6 +105,8 @@ class Encoder:
         by_hash = sorted((self._hash(np.array([[ord(c) for c in t]]))[0], i) for t, i in formed.items())
         self.hashes = np.array([h for h, _ in by_hash], np.uint64)
         self.ids = np.array([i for _, i in by_hash], np.int64)
+        self.likely = np.zeros(1 << 20, bool)  # by the first bits of a hash: whether any piece has them
+        self.likely[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
     @staticmethod
     def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +121,26 @@ class Encoder:
         up, _ = self._powers(points.shape[1])
         return ((points.astype(np.uint64) + np.uint64(1)) * up[None, :]).sum(axis=1, dtype=np.uint64)
 
-    def hold(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """True where no merge across the border of pieces ``a`` and ``b`` comes before the merges inside them."""
+    def hold(self, a: np.ndarray, b: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """True where no merge across the border of pieces ``a`` and ``b`` comes before the merges inside them.
+
+        ``known`` remembers pairs: a key and an answer in each slot, a newer pair taking the slot of an older one.
+        """
+        if known is None:
+            return self._hold(a, b)
+        pair = (a << np.int64(32)) + b
+        slot = (pair.view(np.uint64) * np.uint64(OF_POINTS) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        ok, new = known[1][slot], np.flatnonzero(known[0][slot] != pair)
+        if len(new):
+            ok[new] = known[1][slot[new]] = self._hold(a[new], b[new])
+            known[0][slot[new]] = pair[new]
+            clash = new[known[0][slot[new]] != pair[new]]  # two new pairs of this call in one slot: the later one stays
+            known[1][slot[new]] = ok[new]
+            if len(clash):
+                known[0][slot[clash]] = -1
+        return ok
+
+    def _hold(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ok = np.ones(len(a), bool)
         at = np.flatnonzero((a >= 0) & (b >= 0))  # an unknown character or the start of the word merges with nothing
         a, b, limit = a[at], b[at], np.full(len(at), FREE)
@@ -138,8 +159,11 @@ class Encoder:
             a, b = np.where(left, self.right[a], a), np.where(left, b, self.left[b])
         return ok
 
-    def fold(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words of one length, a row each: all ids in a row, and how many each word has."""
+    def fold(self, points: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of one length, a row each: all ids in a row, and how many each word has.
+
+        Short pieces are tried first; a word whose piece is found drops out of the longer ones.
+        """
         n, length = points.shape
         up, down = self._powers(length + 1)
         sums = np.zeros((n, length + 1), np.uint64)
@@ -148,18 +172,23 @@ class Encoder:
         begin = np.zeros((n, length + 1), np.int32)
         last[:, 0] = START
         for j in range(1, length + 1):
-            for i in range(max(0, j - self.longest), j):
-                rows = np.flatnonzero((last[:, j] == NONE) & (last[:, i] != NONE))
-                if not len(rows):
-                    continue
-                h = (sums[rows, j] - sums[rows, i]) * down[i]
+            open_ = np.arange(n)
+            for i in range(j - 1, max(0, j - self.longest) - 1, -1):
+                h = (sums[open_, j] - sums[open_, i]) * down[i]
+                some = np.flatnonzero(self.likely[(h >> np.uint64(44)).astype(np.int64)] & (last[open_, i] != NONE))
+                rows, h = open_[some], h[some]
                 k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                piece = np.where(self.hashes[k] == h, self.ids[k], NONE) if len(self.hashes) else np.full(len(rows), NONE)
-                if i == j - 1:
-                    piece[piece == NONE] = UNKNOWN
-                rows, piece = rows[piece != NONE], piece[piece != NONE]
-                ok = self.hold(last[rows, i], piece)
-                last[rows[ok], j], begin[rows[ok], j] = piece[ok], i
+                right = self.hashes[k] == h
+                rows, piece = rows[right], self.ids[k[right]]
+                if len(rows):
+                    ok = self.hold(last[rows, i], piece, known)
+                    last[rows[ok], j], begin[rows[ok], j] = piece[ok], i
+                if i == j - 1:  # a character without a piece is in no longer piece either
+                    odd = np.setdiff1d(open_[last[open_, i] != NONE], rows, assume_unique=True)
+                    last[odd, j], begin[odd, j] = UNKNOWN, i
+                open_ = open_[last[open_, j] == NONE]
+                if not len(open_):
+                    break
         ends, path, everyone = np.full(n, length), [], np.arange(n)
         while (ends > 0).any():
             path.append(np.where(ends > 0, np.where(last[everyone, ends] == UNKNOWN, -2 - points[everyone, np.maximum(ends - 1, 0)].astype(np.int64), last[everyone, ends]), NONE))
@@ -217,23 +246,38 @@ class Encoder:
             n -= k
         return out
 
-    def words(self, points: np.ndarray, start: np.ndarray, size: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words given by their place in ``points``; ``extra`` blanks stand before each."""
-        found: list[np.ndarray | None] = [None] * len(start)
-        for length in np.unique(size).tolist():
-            rows = np.flatnonzero(size == length)
+    def words(self, points: np.ndarray, start: np.ndarray, size: np.ndarray, extra: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words given by their place in ``points``: all ids, where each word's begin, and how many it has.
+        ``extra`` blanks stand before each."""
+        parts, at, n, total = [np.zeros(0, np.int32)], np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), 0
+
+        def store(rows: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+            nonlocal total
+            ids, counts = self._spelled(ids, counts)
+            at[rows], n[rows] = total + np.cumsum(counts) - counts, counts
+            parts.append(ids)
+            total += len(ids)
+
+        order = np.argsort(size, kind="stable")
+        lengths, first = np.unique(size[order], return_index=True)
+        for length, rows in zip(lengths.tolist(), np.split(order, first[1:])):
             if length > LONG:
                 for r in rows.tolist():
-                    found[r] = self._spelled(ids := self.fold_long(points[start[r] : start[r] + length]), np.array([len(ids)]))[0]
+                    ids = self.fold_long(points[start[r] : start[r] + length])
+                    store(np.array([r]), ids, np.array([len(ids)]))
                 continue
-            for part in np.array_split(rows, -(-len(rows) // 20_000)):
-                ids, counts = self._spelled(*self.fold(points[start[part][:, None] + np.arange(length)]))
-                for r, some in zip(part.tolist(), np.split(ids, np.cumsum(counts)[:-1])):
-                    found[r] = some
+            for k in range(0, len(rows), 20_000):
+                some = rows[k : k + 20_000]
+                store(some, *self.fold(points[start[some][:, None] + np.arange(length)], known))
+        flat = np.concatenate(parts)
         for r in np.flatnonzero(extra).tolist():
-            joins = len(found[r]) and found[r][0] == self.blank  # the word's own blank is left over too
-            found[r] = np.array(self._blank_run(int(extra[r]) + int(joins)) + found[r][int(joins) :].tolist(), np.int32)
-        return np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int32), np.array([len(f) for f in found], np.int64)
+            own = flat[at[r] : at[r] + n[r]].tolist()
+            joins = bool(own) and own[0] == self.blank  # the word's own blank is left over too
+            ids = np.array(self._blank_run(int(extra[r]) + int(joins)) + own[int(joins) :], np.int32)
+            at[r], n[r] = total, len(ids)
+            parts.append(ids)
+            total += len(ids)
+        return np.concatenate(parts), at, n
 
 
 class _Memory:
@@ -241,6 +285,7 @@ class _Memory:
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
+        self.pairs = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, bool)
         self.clear()
 
     def clear(self) -> None:
@@ -253,8 +298,8 @@ class _Memory:
         k = np.searchsorted(self.keys, keys)
         new = np.flatnonzero(self.keys[np.minimum(k, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
-            ids, n = self.encoder.words(points, start[new], size[new], extra[new])
-            at = len(self.ids) + np.cumsum(n) - n
+            ids, at, n = self.encoder.words(points, start[new], size[new], extra[new], self.pairs)
+            at = at + len(self.ids)
             order = np.argsort(all_keys := np.concatenate((self.keys, keys[new])), kind="stable")
             self.keys = all_keys[order]
             self.at, self.n = np.concatenate((self.at, at))[order], np.concatenate((self.n, n))[order]
@@ -295,17 +340,42 @@ class _Memory:
         return self.ids[flat], upto[np.searchsorted(begin, bounds)]
 
 
+class _Decoder:
+    """Texts of ids, from one gather of the pieces' bytes."""
+
+    def __init__(self, pieces: PieceTable):
+        byte_of = {i: bytes([b]) for b, i in pieces.byte_ids.items()}
+        plain = [byte_of.get(i, b"" if pieces.silent[i] else " ⁇ ".encode() if i == pieces.unknown else t.replace(BLANK, " ").encode()) for i, t in enumerate(pieces.texts)]
+        bare = [p[1:] if p.startswith(b" ") and i not in byte_of else p for i, p in enumerate(plain)]
+        self.size, self.table = len(plain), plain + bare
+
+    def texts(self, flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """``flat`` holds the ids of all texts, ``bounds`` their n + 1 offsets."""
+        ids = flat.astype(np.int64)
+        ids[bounds[:-1][np.diff(bounds) > 0]] += self.size  # the first piece of a text loses the blank that was put before it
+        _, offsets, data = pa.array(self.table, pa.binary()).take(pa.array(ids)).buffers()
+        ends = np.frombuffer(offsets, np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        texts = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends[bounds])), data])
+        try:
+            return texts.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([t.as_py().decode("utf-8", "replace") for t in texts], pa.string())
+
+
 @cache
-def encoder_of(model_file: str) -> Encoder:
-    return Encoder(PieceTable(model_file))
+def coders_of(model_file: str) -> tuple[Encoder, _Decoder]:
+    pieces = PieceTable(model_file)
+    return Encoder(pieces), _Decoder(pieces)
 
 
-def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the ids of ``text`` as an array column; a column of that name is replaced."""
-    encoder = encoder_of(model_file)
-    names = [c for c in df.columns if c != ids]
+def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids", *, check: str | None = None, keep_text: bool = True) -> DataFrame:
+    """``df`` with the ids of ``text`` as an array column, and on request with a column ``check`` that says whether
+    decoding them gives the text back. Columns of these names are replaced."""
+    encoder, decoder = coders_of(model_file)
+    names = [c for c in df.columns if c not in (ids, check)]
     place = names.index(text)
     plain = df.select(*[column(df, c).alias(f"c{k}") for k, c in enumerate(names)])
+    kept = [k for k in range(len(names)) if keep_text or k != place]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Memory(encoder)
@@ -316,38 +386,37 @@ def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids")
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
                 flat, ends = memory.encode(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
                 part = batch.slice(at, to - at)
-                gone = np.array(part.column(place).is_null(), bool)
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()), mask=pa.array(gone))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "ids"])
+                gone = part.column(place).is_null()
+                out = {f"c{k}": part.column(k) for k in kept}
+                out["ids"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()), mask=gone)
+                if check:
+                    same = pa.compute.equal(decoder.texts(flat, ends), part.column(place).fill_null(""))
+                    out["check"] = pa.compute.if_else(gone, True, same)
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
                 at = to
 
-    kinds = T.StructType([*plain.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return plain.mapInArrow(run, kinds).toDF(*names, ids)
+    kinds = [plain.schema.fields[k] for k in kept] + [T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    kinds += [T.StructField("check", T.BooleanType())] if check else []
+    return plain.mapInArrow(run, T.StructType(kinds)).toDF(*[names[k] for k in kept], ids, *([check] if check else []))
+
+
+#: Lists of ids decoded at once.
+LISTS = 500
 
 
 def decoded(ids: Column, model_file: str) -> Column:
     """The text of an array of ids; null for null."""
-    pieces = PieceTable(model_file)
-    byte_of = {i: bytes([b]) for b, i in pieces.byte_ids.items()}
-    plain = [byte_of.get(i, b"" if pieces.silent[i] else " ⁇ ".encode() if i == pieces.unknown else t.replace(BLANK, " ").encode()) for i, t in enumerate(pieces.texts)]
-    bare = [p[1:] if p.startswith(b" ") and i not in byte_of else p for i, p in enumerate(plain)]
-    size = len(plain)
+    _, decoder = coders_of(model_file)
 
     @F.arrow_udf("string")
     def join(lists: pa.Array) -> pa.Array:
-        table = pa.array(plain + bare, pa.binary())
-        bounds = np.concatenate(([0], np.cumsum(np.array(lists.value_lengths().fill_null(0)))))
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        flat[bounds[:-1][np.diff(bounds) > 0]] += size  # the first piece of a text loses the blank that was put before it
-        joined = table.take(pa.array(flat))
-        _, offsets, data = joined.buffers()
-        ends = np.frombuffer(offsets, np.int32)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
-        texts = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(ends[bounds])), data])
-        try:
-            whole = texts.cast(pa.string())
-        except pa.ArrowInvalid:
-            whole = pa.array([t.as_py().decode("utf-8", "replace") for t in texts], pa.string())
-        return pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.string()), whole)
+        out = []
+        for at in range(0, len(lists), LISTS):
+            some = lists.slice(at, LISTS)
+            bounds = np.concatenate(([0], np.cumsum(np.array(some.value_lengths().fill_null(0)))))
+            texts = decoder.texts(some.flatten().to_numpy(zero_copy_only=False), bounds)
+            out.append(pa.compute.if_else(some.is_null(), pa.scalar(None, pa.string()), texts))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return join(ids)
 

@@ -168,7 +168,8 @@ def test_ids_are_the_models_own(spark, docs):
 
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     both = docs.select("doc_id", "text", "ids").unionByName(spark.createDataFrame([(-1, t, "clash") for t in ODD], "doc_id bigint, text string, ids string"))
-    found = pieces.encode(both, MODEL)
+    found = pieces.encode(both, MODEL, check="n_chars")
+    assert found.filter("NOT n_chars").count() == 0
     rows = found.withColumn("again", pieces.decoded(F.col("ids"), MODEL)).collect()
     assert len(rows) == both.count()
     for r in rows:
@@ -178,7 +179,7 @@ def test_ids_are_the_models_own(spark, docs):
 
 
 def test_long_words_fold_alike():
-    encoder = pieces.encoder_of(MODEL)
+    encoder, _ = pieces.coders_of(MODEL)
     word = np.array([[ord(c) for c in pieces.BLANK + "internationalisation"]], np.uint32)
     assert encoder.fold(word)[0].tolist() == encoder.fold_long(word[0]).tolist()
 
