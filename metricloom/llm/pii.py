@@ -33,8 +33,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: What may surround an identifier inside its token.
 TRIM = "\"'()[]{}<>,;:.!?"
-#: Characters before a token in which the word before it is looked for.
-REACH = 48
 
 
 def _digits(hit: Column) -> Column:
@@ -80,14 +78,13 @@ def _instances(text: Column, base: Column) -> Column:
     """Tokens with a digit or an at sign: place, bare form, word before, whether a base span touches them."""
 
     def describe(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - REACH + 1, F.lit(1)), F.least(s["start"], F.lit(REACH)))
         bare = F.btrim(s["hit"], F.lit(TRIM))
         lead = F.length(s["hit"]) - F.length(F.ltrim(s["hit"], F.lit(TRIM)))
         start = s["start"] + lead
         seed = F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
         return F.struct(
             start.alias("start"), (start + F.length(bare)).alias("end"), bare.alias("token"),
-            F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1)).alias("left"), seed.alias("seed"),
+            F.lower(F.regexp_extract(s["before"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1)).alias("left"), seed.alias("seed"),
         )
 
     return F.transform(S.matches(text, TOKEN), describe)

@@ -7,31 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<start:int,end:int,hit:string>>"
+SPAN = "array<struct<start:int,end:int,hit:string,before:string>>"
+#: Characters before a match that are kept with it, back to the previous match at most.
+REACH = 48
 
 
 def matches(text: Column, pattern: str, keep: Callable[[Column, Column], Column] | None = None, group: int = 0) -> Column:
-    """Leftmost matches that do not overlap, as an array of (start, end, hit); places in code points, end exclusive.
+    """Leftmost matches that do not overlap, as an array of (start, end, hit, before); places in code points, end exclusive.
 
     The texts between the matches and the matches themselves alternate, so adding up their lengths gives
     the places. ``keep(hit, group)`` drops matches after the search.
     """
-    regex = F.lit(pattern)
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, regex, F.lit(0))
-    part = F.regexp_extract_all(text, regex, F.lit(group)) if group else hits
-    pieces = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), part.alias("part"))
-    pieces = pieces.cast("array<struct<gap:string,hit:string,part:string>>")
 
     def step(state: Column, piece: Column) -> Column:
         start = state["at"] + F.length(piece["gap"])
         end = start + F.length(piece["hit"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("hit")))
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("hit"), F.right(piece["gap"], F.lit(REACH)).alias("before")))
         kept = one if keep is None else F.when(keep(piece["hit"], piece["part"]), one).otherwise(nothing())
         return F.struct(end.alias("at"), F.concat(state["out"], kept).alias("out"))
 
+    def after(state: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), (s["end"] + state["at"]).alias("end"), s["hit"].alias("hit"), s["before"].alias("before")))
+        return F.struct((state["at"] + block["at"]).alias("at"), F.concat(state["out"], moved).alias("out"))
+
+    def located(pieces: Column) -> Column:
+        # In blocks of about the square root of their number, as an array that grows by one piece is copied each time.
+        wide = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.size(pieces) - 1, wide), lambda k: F.aggregate(F.slice(pieces, k + 1, wide), first, step))
+        return F.aggregate(blocks, first, after)["out"]
+
     first = F.struct(F.lit(0).alias("at"), nothing().alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pieces, first, step)["out"]).otherwise(nothing())
+    parts = bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.arrays_zip(
+        F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"),
+        (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits).alias("part")).cast("array<struct<gap:string,hit:string,part:string>>"))
+    return F.when(text.rlike(pattern), bound(parts, located)).otherwise(nothing())
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def nothing() -> Column:
