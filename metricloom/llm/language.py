@@ -32,7 +32,7 @@ ORDERS = (2, 3, 4)
 BITS = 16
 DIMENSIONS = 12
 #: Bytes of text that are turned into buckets at once.
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -76,10 +76,9 @@ class LanguageModel:
         """Average logits of each text."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         at, n = 0, len(offsets) - 1
-        data = _LOWER[data]
         while at < n:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
-            part, own = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            part, own = _LOWER[data[offsets[at] : offsets[to]]], offsets[at : to + 1] - offsets[at]
             count = np.zeros(to - at)
             for order in ORDERS:
                 if len(part) < order:

@@ -16,8 +16,8 @@ rows grow. On vectors without structure, such as points spread evenly over a sph
 recall of 0.9 needs about half of the rows.
 
 Cases: vectors that are null, all zero, or hold a null or a non-finite component take no part, nor do rows with a null id.
-Vectors of another length than the most frequent one take no part. Repeated ids are
-rows of their own; a query never meets rows of its own id. Ties go to the smaller id. An empty table gives no rows.
+Vectors of another length than the most frequent one take no part. Repeated rows are
+candidates of their own, but one query; a query never meets rows of its own id. Ties go to the smaller id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -157,7 +157,8 @@ def nearest(
     asking = max(1, -(-most["asking"] // query_block_rows))
     row = F.xxhash64("id", "vector")
     held = rows.select("id", "vector", F.pmod(row, F.lit(blocks)).cast("bigint").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asking - 1))).alias("part"))
-    asked = rows.filter("asks").select("id", "vector", row.alias("row"), F.pmod(F.xxhash64(row), F.lit(asking)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
+    asked = rows.filter("asks").withColumn("row", row).dropDuplicates(["row"])  # a repeated query row is one query
+    asked = asked.select("id", "vector", "row", F.pmod(F.xxhash64("row"), F.lit(asking)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
 
     def visit(key: tuple, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         return _best(queries, block, top, share, trees, bits, seed)
