@@ -23,6 +23,30 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+def _secrets_sql() -> str:
+    """Places of the matches from the lengths of the texts between them, as the operator counts them, by plain search of every text."""
+    each = []
+    for place, rule in enumerate(secrets.BASE + secrets.MORE):
+        regex = rule.pattern.replace("'", "''")
+        each.append(
+            f"SELECT r, {place} AS place, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(t, '{regex}') AS gaps, "
+            f"regexp_extract_all(t, '{regex}') AS hits, regexp_extract_all(t, '{regex}', {rule.group}) AS parts FROM d WHERE regexp_matches(t, '{regex}')"
+        )
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{rule.kind}') AS n_{rule.kind}" for rule in secrets.BASE)
+    listed = "coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place){}, '')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    m AS ({" UNION ALL ".join(each)}),
+    p AS (SELECT r, place, kind, least, gaps, hits, parts, unnest(range(1, len(hits) + 1)) AS i FROM m),
+    q AS (SELECT r, place, kind, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a, length(hits[i]) AS n
+      FROM p WHERE length(parts[i]) >= least),
+    s AS (SELECT r, place, kind, a::BIGINT AS a, (a + n)::BIGINT AS b FROM q)
+    SELECT doc_id, {counts}, sha256({listed.format(f" FILTER (WHERE place < {len(secrets.BASE)})")}) AS base_sha256, {listed.format("")} AS spans
+    FROM d LEFT JOIN s USING (r) GROUP BY r, doc_id"""
+
+
+ORACLES["op1_secret_scan"] = _secrets_sql()
+
+
 @query
 def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(table(spark, folder, "documents", "doc_id", "text"))
