@@ -40,6 +40,16 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
+#: Rows in an Arrow batch of whole texts. Spark's default would put 10,000 of them, whatever their length, into one.
+BATCH_CONF, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "500"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch for this session, unless it was set to something else than the default."""
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string or binary array and the n + 1 offsets into them; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import column, fresh, text_bytes
+from metricloom.llm.common import column, fresh, small_batches, text_bytes
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -182,6 +182,7 @@ def prediction(model: LanguageModel | None, text: Column) -> Column:
 
 def identify(df: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
     """``df`` with lang_pred, score and rejected; columns of ``df`` with these names are replaced."""
+    small_batches(df.sparkSession)
     own = fresh(df, "found")
     out = df.withColumn(own, prediction(model, column(df, text)))
     return out.withColumns({c: F.col(own)[c] for c in ("lang_pred", "score", "rejected")}).drop(own)
@@ -189,5 +190,6 @@ def identify(df: DataFrame, model: LanguageModel | None, text: str = "text") ->
 
 def keep_identified(df: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
     """The rows whose language is recognised, with the columns of ``df``."""
+    small_batches(df.sparkSession)
     own = fresh(df, "found")
     return df.withColumn(own, prediction(model, column(df, text))).filter(~F.col(own)["rejected"]).drop(own)

@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricloom.llm.common import column, text_bytes
+from metricloom.llm.common import column, small_batches, text_bytes
 
 BLANK = "▁"
 #: Bytes of text encoded at once, words that a partition remembers, and the word length from which words are folded singly.
-CHUNK = 1_000_000
+CHUNK = 500_000
 REMEMBERED = 500_000
 LONG = 48
 OF_POINTS = 0x9E3779B97F4A7C15
@@ -266,8 +266,8 @@ class Encoder:
                     ids = self.fold_long(points[start[r] : start[r] + length])
                     store(np.array([r]), ids, np.array([len(ids)]))
                 continue
-            for k in range(0, len(rows), 20_000):
-                some = rows[k : k + 20_000]
+            for k in range(0, len(rows), 5_000):
+                some = rows[k : k + 5_000]
                 store(some, *self.fold(points[start[some][:, None] + np.arange(length)], known))
         flat = np.concatenate(parts)
         for r in np.flatnonzero(extra).tolist():
@@ -371,6 +371,7 @@ def coders_of(model_file: str) -> tuple[Encoder, _Decoder]:
 def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids", *, check: str | None = None, keep_text: bool = True) -> DataFrame:
     """``df`` with the ids of ``text`` as an array column, and on request with a column ``check`` that says whether
     decoding them gives the text back. Columns of these names are replaced."""
+    small_batches(df.sparkSession)
     encoder, decoder = coders_of(model_file)
     names = [c for c in df.columns if c not in (ids, check)]
     place = names.index(text)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import column, fresh, text_bytes
+from metricloom.llm.common import column, fresh, small_batches, text_bytes
 from metricloom.session import materialize
 
 BUDGET = 3
@@ -277,6 +277,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", *, shingle: int = 5, budget: int = BUDGET) -> DataFrame:
     """``row_id, fp, component_id`` for every row: the 64-bit fingerprint as bytes, and the smallest id reachable over links."""
+    small_batches(df.sparkSession)
     prints = materialize(df.select(column(df, row_id).alias("id"), fingerprint(column(df, text), shingle).alias("fp")))
     joined = components(links(prints.select("fp").distinct(), budget)).withColumnRenamed("node", "fp")
     rows = materialize(prints.join(joined, "fp", "left").select("id", "fp", F.coalesce("root", "fp").alias("root")))
@@ -286,6 +287,7 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", *
 
 def keep_one(df: DataFrame, row_id: str = "doc_id", text: str = "text", *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of ``df``: that of the smallest id, a null id last."""
+    small_batches(df.sparkSession)
     seen = F.xxhash64(F.coalesce(column(df, text), F.lit("")))
     prints = materialize(df.select(column(df, row_id).alias("id"), seen.alias("seen"), fingerprint(column(df, text), shingle, WIDE).alias("fp")))
     nodes = materialize(prints.select("fp").distinct())
