@@ -22,7 +22,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
     "prf1_profile_columns", "prf17_examine", "prc3_event_variants", "prc6_transitions", "prc7_process_metrics", "prc10_cohort_gap", "prc12_sequence_order",
     "agg3_summaries", "agg6_breakdowns", "agg_metric_set", "agg11_folded_legend", "sta1_correlate", "sta3_separation", "sta5_two_groups", "tim7_timeline", "cln5_cast_numeric",
-    "cln11_apply_rules", "sql1_mart", "val9_report", "txt2_term_counts", "txt6_share_out", "pii2_masked_rows", "hsh1_content_hash", "src7_html_lines",
+    "cln11_apply_rules", "sql1_mart", "val9_report", "txt2_term_counts", "txt6_share_out", "pii2_masked_rows", "hsh1_content_hash", "src7_html_lines", "src10_xes_events",
 ]
 
 
