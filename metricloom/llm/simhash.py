@@ -12,10 +12,12 @@ of these edges are found by hooking each node to its smallest neighbour, shorten
 
 * ``near_duplicates``: 64 bits, budget 3, exact. Two fingerprints within three bits agree on one of four 16-bit blocks, and on one of four
   12-bit blocks of the remaining 48, so each is filed under 16 keys.
-* ``keep_one``: similarity of shingle sets. 64 bits cannot tell a similarity of 0.8 from 0.6, so the
-  fingerprint has 512 bits and the budget is the angle that belongs to the similarity plus one
-  standard deviation. A key is a random choice of bits; how many bits follows from the number of fingerprints, and how
-  many keys from the bits, so that a pair at the threshold shares a key with a chance of 0.99 at every size.
+* ``keep_one``: similarity of shingle sets, so each different shingle votes once. 64 bits cannot tell a similarity of 0.8 from 0.6, so the
+  fingerprint has 512 bits and the budget is the angle that belongs to the similarity plus three
+  standard deviations. A key is a random choice of bits; how many bits follows from the number of fingerprints, and how
+  many keys from the bits, so that a pair at the threshold shares a key with a chance of 0.99 at every size. These links are only
+  candidates: one counts if the shingle sets themselves are as similar as asked. First the edges of a spanning forest of the
+  candidates are measured; where some of a candidate component's edges fail, all its links between the parts that hold are measured too.
 
 Cases: null, empty and blank texts have fingerprint zero and link like any other. Rows with a
 null id are nodes too; a component with no id at all has a null component_id. Repeated rows give repeated result
@@ -44,20 +46,33 @@ RECALL = 0.99
 #: Node pairs that are walked at once, and hashes whose bits are counted at once.
 FRONTIER = 1 << 19
 COUNTED = 1 << 16
+#: Edges given back at once, and rounds in which each fingerprint has one of its links measured, before all that are left are.
+GIVEN = 1 << 16
+ROUNDS = 2
 
 
-def fingerprint_of(text: bytes, shingle: int, wide: int = 1) -> bytes:
-    """``wide`` big-endian 64-bit words; the first comes from the hashes themselves, each further one from a mix of them."""
+def hashes_of(text: bytes, shingle: int) -> list[int]:
+    """Hashes of the shingles in order, repeats included."""
     parts = text.lower().split()
     if not parts:
-        return bytes(8 * wide)
+        return []
     joined = b" ".join(parts)
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     end = np.cumsum(size + 1) - 1
     start = end - size
     span = min(shingle, len(parts))
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(start[: len(parts) - span + 1].tolist(), end[span - 1 :].tolist())]
+    return [digest(joined[a:b], SEED) for a, b in zip(start[: len(parts) - span + 1].tolist(), end[span - 1 :].tolist())]
+
+
+def fingerprint_of(text: bytes, shingle: int, wide: int = 1, once: bool = False) -> bytes:
+    """``wide`` big-endian 64-bit words; the first comes from the hashes themselves, each further one from a mix of them.
+    With ``once`` a repeated shingle counts once."""
+    hashes = hashes_of(text, shingle)
+    if once:
+        hashes = np.unique(np.array(hashes, np.uint64))
+    if not len(hashes):
+        return bytes(8 * wide)
     ones = np.zeros(64 * wide, np.int64)
     for at in range(0, len(hashes), COUNTED // wide):
         some = np.array(hashes[at : at + COUNTED // wide], np.uint64)
@@ -73,12 +88,23 @@ def _mixed(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: Column, shingle: int = 5, wide: int = 1) -> Column:
+def fingerprint(text: Column, shingle: int = 5, wide: int = 1, once: bool = False) -> Column:
     """The fingerprint as big-endian bytes."""
 
     @F.arrow_udf("binary")
     def hashed(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint_of(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, wide) for t in texts], pa.binary())
+        return pa.array([fingerprint_of(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, wide, once) for t in texts], pa.binary())
+
+    return hashed(text)
+
+
+def shingle_set(text: Column, shingle: int = 5) -> Column:
+    """The different shingle hashes, ascending."""
+
+    @F.arrow_udf("array<bigint>")
+    def hashed(texts: pa.Array) -> pa.Array:
+        sets = [np.unique(np.array(hashes_of(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle), np.uint64)).view(np.int64) for t in texts]
+        return pa.array(sets, pa.list_(pa.int64()))
 
     return hashed(text)
 
@@ -151,15 +177,41 @@ def _hook(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def _forest(key: np.ndarray, value: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((*value.T[::-1], key))
-    key, value = key[order], value[order]
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    parent = np.arange(len(key))
+def _forest(value: np.ndarray, label: np.ndarray, starts: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each value with the root of its component."""
+    parent = np.arange(len(value))
     for i, j in trie_links(value, starts, budget):
         parent = _hook(parent, i, j)
-    low = np.flatnonzero(parent != np.arange(len(key)))
-    return value[low], value[parent[low]]
+    low = np.flatnonzero(parent != np.arange(len(value)))
+    yield low, parent[low]
+
+
+def _linked_forest(value: np.ndarray, label: np.ndarray, starts: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest whose edges are links themselves, those of fewer bits first."""
+    parent = np.arange(len(value))
+    for limit in (2 * budget // 3, budget):
+        for i, j in trie_links(value, starts, limit):
+            while True:
+                a, b = parent[i], parent[j]
+                apart = a != b
+                if not apart.any():
+                    break
+                i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+                high, first = np.unique(np.maximum(a, b), return_index=True)
+                parent[high] = np.minimum(a, b)[first]
+                yield i[first], j[first]
+                while True:
+                    up = parent[parent]
+                    if (up == parent).all():
+                        break
+                    parent = up
+
+
+def _across(value: np.ndarray, label: np.ndarray, starts: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links between values of different labels."""
+    for i, j in trie_links(value, starts, budget):
+        apart = label[i] != label[j]
+        yield i[apart], j[apart]
 
 
 def _words(prints: pa.Array) -> np.ndarray:
@@ -199,48 +251,104 @@ def _chosen_keys(bits: int, keys: int, wide: int):
     return of
 
 
-def links(distinct: DataFrame, budget: int = BUDGET, keys_of=_block_keys) -> DataFrame:
-    """Spanning edges ``a, b`` of the links between the distinct fingerprints ``fp`` at most ``budget`` bits apart that share a key."""
+def links(distinct: DataFrame, budget: int = BUDGET, keys_of=_block_keys, pick=_forest) -> DataFrame:
+    """Edges ``a, b`` that ``pick`` takes of the links between the distinct fingerprints ``fp`` at most ``budget`` bits apart that share a key.
+    ``pick`` also sees the ``label`` of each fingerprint, 0 without one."""
+    named = "label" in distinct.columns
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = keys_of(_words(batch.column("fp"))) if batch.num_rows else np.zeros((0, 0), np.int64)
             for k in range(keys.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, k])), batch.column("fp")], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, k])), *batch.columns], ["key", *batch.schema.names])
 
-    sorted_ = distinct.select("fp").mapInArrow(file, "key bigint, fp binary").repartition("key").sortWithinPartitions("key")
+    kept = ["fp", "label"] if named else ["fp"]
+    sorted_ = distinct.select(kept).mapInArrow(file, "key bigint, fp binary" + ", label bigint" * named).repartition("key").sortWithinPartitions("key")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
 
-        def out(key: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-            a, b = _forest(key, value, budget)
-            return pa.RecordBatch.from_arrays([_bytes(a), _bytes(b)], ["a", "b"])
+        def out(key: np.ndarray, value: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+            order = np.lexsort((*value.T[::-1], key))
+            key, value, label = key[order], value[order], label[order]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            for i, j in pick(value, label, starts, budget):
+                for at in range(0, len(i), GIVEN):
+                    yield pa.RecordBatch.from_arrays([_bytes(value[i[at : at + GIVEN]]), _bytes(value[j[at : at + GIVEN]])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, value = batch.column("key").to_numpy(), _words(batch.column("fp"))
+            label = batch.column("label").to_numpy() if named else np.zeros(len(key), np.int64)
             if left is not None:
-                key, value = np.concatenate((left[0], key)), np.concatenate((left[1], value))
+                key, value, label = (np.concatenate(x) for x in zip(left, (key, value, label)))
             cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             if cut:
-                yield out(key[:cut], value[:cut])
-            left = key[cut:], value[cut:]
+                yield from out(key[:cut], value[:cut], label[:cut])
+            left = key[cut:], value[cut:], label[cut:]
         if left is not None:
-            yield out(*left)
+            yield from out(*left)
 
     return sorted_.mapInArrow(walk, "a binary, b binary").distinct()
 
 
-def similar(distinct: DataFrame, similarity: float, wide: int = WIDE) -> DataFrame:
-    """Spanning edges between fingerprints of ``wide`` words whose shingle sets are about as similar as asked, or more."""
+def candidates(distinct: DataFrame, similarity: float, wide: int = WIDE, pick=_linked_forest, among: int | None = None) -> DataFrame:
+    """Edges between fingerprints of ``wide`` words whose shingle sets may be as similar as asked. ``among``: the number of fingerprints
+    that sets the keys, if it is not that of ``distinct``."""
     part = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi  # of the bits that differ, for sets of equal size
-    bits = max(10, math.ceil(math.log2(max(2, distinct.count()))) - 4)
+    bits = max(10, math.ceil(math.log2(max(2, among or distinct.count()))) - 4)
     keys = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - part) ** bits)) if part else 1
     size = 64 * wide
-    budget = int(size * part + math.sqrt(size * part * (1 - part)))
-    return links(distinct, budget, _chosen_keys(bits, keys, wide))
+    budget = int(size * part + 3 * math.sqrt(size * part * (1 - part)))
+    return links(distinct, budget, _chosen_keys(bits, keys, wide), pick)
+
+
+def _measured(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b, alike``: whether the Jaccard similarity of the shingle sets ``fp, held`` reaches the one asked; empty sets are equal."""
+    sides = [sets.select(F.col("fp").alias(k), F.col("held").alias(f"{k}_held")) for k in ("a", "b")]
+    both = pairs.join(sides[1], "b").join(sides[0], "a")
+    common = F.size(F.array_intersect("a_held", "b_held"))
+    every = F.size("a_held") + F.size("b_held") - common
+    return both.select("a", "b", F.coalesce(F.try_divide(common, every) >= similarity, F.lit(True)).alias("alike"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs that are alike, as many as are needed for the components; a pair inside one is passed over."""
+    left = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    held = None
+    for k in range(ROUNDS + 1):
+        asked = left if k == ROUNDS else left.groupBy("a").agg(F.min("b").alias("b"))
+        asked = materialize(_measured(asked, sets, similarity))
+        good = asked.filter("alike").select("a", "b")
+        held = good if held is None else held.unionByName(good)
+        if k == ROUNDS:
+            break
+        roots = components(held)
+        ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b")]
+        left = left.join(asked.select("a", "b"), ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        left = materialize(left.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+        if left.isEmpty():
+            break
+    return held
+
+
+def similar(distinct: DataFrame, sets_of, similarity: float, wide: int = WIDE) -> DataFrame:
+    """``node, root`` of the fingerprints that hang together by candidates whose shingle sets are as similar as asked. ``sets_of`` gives
+    ``fp, held`` for a table of fingerprints."""
+    among = distinct.count()
+    pairs = materialize(candidates(distinct, similarity, wide, among=among))
+    met = components(pairs)
+    sets = materialize(sets_of(met.select(F.col("node").alias("fp"))))
+    held = _confirmed(pairs, sets, similarity)
+    sure = components(held).select("node", F.col("root").alias("own"))
+    both = met.join(sure, "node", "left").select("node", "root", F.coalesce("own", "node").alias("own"))
+    broken = both.groupBy("root").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
+    broken = broken.filter("n > 2 AND low <> high").select("root")  # of two nodes the only link has been measured
+    again = materialize(both.join(broken, "root", "left_semi").select(F.col("node").alias("fp"), F.xxhash64("own").alias("label")))
+    if not again.isEmpty():
+        held = held.unionByName(_confirmed(candidates(again, similarity, wide, _across, among), sets, similarity))
+    return components(held)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,9 +397,17 @@ def keep_one(df: DataFrame, row_id: str = "doc_id", text: str = "text", *, shing
     """One row of each group of near-duplicates, with the columns of ``df``: that of the smallest id, a null id last."""
     small_batches(df.sparkSession)
     seen = F.xxhash64(F.coalesce(column(df, text), F.lit("")))
-    prints = materialize(df.select(column(df, row_id).alias("id"), seen.alias("seen"), fingerprint(column(df, text), shingle, WIDE).alias("fp")))
+    prints = materialize(df.select(column(df, row_id).alias("id"), seen.alias("seen"), fingerprint(column(df, text), shingle, WIDE, once=True).alias("fp")))
     nodes = materialize(prints.select("fp").distinct())
-    joined = components(similar(nodes, similarity)).withColumnRenamed("node", "fp")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Shingle sets, each from the text of one row."""
+        one = prints.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "seen")).alias("first")).select("fp", "first.*")
+        texts = df.select(column(df, row_id).alias("_id"), seen.alias("_seen"), column(df, text).alias("t"))
+        texts = texts.join(one, texts["_id"].eqNullSafe(one["id"]) & (texts["_seen"] == one["seen"]))
+        return texts.dropDuplicates(["fp"]).select("fp", shingle_set(F.col("t"), shingle).alias("held"))
+
+    joined = similar(nodes, sets_of, similarity).withColumnRenamed("node", "fp")
     rows = prints.join(joined, "fp", "left").select("id", "seen", F.coalesce("root", "fp").alias("root"))
     counted = rows.groupBy("root", "id", "seen").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("id").isNull(), "id", "seen", "n")).alias("first")

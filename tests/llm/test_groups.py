@@ -63,6 +63,30 @@ def test_keep_one(docs, rows, no_docs):
     assert simhash.keep_one(no_docs).count() == 0
 
 
+def test_keep_one_counts_a_repeated_shingle_once(spark):
+    shared = " ".join(" ".join(f"s{k}" for k in range(64)) for _ in range(10))
+    texts = [shared + " " + " ".join(f"{side}{k}" for k in range(300)) for side in "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert simhash.keep_one(df).count() == 2
+
+
+def test_keep_one_links_by_exact_similarity(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for base in range(12):  # copies with more and more words changed, most pairs near the threshold
+        for _ in range(14):
+            words = [f"w{base}x{k}" for k in range(120)]
+            for k in rng.choice(120, rng.integers(0, 5), replace=False):
+                words[k] = f"c{rng.integers(1 << 30)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    groups = brute.groups(len(texts), alike)
+    assert 12 < len(set(groups)) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted(set(groups))
+
+
 # ---- neighbours -------------------------------------------------------------------------------------------------
 
 
