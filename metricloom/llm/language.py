@@ -8,8 +8,9 @@ linear layer commute, a trained model is stored as one logit row per bucket, so
 prediction is a gather and a sum over the whole text.
 
 A fifth of the sample is not trained on. It sets the softmax temperature (least log
-loss) and the score below which a prediction is rejected, so that a stated share of
-labelled text, ``reject_share``, is rejected.
+loss) and the score below which a prediction is rejected: the ``reject_share`` quantile of the scores, which are the highest
+probabilities, of the held-out texts that are recognised as labelled. So at most that share of them is rejected, and texts that are misjudged or
+mislabelled do not move it.
 
 Cases: a null text or one without a letter gives ``und`` with score 0 and is rejected. Without
 any labelled row every text does. Repeated rows are predicted alike; ties between
@@ -152,8 +153,9 @@ def train(labelled: list[tuple[str, str]], *, epochs: int = 6, rate: float = 6.0
     heats = np.geomspace(0.02, 20, 61)
     losses = [-np.log(np.maximum(_softmax(raw / h)[rows, truth], 1e-12)).mean() for h in heats]
     heat = float(heats[int(np.argmin(losses))])
-    right = _softmax(raw / heat)[rows, truth]
-    return LanguageModel(languages, model.logits, heat, float(np.quantile(right, reject_share, method="lower")))
+    p = _softmax(raw / heat)
+    score, right = p.max(axis=1), p.argmax(axis=1) == truth
+    return LanguageModel(languages, model.logits, heat, float(np.quantile(score[right] if right.any() else score, reject_share, method="lower")))
 
 
 def fit(

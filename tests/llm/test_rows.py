@@ -141,6 +141,31 @@ def test_language_learns_and_rejects(docs, rows):
     assert language.keep_identified(docs, model).columns == docs.columns
 
 
+@pytest.mark.parametrize("wrong", (0, 25))
+def test_language_rejects_what_it_never_learned(wrong):
+    import random
+
+    import pyarrow as pa
+    from conftest import prose
+
+    rng = random.Random(9)
+    labelled = [(lang, prose(rng, lang, 40)) for lang in ("en", "fr", "de") for _ in range(200)]
+    for k in range(wrong):  # wrong labels, spread over the languages
+        lang, text = labelled[k * 24]
+        labelled[k * 24] = ("fr" if lang == "en" else "en", text)
+    model = language.train(labelled)
+    assert model.threshold > 1 / 3
+
+    def rejected(texts):
+        return np.mean(model.scores(*language.text_bytes(pa.array(texts))).max(axis=1) < model.threshold)
+
+    strange = "ки на мо ров ст ный ово пре жд".split()
+    unlearned = [" ".join("".join(rng.choices(strange, k=3)) for _ in range(40)) for _ in range(100)]
+    gibberish = ["".join(rng.choices("bcdfghjkmpqvwxz ", k=300)) for _ in range(100)]
+    assert rejected([prose(rng, lang, 40) for lang in ("en", "fr", "de") for _ in range(100)]) < 0.05
+    assert rejected(unlearned) > 0.9 and rejected(gibberish) > 0.9
+
+
 def test_language_without_labels(docs, no_docs):
     assert language.fit(no_docs) is None
     found = language.identify(docs, None)
