@@ -2,11 +2,12 @@
 
 Base: mail addresses, network addresses, card numbers with a valid check digit and telephone numbers. Their matches are seeds.
 
-Bootstrapping: every token that holds a digit or an at sign is an instance, the word before it a pattern. The graph of
-patterns and instances is counted once. A seed's score is 1. In each round the confidence of a pattern is the score that it
+Bootstrapping: every base span is an instance, whatever number of tokens it covers, and so is every other token that holds a digit or an at sign; the word
+before the (first) token is its pattern, also if that word is an instance itself. The graph of patterns and instances is counted once. A seed's score is 1. In each round the confidence of a pattern is the score that it
 leads to, divided by all its occurrences in the corpus, before whatever word; patterns with enough distinct positive
 instances and enough confidence are accepted, and an instance takes the highest confidence among its accepted patterns. After the last round,
-the instances that are no seeds and reach the confidence are marked wherever they occur, as kind ``context``.
+the instances that are no seeds and reach the confidence are marked wherever they occur, as kind ``context``, if they have
+``shortest`` characters (1: all of them); instances of any length are scored.
 
 Cases: a null text counts as empty. Repeated rows get a row each and the same spans. An empty table gives no rows. Columns
 of the table that are not named are ignored. Overlapping spans are all listed; masking merges them.
@@ -74,32 +75,42 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[S.labelled(kind, place, f) for place, (kind, f) in enumerate(zip(KINDS, found))])
 
 
-def _instances(text: Column, base: Column) -> Column:
-    """Tokens with a digit or an at sign: place, bare form, word before, whether a base span touches them."""
+def _instances(tokens: Column, base: Column) -> Column:
+    """Base spans and other tokens with a digit or an at sign: place, bare form, word before, whether it is a base span.
 
-    def describe(s: Column) -> Column:
-        bare = F.btrim(s["hit"], F.lit(TRIM))
+    A base span begins in one of the tokens and may go on in others, which are no instances of their own.
+    """
+
+    def describe(s: Column, at: Column) -> Column:
+        begun = F.filter(base, lambda b: (b["start"] >= s["start"]) & (b["start"] < s["end"]))
+        touched = F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+        until = F.array_max(F.transform(begun, lambda b: b["end"]))
+        covered = F.array_join(F.transform(F.filter(tokens, lambda x: (x["start"] >= s["start"]) & (x["start"] < until)), lambda x: x["hit"]), " ")
+        bare = F.btrim(F.when(F.size(begun) > 0, covered).otherwise(s["hit"]), F.lit(TRIM))
         lead = F.length(s["hit"]) - F.length(F.ltrim(s["hit"], F.lit(TRIM)))
         start = s["start"] + lead
-        seed = F.exists(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+        word = F.regexp_extract(s["before"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1)
+        last = F.get(tokens, at - 1)
+        next_to = s["start"] - last["end"] == F.length(s["before"])  # the whole gap is seen: nothing but blanks, so the token before is the word
+        left = F.when(word != "", word).otherwise(F.when(next_to, last["hit"]).otherwise(F.lit("")))
         return F.struct(
             start.alias("start"), (start + F.length(bare)).alias("end"), bare.alias("token"),
-            F.lower(F.regexp_extract(s["before"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1)).alias("left"), seed.alias("seed"),
+            F.lower(left).alias("left"), touched.alias("seed"), (touched & (F.size(begun) == 0)).alias("within"),
         )
 
-    return F.transform(S.matches(text, TOKEN), describe)
+    return F.filter(F.transform(tokens, describe), lambda h: ~h["within"])
 
 
 def _marked(df: DataFrame, row_id: str, text: str) -> DataFrame:
     whole = F.coalesce(column(df, text), F.lit(""))
     own = df.select(column(df, row_id).alias("id"), F.xxhash64(whole).alias("seen"), whole.alias("t"))
-    based = own.withColumn("base", base_spans(F.col("t")))
-    return materialize(based.select("id", "seen", "base", _instances(F.col("t"), F.col("base")).alias("held")))
+    based = own.select("id", "seen", base_spans(F.col("t")).alias("base"), S.matches(F.col("t"), TOKEN).alias("tokens"))
+    return materialize(based.select("id", "seen", "base", _instances(F.col("tokens"), F.col("base")).alias("held")))
 
 
-def contextual(df: DataFrame, marked: DataFrame, text: str, *, rounds: int = 2, confidence: float = 0.5, support: int = 3) -> DataFrame:
+def contextual(df: DataFrame, marked: DataFrame, text: str, *, rounds: int = 2, confidence: float = 0.5, support: int = 3, shortest: int = 1) -> DataFrame:
     """``id, seen, extra``: spans of the instances that accepted patterns discover."""
-    seen = marked.select("id", "seen", F.explode("held").alias("h")).select("id", "seen", "h.*").filter(F.length("token") >= 6)
+    seen = marked.select("id", "seen", F.explode("held").alias("h")).select("id", "seen", "h.*").filter("token <> ''")
     edges = seen.filter(F.col("left") != "").groupBy("left", "token").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("double")).alias("score"))
     edges = materialize(edges)
     lefts = edges.groupBy("left").agg(F.sum("score").alias("seeds")).filter(F.col("seeds") >= support).select("left")
@@ -117,7 +128,7 @@ def contextual(df: DataFrame, marked: DataFrame, text: str, *, rounds: int = 2,
     found = tokens.filter((F.col("score") >= confidence) & (F.col("score") < 1)).select("token")
     certain = edges.filter("score < 1").select("token").distinct().join(tokens.filter("score >= 1"), "token", "left_semi")  # trusted fully
     found = found.unionByName(certain.select("token")).distinct()
-    places = seen.filter(~F.col("seed")).join(found, "token")
+    places = seen.filter(~F.col("seed") & (F.length("token") >= shortest)).join(found, "token")
     span = F.struct(F.col("start"), F.lit(KINDS.index("context")).alias("place"), F.col("end"), F.lit("context").alias("kind"))
     return places.groupBy("id", "seen").agg(F.collect_set(span).alias("extra"))
 

@@ -63,6 +63,21 @@ def test_context_discovers_unseen(spark):
     assert found[11] == [] and len(found[3]) == 1
 
 
+def _contexts(spark, texts):
+    """The marked contexts of each text, as they stand in it."""
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    return {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "context"] for r in found}
+
+
+def test_context_taught_by_spans_of_several_tokens(spark):
+    phones = [f"please call phone: +1 (017) 555-77{k:02} today" for k in range(6)]
+    cards = [f"charge it to visa: 4111 1111 1111 1111{' ' * k} today" for k in range(2)] + ["to visa: 4012 8888 8888 1881 now", "to visa: 5500 0055 5555 5559 now"]
+    unseen = ["please call phone: x1234 today", "charge it to visa: u77 u78 today", "phone 12 x5 at 3"]
+    found = _contexts(spark, phones + cards + unseen)
+    assert [found[k] for k in range(10)] == [[]] * 10
+    assert [found[k] for k in range(10, 13)] == [["x1234"], ["u77"], []]
+
+
 def test_masking(spark):
     df = spark.createDataFrame([(1, "é a@b.example.org, +1 (555) 010-9999!"), (2, None), (3, "clean")], "doc_id int, text string")
     assert [r["text"] for r in pii.mask(df).orderBy("doc_id").collect()] == ["é <EMAIL>, <PHONE>!", None, "clean"]
