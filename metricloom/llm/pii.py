@@ -113,7 +113,8 @@ def contextual(df: DataFrame, marked: DataFrame, text: str, *, rounds: int = 2,
     seen = marked.select("id", "seen", F.explode("held").alias("h")).select("id", "seen", "h.*").filter("token <> ''")
     edges = seen.filter(F.col("left") != "").groupBy("left", "token").agg(F.count("*").alias("n"), F.max(F.col("seed").cast("double")).alias("score"))
     edges = materialize(edges)
-    lefts = edges.groupBy("left").agg(F.sum("score").alias("seeds")).filter(F.col("seeds") >= support).select("left")
+    # A pattern before fewer different instances can never have enough positive ones, in whatever round.
+    lefts = edges.groupBy("left").agg(F.count("*").alias("instances")).filter(F.col("instances") >= support).select("left")
     spoken = df.select(F.explode(words(F.lower(column(df, text)))).alias("left")).groupBy("left").agg(F.count("*").alias("total"))
     totals = materialize(spoken.join(lefts, "left"))
     tokens = materialize(edges.groupBy("token").agg(F.max("score").alias("score")))

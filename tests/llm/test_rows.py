@@ -78,6 +78,13 @@ def test_context_taught_by_spans_of_several_tokens(spark):
     assert [found[k] for k in range(10, 13)] == [["x1234"], ["u77"], []]
 
 
+def test_context_spreads_through_discovered_instances(spark):
+    texts = [f"write to contact: u{k}@mail.example.org today" for k in range(60)]
+    texts += [f"write to contact: known-{k} today" for k in range(5)] + [f"booked on acct known-{k} today" for k in range(5)]
+    found = _contexts(spark, texts + ["booked on acct further-9 today"])
+    assert found[70] == ["further-9"] and found[62] == ["known-2"] and found[3] == []
+
+
 def test_masking(spark):
     df = spark.createDataFrame([(1, "é a@b.example.org, +1 (555) 010-9999!"), (2, None), (3, "clean")], "doc_id int, text string")
     assert [r["text"] for r in pii.mask(df).orderBy("doc_id").collect()] == ["é <EMAIL>, <PHONE>!", None, "clean"]
