@@ -20,11 +20,9 @@ from metricloom.operators.words import unicode_and_word_findings
 
 TOP_VALUES = 5
 OUTLIER_SPREAD = 1.5
-PII_SAMPLE = 200
 PII_SHARE = 0.2
 IDENTIFIER_SHARE = 0.9
 MAX_CATEGORIES = 50
-DATE_SAMPLE = 500
 COUNTER_DENSITY = 0.95
 LABEL_SHARE = 0.8
 
@@ -154,18 +152,14 @@ def outliers(counts: DataFrame, numeric: DataFrame | None = None) -> DataFrame:
 
 
 def pii_flags(df: DataFrame, row_id: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Whether each column looks like personal data, judged on its first 200 present cells."""
+    """Whether each column looks like personal data, judged on all present cells."""
     columns = list(columns or [c for c in df.columns if c != row_id])
-    present = cells(df, columns, keep=[row_id]).filter(F.col("value").isNotNull())
-    first = (
-        present.withColumn("_at", F.row_number().over(Window.partitionBy("column").orderBy(row_id)))
-        .filter(F.col("_at") <= PII_SAMPLE)
-    )
+    present = cells(df, columns).filter(F.col("value").isNotNull())
     flags = pii.kinds(F.col("value"))
     strong = pii.any_of(flags, pii.STRONG)
     weak = ~strong & pii.any_of(flags, tuple(k for k in flags if k not in pii.STRONG))
     hinted = F.col("column").isin([c for c in columns if pii.name_suggests_pii(c)])
-    return first.groupBy("column").agg(
+    return present.groupBy("column").agg(
         F.avg(strong.cast("int")).alias("_s"), F.avg(weak.cast("int")).alias("_w")
     ).select(
         "column",
@@ -301,11 +295,8 @@ def bi_fields(df: DataFrame, row_id: str) -> DataFrame:
     )
     words = [c for c in names if isinstance(kinds[c], T.StringType)]
     if words:
-        filled = cells(df, words, keep=[row_id]).withColumn("value", text.strip(F.col("value"))).filter("value <> ''")
-        head = filled.withColumn("_at", F.row_number().over(Window.partitionBy("column").orderBy(row_id))).filter(
-            F.col("_at") <= DATE_SAMPLE
-        )
-        parsed = head.groupBy("column").agg(F.avg(dates.parse_mixed(F.col("value")).isNotNull().cast("int")).alias("_dates"))
+        filled = cells(df, words).withColumn("value", text.strip(F.col("value"))).filter("value <> ''")
+        parsed = filled.groupBy("column").agg(F.avg(dates.parse_mixed(F.col("value")).isNotNull().cast("int")).alias("_dates"))
         shape = shape.join(F.broadcast(parsed), "column", "left")
     else:
         shape = shape.withColumn("_dates", F.lit(None).cast("double"))

@@ -338,3 +338,10 @@ def test_texts_without_a_key_are_no_questions(spark):
     df = spark.createDataFrame([(None, "lead time grew"), ("1", "lead time grew"), ("2", "other words")], "k string, t string")
     got = {r["k"]: r["score"] for r in textmine.relevance(df, "k", "t", "lead time").collect()}
     assert got[None] == got["1"] > got["2"] == 0
+
+
+def test_late_rows_count_for_personal_data_and_dates(spark):
+    rows = [(k, "none" if k < 600 else f"u{k}@mail.example.org", "none" if k < 600 else "2024-03-05") for k in range(20_000)]
+    df = spark.createDataFrame(rows, "id bigint, a string, b string")
+    assert {r["column"]: r["is_pii"] for r in profile.pii_flags(df, "id", ["a"]).collect()} == {"a": True}
+    assert {r["column"]: r["kind"] for r in profile.bi_fields(df, "id").collect()}["b"] == "date"
