@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import fingerprints, language, mixing, neighbours, pieces, pii, secrets, shards, simhash, substrings
+from metricloom.llm import exact, fingerprints, language, mixing, neighbours, pieces, pii, secrets, shards, simhash, spelling, substrings, whitening
 from metricloom.llm import spans as S
 from metricloom.llm.common import table
 
@@ -122,3 +122,26 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """Queries are the rows whose id is divisible by 20."""
     return neighbours.nearest(table(spark, folder, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    counted = spelling.count_words(table(spark, folder, "documents", "doc_id", "text"), least=7, slips=31)
+    return spelling.group_variants(counted.filter("n >= 2"), ratio=10)
+
+
+ORACLES["op12_exact_dedup"] = """WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+      row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+    FROM d WINDOW same AS (PARTITION BY t)"""
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.groups(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each vector and each of the first eight components."""
+    return whitening.by_component(whitening.whiten(table(spark, folder, "embeddings", "vec_id", "embedding"), components=8))
