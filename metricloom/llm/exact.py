@@ -79,7 +79,8 @@ class Table:
 
     @property
     def full(self) -> bool:
-        return self.bytes >= TABLE_BYTES or self.rows >= TABLE_ROWS
+        """A single text never fills a table by its size alone."""
+        return self.bytes >= TABLE_BYTES and len(self.texts) > 1 or self.rows >= TABLE_ROWS
 
     def _grow(self) -> None:
         self.mask = 2 * self.mask + 1
@@ -198,8 +199,9 @@ def _dealt(records: DataFrame, round_: int) -> DataFrame:
     spark = records.sparkSession
     total = records.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(1, math.ceil(2 * total / TABLE_BYTES))
-    hot = records.groupBy("hash").agg(F.sum("bytes").alias("size")).filter(F.col("size") > TABLE_BYTES / 2)
-    hot = materialize(hot.select("hash", F.ceil(F.col("size") / (TABLE_BYTES / 4)).alias("shares")))
+    sized = records.groupBy("hash").agg(F.sum("bytes").alias("size"), F.count("*").alias("n"))
+    shares = F.least(F.ceil(F.col("size") / (TABLE_BYTES / 4)), F.floor(F.col("n") / 2)).alias("shares")  # at least half of the records go
+    hot = materialize(sized.filter(F.col("size") > TABLE_BYTES / 2).select("hash", shares).filter("shares > 1"))
     own = F.pmod(F.xxhash64("hash", F.lit(round_)), F.lit(buckets))
     few = hot.count()
     if few:

@@ -148,7 +148,7 @@ def _project(spark: SparkSession, blocks: BlockMatrix, weights: np.ndarray) -> D
     d, k = weights.shape
     parts = [weights[at : at + BLOCK_COLUMNS] for at in range(0, d, BLOCK_COLUMNS)]
     held = [((i, 0), Matrices.dense(len(part), k, part.ravel(order="F"))) for i, part in enumerate(parts)]
-    local = BlockMatrix(spark.sparkContext.parallelize(held, 1), BLOCK_COLUMNS, BLOCK_COLUMNS, d, k)
+    local = BlockMatrix(spark.sparkContext.parallelize(held, 1), BLOCK_COLUMNS, k, d, k)
     product = blocks.multiply(local).toIndexedRowMatrix()
     rows = callMLlibFunc("getIndexedRows", product._java_matrix_wrapper._java_model)  # what ``rows`` reads, left in the JVM
     return rows.select("index", vector_to_array("vector").alias("white"))

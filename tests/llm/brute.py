@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -125,3 +127,58 @@ def smallest_capacity(sizes, shards):
     for _ in range(shards):
         best = [min([best[i]] + [max(best[k], sum(sizes[k:i])) for k in range(i)]) for i in range(len(sizes) + 1)]
     return best[-1]
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def equal_texts(rows):
+    """(id, largest id, group size, hash) of each row (id, text, ...)."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(lowered(r[1]), []).append(r[0])
+    top = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    return [(r[0], top[t], len(groups[t]), sha(t)) for r in rows for t in [lowered(r[1])]]
+
+
+def variants(rows, least=7, often=2, ratio=10):
+    """word: (form, root, n, n_near, form_n)."""
+    counts = Counter()
+    for id_, text, *_ in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = lowered(run)
+            h = zlib.crc32(f"{'' if id_ is None else id_}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= least:
+                counts[run] += 1
+    known = {w: n for w, n in counts.items() if n >= often}
+    near = {w: {v for v in known if v != w and one_edit(w, v)} for w in known}
+    form = {}
+    for w, n in known.items():
+        best = min(near[w], key=lambda v: (-known[v], v), default=None)
+        form[w] = best if best and known[best] >= ratio * n else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return {w: (form[w], root(w), n, len(near[w]), known.get(form[w])) for w, n in known.items()}
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def whitened(vectors, components=8):
+    """(deviations, coordinates, shares) of vectors of integers."""
+    n, sums = len(vectors), vectors.sum(axis=0)
+    deviations = ((n * vectors - sums).astype(object) ** 2).sum(axis=1)
+    centred = (n * vectors - sums) / n
+    values, axes = np.linalg.eigh(centred.T @ centred / n)
+    values, axes = values[::-1], axes[:, ::-1]
+    k = min(components, (values > 1e-12 * max(values[0], 0)).sum())
+    return deviations, centred @ axes[:, :k] / np.sqrt(values[:k]), values[:k] / values.sum()
