@@ -17,7 +17,8 @@ of these edges are found by hooking each node to its smallest neighbour, shorten
   standard deviations. A key is a random choice of bits; how many bits follows from the number of fingerprints, and how
   many keys from the bits, so that a pair at the threshold shares a key with a chance of 0.99 at every size. These links are only
   candidates: one counts if the shingle sets themselves are as similar as asked. First the edges of a spanning forest of the
-  candidates are measured; where some of a candidate component's edges fail, all its links between the parts that hold are measured too.
+  candidates are measured; where some of a candidate component's edges fail, the nodes outside its largest part meet all its nodes in blocks, and
+  each task gives back only links that join parts.
 
 Cases: null, empty and blank texts have fingerprint zero and link like any other. Rows with a
 null id are nodes too; a component with no id at all has a null component_id. Repeated rows give repeated result
@@ -46,9 +47,12 @@ RECALL = 0.99
 #: Node pairs that are walked at once, and hashes whose bits are counted at once.
 FRONTIER = 1 << 19
 COUNTED = 1 << 16
-#: Edges given back at once, and rounds in which each fingerprint has one of its links measured, before all that are left are.
+#: Edges given back at once, and rounds in which each fingerprint has one of its candidate links measured, before all of those that are left are.
 GIVEN = 1 << 16
 ROUNDS = 2
+#: Nodes and shingle hashes of a block whose sets are compared, and 64-bit words that are compared at once.
+BLOCK_NODES, BLOCK_ENTRIES = 1024, 1 << 19
+COMPARED = 1 << 22
 
 
 def hashes_of(text: bytes, shingle: int) -> list[int]:
@@ -177,7 +181,7 @@ def _hook(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def _forest(value: np.ndarray, label: np.ndarray, starts: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _forest(value: np.ndarray, starts: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each value with the root of its component."""
     parent = np.arange(len(value))
     for i, j in trie_links(value, starts, budget):
@@ -186,32 +190,36 @@ def _forest(value: np.ndarray, label: np.ndarray, starts: np.ndarray, budget: in
     yield low, parent[low]
 
 
-def _linked_forest(value: np.ndarray, label: np.ndarray, starts: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest whose edges are links themselves, those of fewer bits first."""
-    parent = np.arange(len(value))
-    for limit in (2 * budget // 3, budget):
-        for i, j in trie_links(value, starts, limit):
-            while True:
-                a, b = parent[i], parent[j]
-                apart = a != b
-                if not apart.any():
-                    break
-                i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-                high, first = np.unique(np.maximum(a, b), return_index=True)
-                parent[high] = np.minimum(a, b)[first]
-                yield i[first], j[first]
-                while True:
-                    up = parent[parent]
-                    if (up == parent).all():
-                        break
-                    parent = up
-
-
-def _across(value: np.ndarray, label: np.ndarray, starts: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links between values of different labels."""
+def _merging(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those of the links that join two trees of ``parent``, which then are one."""
+    while True:
+        a, b = parent[i], parent[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        parent[high] = np.minimum(a, b)[first]
+        yield i[first], j[first]
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent[:] = up
+
+
+def _linked_forest(value: np.ndarray, starts: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest whose edges are links themselves: first that of each value to its nearest, then what else joins trees."""
+    none = np.int64(budget + 1 << 40)
+    best = np.full(len(value), none)
+    for i, j in trie_links(value, starts, budget):
+        bits = np.bitwise_count(value[i] ^ value[j]).sum(axis=1, dtype=np.int64) << 40
+        np.minimum.at(best, i, bits | j)
+        np.minimum.at(best, j, bits | i)
+    parent, linked = np.arange(len(value)), np.flatnonzero(best < none)
+    yield from _merging(parent, linked, best[linked] & (1 << 40) - 1)
     for i, j in trie_links(value, starts, budget):
-        apart = label[i] != label[j]
-        yield i[apart], j[apart]
+        yield from _merging(parent, i, j)
 
 
 def _words(prints: pa.Array) -> np.ndarray:
@@ -252,9 +260,7 @@ def _chosen_keys(bits: int, keys: int, wide: int):
 
 
 def links(distinct: DataFrame, budget: int = BUDGET, keys_of=_block_keys, pick=_forest) -> DataFrame:
-    """Edges ``a, b`` that ``pick`` takes of the links between the distinct fingerprints ``fp`` at most ``budget`` bits apart that share a key.
-    ``pick`` also sees the ``label`` of each fingerprint, 0 without one."""
-    named = "label" in distinct.columns
+    """Edges ``a, b`` that ``pick`` takes of the links between the distinct fingerprints ``fp`` at most ``budget`` bits apart that share a key."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,46 +268,53 @@ def links(distinct: DataFrame, budget: int = BUDGET, keys_of=_block_keys, pick=_
             for k in range(keys.shape[1]):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, k])), *batch.columns], ["key", *batch.schema.names])
 
-    kept = ["fp", "label"] if named else ["fp"]
-    sorted_ = distinct.select(kept).mapInArrow(file, "key bigint, fp binary" + ", label bigint" * named).repartition("key").sortWithinPartitions("key")
+    sorted_ = distinct.select("fp").mapInArrow(file, "key bigint, fp binary").repartition("key").sortWithinPartitions("key")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
-
-        def out(key: np.ndarray, value: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for key, (value,) in _runs(batches, lambda batch: [_words(batch.column("fp"))]):
             order = np.lexsort((*value.T[::-1], key))
-            key, value, label = key[order], value[order], label[order]
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            for i, j in pick(value, label, starts, budget):
-                for at in range(0, len(i), GIVEN):
-                    yield pa.RecordBatch.from_arrays([_bytes(value[i[at : at + GIVEN]]), _bytes(value[j[at : at + GIVEN]])], ["a", "b"])
+            key, value = key[order], value[order]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            for i, j in pick(value, starts, budget):
+                yield from _edges(value, i, j)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, value = batch.column("key").to_numpy(), _words(batch.column("fp"))
-            label = batch.column("label").to_numpy() if named else np.zeros(len(key), np.int64)
-            if left is not None:
-                key, value, label = (np.concatenate(x) for x in zip(left, (key, value, label)))
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-            if cut:
-                yield from out(key[:cut], value[:cut], label[:cut])
-            left = key[cut:], value[cut:], label[cut:]
+    return sorted_.mapInArrow(walk, "a binary, b binary").distinct()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], columns_of) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Keys and columns of sorted batches, cut where a key ends."""
+    left = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column("key").to_numpy(), *columns_of(batch)]
         if left is not None:
-            yield from out(*left)
+            now = [np.concatenate(x) for x in zip(left, now)]
+        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on in the next batch
+        if cut:
+            yield now[0][:cut], [x[:cut] for x in now[1:]]
+        left = [x[cut:] for x in now]
+    if left is not None:
+        yield left[0], left[1:]
 
-    return sorted_.mapInArrow(walk, "a binary, b binary").distinct()
+
+def _edges(value: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(i), GIVEN):
+        yield pa.RecordBatch.from_arrays([_bytes(value[i[at : at + GIVEN]]), _bytes(value[j[at : at + GIVEN]])], ["a", "b"])
 
 
-def candidates(distinct: DataFrame, similarity: float, wide: int = WIDE, pick=_linked_forest, among: int | None = None) -> DataFrame:
-    """Edges between fingerprints of ``wide`` words whose shingle sets may be as similar as asked. ``among``: the number of fingerprints
-    that sets the keys, if it is not that of ``distinct``."""
-    part = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi  # of the bits that differ, for sets of equal size
-    bits = max(10, math.ceil(math.log2(max(2, among or distinct.count()))) - 4)
+def _width(similarity: float, wide: int) -> tuple[float, int]:
+    """The share of bits in which sets of that similarity and equal size differ, and the budget of bits that follows from it."""
+    part = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return part, int(64 * wide * part + 3 * math.sqrt(64 * wide * part * (1 - part)))
+
+
+def candidates(distinct: DataFrame, similarity: float, wide: int = WIDE) -> DataFrame:
+    """Edges between fingerprints of ``wide`` words whose shingle sets may be as similar as asked."""
+    part, budget = _width(similarity, wide)
+    bits = max(10, math.ceil(math.log2(max(2, distinct.count()))) - 4)
     keys = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - part) ** bits)) if part else 1
-    size = 64 * wide
-    budget = int(size * part + 3 * math.sqrt(size * part * (1 - part)))
-    return links(distinct, budget, _chosen_keys(bits, keys, wide), pick)
+    return links(distinct, budget, _chosen_keys(bits, keys, wide), _linked_forest)
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -336,21 +349,87 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 def similar(distinct: DataFrame, sets_of, similarity: float, wide: int = WIDE) -> DataFrame:
     """``node, root`` of the fingerprints that hang together by candidates whose shingle sets are as similar as asked. ``sets_of`` gives
     ``fp, held`` for a table of fingerprints."""
-    among = distinct.count()
-    pairs = materialize(candidates(distinct, similarity, wide, among=among))
+    pairs = materialize(candidates(distinct, similarity, wide))
     met = components(pairs)
     sets = materialize(sets_of(met.select(F.col("node").alias("fp"))))
     held = _confirmed(pairs, sets, similarity)
     sure = components(held).select("node", F.col("root").alias("own"))
-    both = met.join(sure, "node", "left").select("node", "root", F.coalesce("own", "node").alias("own"))
+    both = met.join(sure, "node", "left").select("root", F.col("node").alias("fp"), F.coalesce("own", "node").alias("own"))
     broken = both.groupBy("root").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
     broken = broken.filter("n > 2 AND low <> high").select("root")  # of two nodes the only link has been measured
-    again = materialize(both.join(broken, "root", "left_semi").select(F.col("node").alias("fp"), F.xxhash64("own").alias("label")))
+    again = materialize(both.join(broken, "root", "left_semi").join(sets, "fp"))
     if not again.isEmpty():
-        held = held.unionByName(_confirmed(candidates(again, similarity, wide, _across, among), sets, similarity))
+        held = held.unionByName(materialize(_rejoined(again, similarity, _width(similarity, wide)[1])))
     return components(held)
 
 
+def _rejoined(parts: DataFrame, similarity: float, budget: int) -> DataFrame:
+    """Links ``a, b`` as similar as asked between different parts ``own`` of the components ``root`` of ``fp, held``, enough of them to join the parts.
+
+    The nodes outside a component's largest part, in blocks of bounded size, meet all its nodes, in such blocks, so no task holds more than two
+    blocks and pairs inside the largest part never arise. In a task the tries are walked, the sets of a pair are compared where the pair's parts
+    have not met yet, and only links that join parts leave it.
+    """
+    entries = F.size("held") + 1
+    sized = parts.groupBy("root", "own").agg(F.count("*").alias("n"), F.sum(entries).alias("entries"))
+    largest = sized.groupBy("root").agg(F.max(F.struct("n", "own"))["own"].alias("main"), F.sum("n").alias("n"), F.sum("entries").alias("entries"))
+    rest = sized.join(largest.select("root", "main"), "root").filter("own <> main").groupBy("root").agg(F.sum("n").alias("n"), F.sum("entries").alias("entries"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("entries") / BLOCK_ENTRIES))
+    plan = largest.select("root", "main", blocks.alias("columns")).join(rest.select("root", blocks.alias("rows")), "root")
+    dealt = parts.join(plan, "root").withColumn("at", F.xxhash64("fp"))
+    held = [F.col("fp"), F.xxhash64("own").alias("label"), F.col("held")]
+    column_at, row_at = F.pmod("at", "columns"), F.pmod("at", "rows")
+    each = [
+        dealt.filter("own <> main").select("root", row_at.alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), *held),
+        dealt.select("root", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), column_at.alias("column"), *held),
+    ]
+    keyed = each[0].unionByName(each[1]).select(F.xxhash64("root", "row", "column").alias("key"), "fp", "label", "held").repartition("key").sortWithinPartitions("key")
+
+    def columns_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        lists = batch.column("held")
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        sets = np.empty(len(ends), object)
+        sets[:] = np.split(flat, ends[:-1])
+        return [_words(batch.column("fp")), batch.column("label").to_numpy(), sets]
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (value, label, sets) in _runs(batches, columns_of):
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            for a, b in zip(starts, [*starts[1:], len(key)]):
+                own, first = np.unique(value[a:b], axis=0, return_index=True)  # a node of the rest may be in both blocks
+                for i, j in _alike(own, label[a:b][first], sets[a:b][first], similarity, budget):
+                    yield from _edges(own, i, j)
+
+    return keyed.mapInArrow(confirm, "a binary, b binary").distinct()
+
+
+def _alike(value: np.ndarray, label: np.ndarray, sets: np.ndarray, similarity: float, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between values of different labels whose sets are as similar as asked, as far as they join labels."""
+    _, first, which = np.unique(label, return_index=True, return_inverse=True)
+    parent = first[which]
+    sizes = np.array([len(s) for s in sets])
+    _, entry, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)  # others are in no intersection
+    place = np.full(len(times), -1)
+    place[shared] = np.arange(len(shared))
+    bits = np.zeros((len(sets), -(-max(1, len(shared)) // 64) * 64 // 8), np.uint8)
+    for k, some in enumerate(np.split(place[entry], np.cumsum(sizes)[:-1])):
+        row = np.zeros(bits.shape[1] * 8, bool)
+        row[some[some >= 0]] = True
+        bits[k] = np.packbits(row)
+    bits = bits.view(np.uint64)
+    step = max(1, COMPARED // bits.shape[1])
+    for i, j in trie_links(value, np.array([0]), budget):
+        while len(i):
+            apart = parent[i] != parent[j]  # parts meet as links are found
+            i, j = i[apart], j[apart]
+            a, b, i, j = i[:step], j[:step], i[step:], j[step:]
+            common = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64)
+            every = sizes[a] + sizes[b] - common
+            good = (common / np.maximum(every, 1) >= similarity) | (every == 0)
+            yield from _merging(parent, a[good], b[good])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node of the edges ``a, b``; root is one node of its component.
 
