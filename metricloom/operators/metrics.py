@@ -231,8 +231,10 @@ def outcome_rates(
     ])
 
 
-def compute_metrics(df: DataFrame, dimensions: Sequence[str] = (), measures: Sequence[str] = ()) -> DataFrame:
-    """The whole metric set of a table. The value table is computed once and reused."""
+def compute_metrics(
+    df: DataFrame, dimensions: Sequence[str] = (), measures: Sequence[str] = (), *, top: int = TOP_CATEGORIES, limit: int = MAX_BREAKDOWNS
+) -> DataFrame:
+    """The whole metric set of a table: the ``top`` categories of each dimension and ``limit`` breakdowns, the rest as counts of what was omitted."""
     dimensions = [d for d in dimensions if d in df.columns]
     numeric = [c for c in numeric_columns(df) if not measures or c in measures]
     counts = value_table(df).cache()
@@ -242,10 +244,10 @@ def compute_metrics(df: DataFrame, dimensions: Sequence[str] = (), measures: Seq
     if numeric:
         parts += [summary_metrics(df, numeric), flag_metrics(of_numbers)]
     if dimensions:
-        parts.append(category_metrics(of_dimensions))
+        parts.append(category_metrics(of_dimensions, top))
         if numeric:
-            parts.append(breakdowns(df, dimensions, numeric, counts=of_dimensions))
-        parts.append(outcome_rates(df, dimensions, counts=of_dimensions))
+            parts.append(breakdowns(df, dimensions, numeric, top=top, limit=limit, counts=of_dimensions))
+        parts.append(outcome_rates(df, dimensions, top=top, counts=of_dimensions))
     return stacked(parts)
 
 

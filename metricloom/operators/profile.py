@@ -394,12 +394,13 @@ def temporal_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def period_columns(df: DataFrame, largest: int = 24) -> DataFrame:
-    """Columns whose distinct values are all period labels, in time order: ``column, position, value``."""
+def period_columns(df: DataFrame, largest: int | None = None) -> DataFrame:
+    """Columns whose distinct values, two or more and at most ``largest``, are all period labels, in time order: ``column, position, value``."""
     counts = value_table(df).filter("value is not null")
     keyed = counts.withColumn("key", dates.period_key(F.col("value")))
     good = keyed.groupBy("column").agg(F.count("*").alias("d"), F.bool_and(F.col("key").isNotNull()).alias("all_periods"))
-    good = good.filter(F.col("all_periods") & F.col("d").between(2, largest)).select("column")
+    few = F.col("d") >= 2 if largest is None else F.col("d").between(2, largest)
+    good = good.filter(F.col("all_periods") & few).select("column")
     kept = keyed.join(F.broadcast(good), "column", "left_semi")
     order = Window.partitionBy("column").orderBy("key", "value")
     return kept.select(

@@ -259,16 +259,15 @@ def _(t):
 
 @query(
     "prf16_period_columns",
-    """WITH q AS (SELECT DISTINCT year(o_orderdate) AS y, quarter(o_orderdate) AS q FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1998)
+    """WITH q AS (SELECT DISTINCT year(o_orderdate) AS y, quarter(o_orderdate) AS q FROM orders)
     SELECT 'period' AS "column", row_number() OVER (ORDER BY y, q) AS position, 'Q' || q || '-' || y AS value, y AS year, q * 3 AS month FROM q
     UNION ALL
     SELECT 'year', row_number() OVER (ORDER BY y), CAST(y AS VARCHAR), y, 12 FROM (SELECT DISTINCT y FROM q)""",
 )
 def _(t):
-    orders = t.orders.filter(F.year("o_orderdate").between(1995, 1998))
     quarter = F.concat(F.lit("Q"), F.quarter("o_orderdate"), F.lit("-"), F.year("o_orderdate"))
     return profile.period_columns(
-        orders.select(quarter.alias("period"), F.year("o_orderdate").alias("year"), "o_orderstatus")
+        t.orders.select(quarter.alias("period"), F.year("o_orderdate").alias("year"), "o_orderstatus")
     )
 
 

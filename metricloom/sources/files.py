@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metricloom.functions.text import strip
+from metricloom.sources.heads import file_heads
 
 UNNAMED = "cot"  # fixed value: name of a column without one
 SAMPLE_BYTES = 64 * 1024
 HEAD_BYTES = 16
 LARGE_BYTES = 100 * 1024 * 1024
-READABLE_BYTES = 2**31 - 64  # a binary cell cannot hold more
 LOW_CONFIDENCE = 0.75
 REVIEW_SHARE = 0.15
 
@@ -24,22 +24,22 @@ REVIEW_SHARE = 0.15
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1258", "cp1252", "latin-1")
 DELIMITERS = (",", ";", "\t", "|")
 
-# Kind, label and the hexadecimal bytes a file starts with (at an offset).
+# Kind, label and the bytes a file starts with (at an offset).
 SIGNATURES = (
-    ("table", "Parquet", ("50415231",), 0),
-    ("pdf", "PDF", ("255044462D",), 0),
-    ("image", "PNG", ("89504E470D0A1A0A",), 0),
-    ("image", "JPEG", ("FFD8FF",), 0),
-    ("image", "GIF", ("474946383761", "474946383961"), 0),
-    ("image", "TIFF", ("49492A00", "4D4D002A"), 0),
-    ("image", "BMP", ("424D",), 0),
-    ("audio", "WAV", ("52494646",), 0),
-    ("audio", "MP3", ("494433", "FFFB", "FFF3", "FFF2"), 0),
-    ("audio", "FLAC", ("664C6143",), 0),
-    ("audio", "OGG", ("4F676753",), 0),
-    ("audio", "MP4/M4A", ("66747970",), 4),
-    ("zip", "ZIP container", ("504B0304", "504B0506"), 0),
-    ("ole", "Office 97-2003", ("D0CF11E0A1B11AE1",), 0),
+    ("table", "Parquet", (b"PAR1",), 0),
+    ("pdf", "PDF", (b"%PDF-",), 0),
+    ("image", "PNG", (b"\x89PNG\r\n\x1a\n",), 0),
+    ("image", "JPEG", (b"\xff\xd8\xff",), 0),
+    ("image", "GIF", (b"GIF87a", b"GIF89a"), 0),
+    ("image", "TIFF", (b"II*\x00", b"MM\x00*"), 0),
+    ("image", "BMP", (b"BM",), 0),
+    ("audio", "WAV", (b"RIFF",), 0),
+    ("audio", "MP3", (b"ID3", b"\xff\xfb", b"\xff\xf3", b"\xff\xf2"), 0),
+    ("audio", "FLAC", (b"fLaC",), 0),
+    ("audio", "OGG", (b"OggS",), 0),
+    ("audio", "MP4/M4A", (b"ftyp",), 4),
+    ("zip", "ZIP container", (b"PK\x03\x04", b"PK\x05\x06"), 0),
+    ("ole", "Office 97-2003", (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1",), 0),
 )
 
 
@@ -84,10 +84,6 @@ def read_json(spark: SparkSession, path: str, *, lines: bool = True) -> DataFram
     return df.select(*text).toDF(*tidied_names(df.columns))
 
 
-def _files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
-
-
 @F.pandas_udf(T.BooleanType())
 def _is_text(heads: pd.Series) -> pd.Series:
     def readable(head: bytes) -> bool:
@@ -100,12 +96,12 @@ def _is_text(heads: pd.Series) -> pd.Series:
     return heads.map(lambda h: bool(h is not None and readable(h)))
 
 
-def _kind(hexed: Column, text: Column, size: Column) -> tuple[Column, Column]:
+def _kind(head: Column, text: Column, size: Column) -> tuple[Column, Column]:
     kind, label = F.when(size == 0, "unknown"), F.when(size == 0, "empty")
     for name, title, magics, offset in SIGNATURES:
         hit = F.lit(False)
         for magic in magics:
-            hit = hit | (F.substring(hexed, 2 * offset + 1, len(magic)) == magic)
+            hit = hit | (F.substring(head, offset + 1, len(magic)) == F.lit(magic))
         kind, label = kind.when(hit, name), label.when(hit, title)
     return kind.when(text, "text").otherwise("unknown"), label.when(text, "text").otherwise("not recognised")
 
@@ -113,14 +109,10 @@ def _kind(hexed: Column, text: Column, size: Column) -> tuple[Column, Column]:
 def file_survey(spark: SparkSession, folder: str, *, glob: str = "*") -> DataFrame:
     """``name, size, kind, label, reader, warning``: what each file is by its first bytes.
 
-    The extension only decides how text and containers are read. Sizes come from the
-    listing; contents are read for files that fit a cell, the rest is reported unread.
+    The extension only decides how text and containers are read. Of a file of any size only the first bytes are read.
     """
-    listed = _files(spark, folder, glob).select("path", F.col("length").alias("size"))
-    heads = _files(spark, folder, glob).filter(F.col("length") <= READABLE_BYTES).select(F.col("path").alias("_p"), F.substring("content", 1, HEAD_BYTES).alias("head"))
-    rows = listed.join(heads, F.col("path") == F.col("_p"), "left")
-    text = _is_text("head") & F.col("head").isNotNull()
-    kind, label = _kind(F.hex("head"), text, F.col("size"))
+    rows = file_heads(spark, folder, HEAD_BYTES, glob=glob)
+    kind, label = _kind(F.col("head"), _is_text("head"), F.col("size"))
     rows = rows.withColumn("name", F.element_at(F.split("path", "/"), -1))
     name = F.col("name")
     suffix = F.lower(F.when(F.contains(name, F.lit(".")), F.concat(F.lit("."), F.substring_index(name, ".", -1))).otherwise(""))
@@ -135,7 +127,7 @@ def file_survey(spark: SparkSession, folder: str, *, glob: str = "*") -> DataFra
     notes = F.array_compact(F.array(
         F.when((k == "text") & ~table & ~document, "text that may be a table or prose, read as prose"),
         F.when(reader.isNull(), "no reader for this kind"), F.when(F.col("size") == 0, "empty file"),
-        F.when(F.col("size") > LARGE_BYTES, "large file"), F.when(F.col("size") > READABLE_BYTES, "contents not read"),
+        F.when(F.col("size") > LARGE_BYTES, "large file"),
     ))
     return rows.select("name", "size", kind.alias("kind"), label.alias("label")).select("*", reader.alias("reader"), F.array_join(notes, "; ").alias("warning"))
 
@@ -166,9 +158,8 @@ def dialect_survey(spark: SparkSession, folder: str, *, glob: str = "*") -> Data
 
     The result gives the options of :func:`read_csv`.
     """
-    cut = F.col("length") > SAMPLE_BYTES
-    heads = _files(spark, folder, glob).filter(F.col("length") <= READABLE_BYTES).select("path", F.substring("content", 1, SAMPLE_BYTES).alias("head"), cut.alias("cut"))
-    read = heads.select("path", _decoded("head", "cut").alias("d")).select("path", "d.*")
+    heads = file_heads(spark, folder, SAMPLE_BYTES, glob=glob)
+    read = heads.select("path", _decoded("head", F.col("size") > SAMPLE_BYTES).alias("d")).select("path", "d.*")
     lines = F.filter(F.split("text", r"\r\n|\r|\n"), lambda line: strip(line) != "")
     rows = read.withColumn("lines", lines)
     first20 = F.slice("lines", 1, 20)

@@ -9,6 +9,7 @@ from metricloom.functions import tails, words
 from metricloom.operators import claims, clean, cohorts, digests, mart, metrics, models, points, privacy, process, profile, stats, textmine, timeline, validate
 from metricloom.operators.clean import ROW_ID, Rule
 from metricloom.sources import files, markup, xes
+from metricloom.sources.heads import file_heads
 
 
 def values(df, key="key", value="value"):
@@ -345,3 +346,23 @@ def test_late_rows_count_for_personal_data_and_dates(spark):
     df = spark.createDataFrame(rows, "id bigint, a string, b string")
     assert {r["column"]: r["is_pii"] for r in profile.pii_flags(df, "id", ["a"]).collect()} == {"a": True}
     assert {r["column"]: r["kind"] for r in profile.bi_fields(df, "id").collect()}["b"] == "date"
+
+
+def test_surveys_read_heads_of_files_of_any_size(spark, tmp_path):
+    with open(tmp_path / "huge.csv", "wb") as f:  # sparse: 3 GB that take no room
+        f.write(b"name;size\n" + b"ab;1\n" * 20000)
+        f.truncate(3 << 30)
+    (tmp_path / "small.png").write_bytes(b"\x89PNG\r\n\x1a\n....")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    (tmp_path / "_hidden.csv").write_bytes(b"a;b\n")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a b.json").write_bytes(b"{}\n")
+    found = {r["name"]: r for r in files.file_survey(spark, str(tmp_path)).collect()}
+    assert set(found) == {"huge.csv", "small.png", "empty.txt", "a b.json"}
+    assert (found["huge.csv"]["size"], found["huge.csv"]["kind"], found["huge.csv"]["warning"]) == (3 << 30, "text", "large file")
+    assert (found["small.png"]["label"], found["empty.txt"]["label"]) == ("PNG", "empty")
+    survey = {r["name"]: r for r in files.dialect_survey(spark, str(tmp_path), glob="*.csv").collect()}
+    assert (survey["huge.csv"]["delimiter"], survey["huge.csv"]["has_header"]) == (";", True)
+    heads = file_heads(spark, str(tmp_path), 4)
+    assert {len(r["head"]) for r in heads.collect()} == {0, 3, 4}
+    assert file_heads(spark, str(tmp_path / "deep"), 4, glob="*.xml").count() == 0
