@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from metricloom import scale
 from metricloom.functions import numbers, text
+from metricloom.operators import counting
 from metricloom.operators.common import metric, metric_rows, stacked
 from metricloom.operators.profile import _as_text, _quoted, _types, numeric_columns, value_table
+from metricloom.session import materialize
 
 TOP_CATEGORIES = 20
 MAX_BREAKDOWNS = 2000
@@ -24,10 +26,6 @@ HEADLINE = ("rows.total", ".mean", ".median", ".share_pct", ".count", ".corr.",
 DETAIL = ".by."
 
 
-def _weighted(condition: Column, amount: Column | None = None) -> Column:
-    return F.sum(F.when(condition, F.col("n") if amount is None else amount * F.col("n")).otherwise(0))
-
-
 def row_total(df: DataFrame) -> DataFrame:
     return metric_rows(
         df.agg(F.count("*").alias("n")),
@@ -35,11 +33,11 @@ def row_total(df: DataFrame) -> DataFrame:
     )
 
 
-def column_metrics(counts: DataFrame) -> DataFrame:
-    """``<column>.distinct`` and ``<column>.null_pct`` from a value table."""
-    shape = counts.groupBy("column").agg(
-        F.count("value").alias("distinct"), F.sum("n").alias("rows"), _weighted(F.col("value").isNull()).alias("nulls")
-    )
+def column_metrics(df: DataFrame) -> DataFrame:
+    """``<column>.distinct`` and ``<column>.null_pct`` of every column."""
+    columns = df.columns
+    sums = counting.unpivot(df, columns, lambda c: [_as_text(df, c).isNull().alias("missing")]).groupBy("at").agg(F.count("*").alias("rows"), F.count_if("missing").alias("nulls"))
+    shape = counting.named(sums, columns).join(F.broadcast(counting.distinct_counts(df, columns)), "column")  # one row per column
     name = F.col("column")
     return metric_rows(shape, [
         metric(F.concat(name, F.lit(".distinct")), F.col("distinct"), measure=name, stat="distinct", unit="value", source=name),
@@ -69,10 +67,14 @@ def summary_metrics(df: DataFrame, measures: Sequence[str]) -> DataFrame:
     ])
 
 
-def flag_metrics(counts: DataFrame) -> DataFrame:
+def flag_metrics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Counts and shares of numeric columns with exactly two values."""
-    by_number = counts.withColumn("x", numbers.to_double(F.col("value"))).groupBy("column", "x").agg(F.sum("n").alias("n"))
-    shape = by_number.groupBy("column").agg(F.count("x").alias("d"), F.sum("n").alias("rows")).filter("d = 2")
+    columns = list(columns if columns is not None else df.columns)
+    flags = [r["column"] for r in counting.distinct_counts(df, columns, counting.as_number, "d").filter("d = 2").collect()] if columns else []  # at most one per column
+    if not flags:
+        return metric_rows(df.sparkSession.range(0), [metric("", F.lit(0.0))])
+    by_number = counting.named(counting.unpivot(df, flags, lambda c: [counting.as_number(df, c).alias("x")]).groupBy("at", "x").agg(F.count("*").alias("n")), flags)
+    shape = by_number.groupBy("column").agg(F.sum("n").alias("rows"))
     # Two values per kept column: both sides are bounded by the table's width.
     kept = by_number.filter("x IS NOT NULL").join(F.broadcast(shape), "column")
     label = F.when(F.col("x") % 1 == 0, F.col("x").cast("bigint").cast("string")).otherwise(text.slug(F.col("x").cast("string")))
@@ -237,12 +239,10 @@ def compute_metrics(
     """The whole metric set of a table: the ``top`` categories of each dimension and ``limit`` breakdowns, the rest as counts of what was omitted."""
     dimensions = [d for d in dimensions if d in df.columns]
     numeric = [c for c in numeric_columns(df) if not measures or c in measures]
-    counts = value_table(df).cache()
-    of_numbers = counts.filter(F.col("column").isin(numeric))
-    of_dimensions = counts.filter(F.col("column").isin(dimensions))
-    parts = [row_total(df), column_metrics(counts)]
+    of_dimensions = materialize(value_table(df, dimensions)) if dimensions else None  # used four times
+    parts = [row_total(df), column_metrics(df)]
     if numeric:
-        parts += [summary_metrics(df, numeric), flag_metrics(of_numbers)]
+        parts += [summary_metrics(df, numeric), flag_metrics(df, numeric)]
     if dimensions:
         parts.append(category_metrics(of_dimensions, top))
         if numeric:

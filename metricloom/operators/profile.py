@@ -1,8 +1,8 @@
 """Column profiles, roles and diagnosis.
 
-Everything starts from one table of value counts ``(column, value, n)``: the wide
-table is unpivoted and counted in the same stage, so the shuffle carries distinct
-values only, whatever the number of columns.
+What can be summed cell by cell is summed where the cells are; how many different values a column has, which are the most common and
+where its quartiles lie is counted on hashes and brackets (``counting``). Only the rules that group values by their
+spelling start from a table of value counts ``(column, value, n)``.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from metricloom import scale
 from metricloom.functions import dates, numbers, pii, text
+from metricloom.operators import counting
 from metricloom.operators import variants as spelling
 from metricloom.operators.words import unicode_and_word_findings
 
@@ -36,19 +37,7 @@ PERIOD_HEADER = (
 )
 
 
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
-def _types(df: DataFrame) -> dict[str, T.DataType]:
-    return {f.name: f.dataType for f in df.schema.fields}
-
-
-def _as_text(df: DataFrame, name: str) -> Column:
-    column, kind = _quoted(name), _types(df)[name]
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        column = F.when(~F.isnan(column), column)
-    return column.cast("string")
+_quoted, _types, _as_text = counting.quoted, counting.types_of, counting.as_text
 
 
 def cells(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -67,23 +56,21 @@ def _weighted(condition: Column) -> Column:
     return F.sum(F.when(condition, F.col("n")).otherwise(0))
 
 
-def column_shape(counts: DataFrame) -> DataFrame:
+def column_shape(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per column: counts, shares, distinct values, length and both kinds of extremes."""
-    present = F.col("value").isNotNull()
-    number = numbers.to_double(F.col("value"))
+    columns = list(columns if columns is not None else df.columns)
+    fields = lambda c: [F.length(_as_text(df, c)).alias("chars"), counting.as_number(df, c).alias("x")]
+    sums = counting.unpivot(df, columns, fields).groupBy("at").agg(
+        F.count("*").alias("row_count"), F.count("chars").alias("non_null"), F.sum("chars").alias("_chars"), F.count("x").alias("_numeric"),
+        F.min("x").alias("min_number"), F.max("x").alias("max_number"),
+    )
+    # without a key, extremes of texts need no sort
+    ends = df.agg(*[f(_as_text(df, c)).alias(f"{n}{k}") for k, c in enumerate(columns) for f, n in ((F.min, "l"), (F.max, "h"))])
+    texts = ends.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"l{k}").alias("min_text"), F.col(f"h{k}").alias("max_text")) for k, c in enumerate(columns)])).alias("e")).select("e.*")
+    distinct = counting.distinct_counts(df, columns)
+    # one row per column on every side
     return (
-        counts.groupBy("column")
-        .agg(
-            F.sum("n").alias("row_count"),
-            _weighted(present).alias("non_null"),
-            F.count("value").alias("distinct"),
-            F.sum(F.length("value") * F.col("n")).alias("_chars"),
-            _weighted(number.isNotNull()).alias("_numeric"),
-            F.min(number).alias("min_number"),
-            F.max(number).alias("max_number"),
-            F.min("value").alias("min_text"),
-            F.max("value").alias("max_text"),
-        )
+        counting.named(sums, columns).join(F.broadcast(distinct), "column").join(F.broadcast(texts), "column")
         .withColumn("null_pct", F.round(100.0 * (F.col("row_count") - F.col("non_null")) / F.col("row_count"), 2))
         .withColumn("avg_length", F.coalesce(F.round(F.try_divide("_chars", "non_null"), 2), F.lit(0.0)))
         .withColumn("numeric_share", F.coalesce(F.round(F.try_divide("_numeric", "non_null"), 4), F.lit(0.0)))
@@ -91,15 +78,9 @@ def column_shape(counts: DataFrame) -> DataFrame:
     )
 
 
-def top_values(counts: DataFrame, limit: int = TOP_VALUES, by: Sequence[str] = ("column",)) -> DataFrame:
+def top_values(df: DataFrame, columns: Sequence[str] | None = None, limit: int = TOP_VALUES) -> DataFrame:
     """The most common values per column, ties by value: ``column, rank, value, n``."""
-    order = Window.partitionBy(*by).orderBy(F.desc("n"), F.asc("value"))
-    return (
-        counts.filter(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= limit)
-        .select(*by, "rank", "value", "n")
-    )
+    return counting.top_values(df, list(columns or df.columns), limit)
 
 
 def numeric_view(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -134,21 +115,20 @@ def numeric_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list
     return [c for c in columns if c in text_numbers or numbers.is_number_type(kinds[c])]
 
 
-def outliers(counts: DataFrame, numeric: DataFrame | None = None) -> DataFrame:
-    """Values outside 1.5 interquartile ranges: ``column, outlier_count``."""
-    read = counts.withColumn("x", numbers.to_double(F.col("value"))).filter(F.col("x").isNotNull())
-    if numeric is not None:
-        read = read.join(F.broadcast(numeric.select("column")), "column", "left_semi")
-    quartiles = scale.percentiles(read, ["column"], "x", {"q1": 0.25, "q3": 0.75}, weight="n")
-    spread = F.col("q3") - F.col("q1")
-    beyond = (F.col("x") < F.col("q1") - OUTLIER_SPREAD * spread) | (F.col("x") > F.col("q3") + OUTLIER_SPREAD * spread)
-    # One quartile row per column: the broadcast side is bounded by the table's width.
-    return (
-        read.join(F.broadcast(quartiles), "column")
-        .groupBy("column")
-        .agg(F.sum("n").alias("_n"), _weighted(beyond & (spread > 0)).alias("_out"))
-        .select("column", F.when(F.col("_n") < 4, F.lit(0)).otherwise(F.col("_out")).cast("bigint").alias("outlier_count"))
-    )
+def outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Numbers outside 1.5 interquartile ranges: ``column, outlier_count``, for columns that have numbers."""
+    columns = list(columns if columns is not None else df.columns)
+    found = {r["column"]: r for r in counting.quantiles(df, columns, {"q1": 0.25, "q3": 0.75}).collect()}  # one row per column
+    schema = "column string, outlier_count bigint"
+    if not found:
+        return df.sparkSession.createDataFrame([], schema)
+    picks = []
+    for k, (name, r) in enumerate(found.items()):
+        spread, x = r["q3"] - r["q1"], counting.as_number(df, name)
+        beyond = (x < r["q1"] - OUTLIER_SPREAD * spread) | (x > r["q3"] + OUTLIER_SPREAD * spread)
+        picks.append((F.count_if(beyond) if spread > 0 and r["n"] >= 4 else F.lit(0)).cast("bigint").alias(f"o{k}"))
+    rows = F.array(*[F.struct(F.lit(name).alias("column"), F.col(f"o{k}").alias("outlier_count")) for k, name in enumerate(found)])
+    return df.agg(*picks, F.count("*").alias("_")).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def pii_flags(df: DataFrame, row_id: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -172,15 +152,14 @@ def pii_flags(df: DataFrame, row_id: str, columns: Sequence[str] | None = None)
 def profile_columns(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """The full profile, one row per column."""
     columns = [c for c in df.columns if c != row_id] if row_id else df.columns
-    counts = value_table(df, columns).cache()  # used by shape, top values and quartiles; spills, and is recomputed if lost
-    shape = column_shape(counts)
+    shape = column_shape(df, columns)
     numeric = F.col("numeric_share") >= numbers.NUMERIC_SHARE
-    common = top_values(counts).groupBy("column").agg(
+    common = top_values(df, columns).groupBy("column").agg(
         F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("_top")  # at most 5 per column
     )
     out = (
         shape.join(F.broadcast(common), "column", "left")
-        .join(F.broadcast(outliers(counts, shape.filter(numeric))), "column", "left")
+        .join(F.broadcast(outliers(df, numeric_columns(df, columns))), "column", "left")
         .select(
             "column", "non_null", "null_pct", "distinct", "avg_length", "numeric_share",
             F.when(numeric, F.col("min_number").cast("string")).otherwise(F.col("min_text")).alias("min_value"),
@@ -215,7 +194,7 @@ def _temporal(df: DataFrame) -> list[str]:
 
 def column_roles(df: DataFrame) -> DataFrame:
     """``column, role, distinct``: numeric, temporal, identifier, categorical or text."""
-    shape = column_shape(value_table(df))
+    shape = column_shape(df)
     return shape.select(
         "column",
         F.when(F.col("non_null") == 0, "text")
@@ -282,17 +261,13 @@ def bi_fields(df: DataFrame, row_id: str) -> DataFrame:
     """Role and kind of every column for drag-and-drop queries: ``column, role, kind, distinct``."""
     kinds = _types(df)
     names = [c for c in df.columns if c != row_id]
-    counts = value_table(df, names)
-    bare = text.strip(F.col("value"))
-    number = numbers.to_double(bare)
-    shape = counts.groupBy("column").agg(
-        F.count("value").alias("distinct"),
-        _weighted(F.col("value").isNotNull() & (bare != "")).alias("_filled"),
-        _weighted(number.isNotNull()).alias("_numbers"),
-        F.min(number).alias("_min"),
-        F.max(number).alias("_max"),
-        F.coalesce(F.bool_and(number.isin(0.0, 1.0)), F.lit(False)).alias("_flag"),
+    fields = lambda c: [F.coalesce(text.strip(_as_text(df, c)) != "", F.lit(False)).alias("filled"), counting.as_number(df, c).alias("x")]
+    sums = counting.unpivot(df, names, fields).groupBy("at").agg(
+        F.count_if("filled").alias("_filled"),
+        F.count("x").alias("_numbers"),
+        F.coalesce(F.bool_and(F.col("x").isin(0.0, 1.0)), F.lit(False)).alias("_flag"),
     )
+    shape = counting.named(sums, names).join(F.broadcast(counting.distinct_counts(df, names)), "column")
     words = [c for c in names if isinstance(kinds[c], T.StringType)]
     if words:
         filled = cells(df, words).withColumn("value", text.strip(F.col("value"))).filter("value <> ''")
@@ -320,22 +295,14 @@ def bi_fields(df: DataFrame, row_id: str) -> DataFrame:
 
 def measurable_and_grouping(df: DataFrame) -> DataFrame:
     """``column, is_measure, is_group``: what statistics may use as a number and as a group."""
-    counts = value_table(df)
-    number = numbers.to_double(F.col("value"))
-    parsed = counts.withColumn("x", number)
-    per_number = parsed.groupBy("column", "x").agg(
-        F.sum("n").alias("n"), F.count("value").alias("_texts"), _weighted(F.col("value").isNotNull()).alias("_present")
-    )
-    shape = per_number.groupBy("column").agg(
-        F.sum("n").alias("rows"),
-        F.sum("_present").alias("present"),
-        F.sum("_texts").alias("distinct"),
-        F.count("x").alias("dx"),
-        F.sum(F.when(F.col("x").isNotNull(), F.col("n")).otherwise(0)).alias("nx"),
-        F.min("x").alias("lo"),
-        F.max("x").alias("hi"),
+    names = df.columns
+    fields = lambda c: [_as_text(df, c).isNotNull().alias("present"), counting.as_number(df, c).alias("x")]
+    sums = counting.unpivot(df, names, fields).groupBy("at").agg(
+        F.count("*").alias("rows"), F.count_if("present").alias("present"), F.count("x").alias("nx"), F.min("x").alias("lo"), F.max("x").alias("hi"),
         F.bool_and(F.col("x") % 1 == 0).alias("whole"),
     )
+    shape = counting.named(sums, names).join(F.broadcast(counting.distinct_counts(df, names)), "column")
+    shape = shape.join(F.broadcast(counting.distinct_counts(df, names, counting.as_number, "dx")), "column")
     numeric = F.try_divide("nx", "present") >= numbers.NUMERIC_SHARE
     counter = (
         (F.col("nx") >= 2) & (F.col("dx") == F.col("nx")) & F.col("whole")
@@ -355,7 +322,7 @@ def groupable_columns(df: DataFrame, largest: int = 20) -> DataFrame:
     kinds = _types(df)
     skip = set(_temporal(df)) | {c for c, k in kinds.items() if numbers.is_number_type(k)}
     names = [c for c in df.columns if c not in skip]
-    shape = column_shape(value_table(df, names))
+    shape = column_shape(df, names)
     return shape.filter(F.col("distinct").between(2, largest) & (F.col("distinct") * 2 <= F.col("row_count"))).select(
         "column", "distinct"
     )
@@ -363,10 +330,11 @@ def groupable_columns(df: DataFrame, largest: int = 20) -> DataFrame:
 
 def categories(df: DataFrame, largest: int = 12) -> DataFrame:
     """Values of the columns with 2..12 of them: ``column, position, value``, numbers first."""
-    counts = value_table(df)
-    few = counts.groupBy("column").agg(F.count("value").alias("d"), F.sum("n").alias("rows"))
-    few = few.filter(F.col("d").between(2, largest) & (F.col("d") * 2 <= F.col("rows"))).select("column")
-    kept = counts.join(F.broadcast(few), "column", "left_semi").filter("value is not null")
+    few = column_shape(df).filter(F.col("distinct").between(2, largest) & (F.col("distinct") * 2 <= F.col("row_count")))
+    names = [r["column"] for r in few.select("column").collect()]  # at most one per column
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, position int, value string")
+    kept = value_table(df, names).filter("value is not null")
     number = numbers.to_double(F.col("value"))
     order = Window.partitionBy("column").orderBy(number.isNull(), number, "value")
     return kept.select("column", F.row_number().over(order).alias("position"), "value")
@@ -396,11 +364,15 @@ def temporal_columns(df: DataFrame) -> DataFrame:
 
 def period_columns(df: DataFrame, largest: int | None = None) -> DataFrame:
     """Columns whose distinct values, two or more and at most ``largest``, are all period labels, in time order: ``column, position, value``."""
-    counts = value_table(df).filter("value is not null")
-    keyed = counts.withColumn("key", dates.period_key(F.col("value")))
-    good = keyed.groupBy("column").agg(F.count("*").alias("d"), F.bool_and(F.col("key").isNotNull()).alias("all_periods"))
+    texts = counting.unpivot(df, df.columns, lambda c: [_as_text(df, c).alias("value")])
+    labelled = texts.select("at", (dates.period_key(F.col("value")).isNotNull() | F.col("value").isNull()).alias("ok"))
+    names = [r["column"] for r in counting.named(labelled.groupBy("at").agg(F.bool_and("ok").alias("ok")).filter("ok"), df.columns).collect()]  # at most one per column
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, position int, value string, year int, month int")
+    keyed = value_table(df, names).filter("value is not null").withColumn("key", dates.period_key(F.col("value")))
+    good = keyed.groupBy("column").agg(F.count("*").alias("d"))
     few = F.col("d") >= 2 if largest is None else F.col("d").between(2, largest)
-    good = good.filter(F.col("all_periods") & few).select("column")
+    good = good.filter(few).select("column")
     kept = keyed.join(F.broadcast(good), "column", "left_semi")
     order = Window.partitionBy("column").orderBy("key", "value")
     return kept.select(
@@ -480,12 +452,17 @@ def period_layout(df: DataFrame) -> DataFrame:
     schema = "label string, periods array<string>, distinct bigint"
     if len(periods) < 2 or not others:
         return spark.createDataFrame([], schema)
-    bare = text.strip(F.col("value"))
-    meaningful = value_table(df).filter((bare != "") & ~text.is_sentinel(F.col("value")))
-    number = numbers.reads_international(bare) | numbers.reads_local(bare)
-    shape = meaningful.groupBy("column").agg(
-        F.sum("n").alias("n"), F.countDistinct(bare).alias("distinct"), _weighted(number).alias("numbers")
+    names = df.columns
+
+    def meaningful(df: DataFrame, c: str) -> Column:
+        cell = _as_text(df, c)
+        return F.when((text.strip(cell) != "") & ~text.is_sentinel(cell), text.strip(cell))
+
+    number = lambda c: numbers.reads_international(meaningful(df, c)) | numbers.reads_local(meaningful(df, c))
+    sums = counting.unpivot(df, names, lambda c: [meaningful(df, c).isNotNull().alias("filled"), number(c).alias("number")]).groupBy("at").agg(
+        F.count_if("filled").alias("n"), F.count_if("number").alias("numbers")
     )
+    shape = counting.named(sums, names).join(F.broadcast(counting.distinct_counts(df, names, meaningful)), "column").filter("n > 0")
     numeric = F.col("numbers") / F.col("n") >= numbers.NUMERIC_SHARE
     all_numeric = shape.filter(F.col("column").isin(periods) & numeric).agg((F.count("*") == len(periods)).alias("ok"))
     labels = shape.filter(
@@ -501,6 +478,6 @@ def period_layout(df: DataFrame) -> DataFrame:
 def column_statistics(df: DataFrame) -> DataFrame:
     """Value-free description of every column."""
     stored = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
-    return column_shape(value_table(df)).select(
+    return column_shape(df).select(
         "column", stored[F.col("column")].alias("dtype"), "row_count", "null_pct", "distinct", "avg_length"
     )

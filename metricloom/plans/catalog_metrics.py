@@ -34,7 +34,7 @@ def _(t):
 )
 def _(t):
     df = t.documents.join(t.labels, "doc_id", "left").select("doc_id", "lang", "quality", "toxic")
-    return metrics.column_metrics(value_table(df)).select("key", "value")
+    return metrics.column_metrics(df).select("key", "value")
 
 
 @query(
@@ -54,7 +54,7 @@ def _(t):
     SELECT c || '.' || v || '.count' AS key, n::DOUBLE AS value FROM f UNION ALL SELECT c || '.' || v || '.share_pct', round(100.0 * n / t, 4) FROM f, t""",
 )
 def _(t):
-    return metrics.flag_metrics(value_table(t.labels)).select("key", "value")
+    return metrics.flag_metrics(t.labels).select("key", "value")
 
 
 @query(

@@ -61,7 +61,7 @@ def _(t):
     SELECT "column", rank, value, n FROM ranked WHERE rank <= 5""",
 )
 def _(t):
-    return profile.top_values(profile.value_table(t.part))
+    return profile.top_values(t.part)
 
 
 # Cells of mixed content: the same rule makes them on both sides.
@@ -86,7 +86,7 @@ def _(t):
     SELECT "column", outlier_count FROM outliers""",
 )
 def _(t):
-    return profile.outliers(profile.value_table(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+    return profile.outliers(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
 _EMAIL = r"[a-zA-Z0-9_.%+-]+@[a-zA-Z0-9_.-]+[.][A-Za-z]{2,}"
