@@ -7,13 +7,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricloom import scale
 from metricloom.functions import numbers, tails
 from metricloom.operators.common import Outcome, metric, metric_rows, refusals, stacked
 from metricloom.operators.profile import _as_text, _quoted, _types, measurable_and_grouping
+from metricloom.session import materialize
 
 MIN_SAMPLE = 8
 MIN_GROUP = 5
@@ -21,6 +22,8 @@ MAX_GROUPS = 20
 MIN_PER_PREDICTOR = 10
 MAX_VIF = 10.0
 MAX_SUGGESTED = 8
+#: A value that more than one row in so many holds is frequent: its rank needs no join.
+FREQUENT = 100
 
 
 @dataclass(frozen=True)
@@ -68,9 +71,7 @@ def pair_correlations(df: DataFrame, columns: Sequence[str], wanted: Sequence[st
     finite = [F.when(F.abs(c) < float("inf"), F.col(c)) for c in data.columns]
     centre = [v or 0.0 for v in data.agg(*[F.avg(c) for c in finite]).first()]
     s = _pair_sums(data, len(columns), centre).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), "n")
-    var = (F.col("sxx") - F.try_divide(F.col("sx") ** 2, "n")) * (F.col("syy") - F.try_divide(F.col("sy") ** 2, "n"))
-    found = s.select("i", "j", F.col("n").cast("bigint").alias("n"), F.when((F.col("n") > 1) & (var > 0), cov / F.sqrt(var)).alias("r"))
+    found = s.select("i", "j", F.col("n").cast("bigint").alias("n"), _correlation(s).alias("r"))
     names = F.array(*[F.lit(c) for c in columns])
     left, right = F.element_at(names, F.col("i") + 1), F.element_at(names, F.col("j") + 1)
     asked = left.isin(list(wanted)).cast("int") + right.isin(list(wanted)).cast("int")
@@ -90,26 +91,55 @@ def strongest_pairs(df: DataFrame, columns: Sequence[str], wanted: Sequence[str]
     return ranked.select("left", "right", "n", F.round("r", 4).alias("r"))
 
 
-def rank_correlation(df: DataFrame, left: str, right: str) -> DataFrame:
-    """Spearman's rho of one pair over complete rows: ``n, rho`` (average ranks).
+def _correlation(sums: DataFrame) -> Column:
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), "n")
+    var = (F.col("sxx") - F.try_divide(F.col("sx") ** 2, "n")) * (F.col("syy") - F.try_divide(F.col("sy") ** 2, "n"))
+    return F.when((F.col("n") > 1) & (var > 0), cov / F.sqrt(var))
+
+
+def rank_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``left, right, n, rho``: Spearman's rho of each pair over its complete rows, ties at their average rank.
 
-    Rows are first counted per pair of values; ranks are computed on value counts, so
-    neither a frequent value nor a long column ends up in one task.
+    All columns are ranked together as long rows, the ranks come back as one row of a matrix, and all pairs are sums over that matrix,
+    so the number of jobs does not depend on the number of pairs. A column is ranked once, and once more for each partner with
+    missing cells, because the ranks then are those among the rows that the partner has. Ranks come from value counts; those of frequent
+    values travel as a small map, so no value's rows meet in one task.
     """
-    data = _doubles(df, [left, right]).filter("x0 IS NOT NULL AND x1 IS NOT NULL")
-    cells = scale.value_counts(data, ["x0"], "x1")
-    a = scale.average_ranks(data, [], "x0", "ra")
-    b = scale.average_ranks(data, [], "x1", "rb")
-    joined = cells.join(a, "x0").join(b, "x1")
-    total = F.sum("n")
-    sums = joined.agg(
-        total.alias("n"), F.sum(F.col("n") * F.col("ra")).alias("sa"), F.sum(F.col("n") * F.col("rb")).alias("sb"),
-        F.sum(F.col("n") * F.col("ra") * F.col("ra")).alias("saa"), F.sum(F.col("n") * F.col("rb") * F.col("rb")).alias("sbb"),
-        F.sum(F.col("n") * F.col("ra") * F.col("rb")).alias("sab"),
-    )
-    cov = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
-    var = (F.col("saa") - F.col("sa") ** 2 / F.col("n")) * (F.col("sbb") - F.col("sb") ** 2 / F.col("n"))
-    return sums.select("n", F.when(var > 0, cov / F.sqrt(var)).alias("rho"))
+    columns = sorted({c for pair in pairs for c in pair})
+    at = {c: i for i, c in enumerate(columns)}
+    data = materialize(_doubles(df, columns).withColumn("row", F.monotonically_increasing_id()))
+    seen = data.agg(F.count("*").alias("all"), *[F.count(f"x{i}").alias(f"n{i}") for i in range(len(columns))]).first()
+    full = [seen[f"n{i}"] == seen["all"] for i in range(len(columns))]
+    ranked: dict[tuple[int, int | None], int] = {}
+    places = []
+    for left, right in pairs:
+        i, j = at[left], at[right]
+        places.append(tuple(ranked.setdefault((a, None if full[b] else b), len(ranked)) for a, b in ((i, j), (j, i))))
+    cells = [
+        F.when(F.col(f"x{i}").isNotNull() & (F.lit(True) if j is None else F.col(f"x{j}").isNotNull()), F.struct(F.lit(e).alias("e"), F.col(f"x{i}").alias("x")))
+        for (i, j), e in ranked.items()
+    ]
+    long = data.select("row", F.explode(F.array_compact(F.array(*cells))).alias("c")).select("row", "c.e", "c.x")
+    ranks = materialize(scale.average_ranks(long, ["e"], "x", "r", keep="n"))
+    hot = [(r["e"], r["x"], r["r"]) for r in ranks.filter(F.col("n") * FREQUENT > seen["all"]).collect()]  # fewer than FREQUENT for each ranking
+    known = F.map_from_arrays(F.array(*[F.struct(F.lit(e).alias("e"), F.lit(x).alias("x")) for e, x, _ in hot]), F.array(*[F.lit(r) for *_, r in hot])) if hot else None
+    own = F.try_element_at(known, F.struct("e", "x")) if hot else F.lit(None).cast("double")
+    long = long.withColumn("r", own)
+    rest = long.filter("r IS NULL").drop("r").join(ranks.drop("n"), ["e", "x"])
+    matrix = long.filter("r IS NOT NULL").select("row", "e", "r").unionByName(rest.select("row", "e", "r"))
+    matrix = matrix.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("e", "r"))).alias("m"))  # one entry for each ranking
+    counts = {r["e"]: r["n"] for r in ranks.groupBy("e").agg(F.sum("n").alias("n")).collect()}  # one row for each ranking
+    centre = [(counts.get(e, 0) + 1) / 2 for e in range(len(ranked))]
+    wide = matrix.select(*[F.try_element_at("m", F.lit(e)).alias(f"r{e}") for e in range(len(ranked))])
+    sums = _pair_sums(wide, len(ranked), centre).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    wanted = df.sparkSession.createDataFrame([(*pair, min(p), max(p)) for pair, p in zip(pairs, places)], "left string, right string, i int, j int")
+    both = wanted.join(sums, ["i", "j"], "left")
+    return both.select("left", "right", F.coalesce("n", F.lit(0.0)).cast("bigint").alias("n"), _correlation(sums).alias("rho"))
+
+
+def rank_correlation(df: DataFrame, left: str, right: str) -> DataFrame:
+    """Spearman's rho of one pair over complete rows: ``n, rho``."""
+    return rank_correlations(df, [(left, right)]).select("n", "rho")
 
 
 def correlate(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> Outcome:
@@ -129,7 +159,7 @@ def correlate(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> Outcome:
             ((F.min(F.when(both, x)) < F.max(F.when(both, x))) & (F.min(F.when(both, y)) < F.max(F.when(both, y)))).alias(f"v{k}"),
         ]
     seen = data.agg(*aggs).first() if aggs else None  # one row whatever the table's size
-    parts = []
+    good = []
     for k, (a, b) in enumerate(usable):
         label, n, r = f"{a} ~ {b}", seen[f"n{k}"], seen[f"r{k}"]
         if not seen[f"a{k}"] or not seen[f"b{k}"]:
@@ -140,17 +170,20 @@ def correlate(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> Outcome:
             refused.append(("correlate", label, "one column does not vary", 1, 2))
         else:
             t = float("inf") if abs(r) >= 1 else r * ((n - 2) / (1 - r * r)) ** 0.5
-            source = f"{a} and {b}"
-            key = f"{a}.corr.with.{b}"
-            parts.append(metric_rows(rank_correlation(df, a, b), [
-                metric(key, F.lit(r), measure=a, stat="corr", dim=b, source=source),
-                metric(f"{key}.p_value", F.lit(tails.t_two_sided(t, n - 2)), measure=a, stat="corr.p_value", dim=b, source=source),
-                metric(f"{a}.rank_corr.with.{b}", F.col("rho"), measure=a, stat="rank_corr", dim=b, source=source),
-                metric(f"{key}.n", F.lit(n), measure=a, stat="corr.n", dim=b, unit="pair", source=source),
-                metric(f"{a}.r2.with.{b}", F.lit(r * r * 100.0), measure=a, stat="r2", dim=b, unit="%", source=source),
-            ]))
-    empty = metric_rows(spark.range(0), [metric("", F.lit(0.0))])
-    return Outcome(stacked(parts or [empty]), refusals(spark, refused))
+            good.append((a, b, n, r, tails.t_two_sided(t, n - 2)))
+    if not good:
+        return Outcome(metric_rows(spark.range(0), [metric("", F.lit(0.0))]), refusals(spark, refused))
+    rho = rank_correlations(df, list(dict.fromkeys((a, b) for a, b, *_ in good))).select("left", "right", "rho")
+    tests = spark.createDataFrame(good, "left string, right string, pairs bigint, r double, p double").join(F.broadcast(rho), ["left", "right"])  # one row per pair
+    a, b = F.col("left"), F.col("right")
+    key, source = F.concat(a, F.lit(".corr.with."), b), F.concat(a, F.lit(" and "), b)
+    return Outcome(metric_rows(tests, [
+        metric(key, F.col("r"), measure=a, stat="corr", dim=b, source=source),
+        metric(F.concat(key, F.lit(".p_value")), F.col("p"), measure=a, stat="corr.p_value", dim=b, source=source),
+        metric(F.concat(a, F.lit(".rank_corr.with."), b), F.col("rho"), measure=a, stat="rank_corr", dim=b, source=source),
+        metric(F.concat(key, F.lit(".n")), F.col("pairs"), measure=a, stat="corr.n", dim=b, unit="pair", source=source),
+        metric(F.concat(a, F.lit(".r2.with."), b), F.col("r") * F.col("r") * 100.0, measure=a, stat="r2", dim=b, unit="%", source=source),
+    ]), refusals(spark, refused))
 
 
 def group_stats(df: DataFrame, measures: Sequence[str], groups: Sequence[str]) -> DataFrame:

@@ -200,8 +200,10 @@ def _(t):
 
 @query("snk1_write_parquet", "SELECT * FROM supplier")
 def _(t):
-    path = sinks.write_parquet(t.supplier, scratch(t, "layers"), "clean", "supplier")
-    return t.spark.read.parquet(path)
+    base = scratch(t, "layers")
+    sinks.write_parquet(t.supplier.limit(0), base, "clean", "supplier")
+    sinks.write_parquet(t.supplier, base, "clean", "supplier")
+    return sinks.read_table(t.spark, base, "clean", "supplier")
 
 
 @query("snk2_write_csv", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")

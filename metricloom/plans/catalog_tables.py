@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from metricloom.operators import bi, mart, points, profile, validate
+from metricloom.operators import bi, intervals, mart, points, profile, validate
 from metricloom.operators.clean import with_labels
 from metricloom.plans.registry import query
 from metricloom.session import checkpoint_dir
@@ -211,12 +211,25 @@ def _(t):
     SELECT n_nationkey, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN b ON c_acctbal >= lo AND c_acctbal < hi GROUP BY 1""",
 )
 def _(t):
-    # The bands are 25 rows by definition of the table they come from; the planner checks the size before broadcasting.
     bands = t.nation.select("n_nationkey", (F.col("n_nationkey") * 400.0).alias("lo"), (F.col("n_nationkey") * 400.0 + 400.0).alias("hi"))
-    joined = t.customer.join(bands, (F.col("c_acctbal") >= F.col("lo")) & (F.col("c_acctbal") < F.col("hi")))
+    joined = intervals.interval_join(t.customer, bands, "c_acctbal", "lo", "hi")
     return joined.groupBy("n_nationkey").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
+@query(
+    "jon2_overlapping_bands",
+    """WITH b AS (SELECT o_orderkey, o_totalprice - (o_orderkey % 50) * 2.0 AS lo, o_totalprice + CASE WHEN o_orderkey % 400 = 0 THEN 50000.0 ELSE (o_orderkey % 7) * 1.5 END AS hi FROM orders)
+    SELECT l_orderkey, l_linenumber, count(*) AS bands, min(o_orderkey) AS first_band FROM lineitem JOIN b ON l_extendedprice >= lo AND l_extendedprice <= hi GROUP BY 1, 2""",
+)
+def _(t):
+    """As many bands as orders, narrow and wide, nested and overlapping."""
+    wide = F.when(F.col("o_orderkey") % 400 == 0, 50000.0).otherwise((F.col("o_orderkey") % 7) * 1.5)
+    bands = t.orders.select("o_orderkey", (F.col("o_totalprice") - (F.col("o_orderkey") % 50) * 2.0).alias("lo"), (F.col("o_totalprice") + wide).alias("hi"))
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
+    joined = intervals.interval_join(lines, bands, "l_extendedprice", "lo", "hi", closed=True)
+    return joined.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("bands"), F.min("o_orderkey").alias("first_band"))
+
+
 @query(
     "jon3_aligned_aggregates",
     """WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)

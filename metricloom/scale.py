@@ -177,11 +177,12 @@ def percentiles(
     return picked.select(*keys, *[c.alias(n) for c, n in zip(between, shares)])
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, *, split: bool | None = None) -> DataFrame:
-    """Average rank of every distinct ``value`` inside its key: ``keys, value, name``.
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, *, split: bool | None = None, keep: str | None = None) -> DataFrame:
+    """Average rank of every distinct ``value`` inside its key: ``keys, value, name``, and under ``keep`` how often it occurs.
 
     Ranking happens on value counts, not on the raw rows.
     """
     counted = value_counts(df.filter(F.col(value).isNotNull()), keys, value, "_n")
     ordered = Sequenced(counted, keys, [value], split=split).with_running_sum("_upto", "_n").rows()
-    return ordered.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+    count = [F.col("_n").alias(keep)] if keep else []
+    return ordered.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name), *count)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +17,33 @@ def layer_path(base: str, layer: str, name: str) -> str:
     return f"{base.rstrip('/')}/{layer}/{name}"
 
 
+#: Every finished write is one row here. Rows are appended, so a write is visible at once or not at all.
+VERSIONS = "run_id string, version bigint, folder string, tables array<string>"
+
+
+def _publish(spark: SparkSession, base: str, run_id: str, version: int, folder: str, tables: list[str]) -> None:
+    spark.createDataFrame([(run_id, version, folder, tables)], VERSIONS).coalesce(1).write.mode("append").parquet(f"{base}/versions")
+
+
+def _versions(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.schema(VERSIONS).parquet(f"{base}/versions")
+
+
 def write_parquet(df: DataFrame, base: str, layer: str, name: str) -> str:
-    """Store a table in a layer. Readers see the old or the new files, as the commit protocol decides."""
+    """Store a table in a layer, in a folder of its own, which becomes the table when it is complete. Readers see the old
+    table until then, and if the write fails. Returns the folder."""
     path = layer_path(base, layer, name)
-    df.write.mode("overwrite").parquet(path)
-    return path
+    version = time.time_ns()
+    folder = f"{path}/{version}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(folder)
+    _publish(df.sparkSession, path, "", version, folder, [name])
+    return folder
+
+
+def read_table(spark: SparkSession, base: str, layer: str, name: str) -> DataFrame:
+    """The newest complete version of a table."""
+    newest = _versions(spark, layer_path(base, layer, name)).orderBy(F.desc("version")).first()
+    return spark.read.parquet(newest["folder"])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -74,16 +99,24 @@ def write_html(df: DataFrame, path: str) -> None:
 
 
 def write_run(base: str, run_id: str, **tables: DataFrame) -> None:
-    """Append the result tables of one run (metrics, refusals, diff log, validation), each partitioned by run.
-
-    Repeating a run replaces only its own partition.
-    """
+    """Store the result tables of one run (metrics, refusals, diff log, validation). All of them become visible together, when the last is
+    written; until then, and if one fails, the run reads as it was. Repeating a run replaces only its own tables."""
+    base = base.rstrip("/")
+    version = time.time_ns()
+    folder = f"{base}/{version}-{uuid.uuid4().hex[:8]}"
+    spark = None
     for name, df in tables.items():
-        (
-            df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run_id").parquet(f"{base.rstrip('/')}/{name}")
-        )
+        spark = df.sparkSession
+        df.write.parquet(f"{folder}/{name}")
+    if spark is not None:
+        _publish(spark, base, run_id, version, folder, sorted(tables))
 
 
 def read_run(spark: SparkSession, base: str, name: str, run_id: str) -> DataFrame:
-    return spark.read.parquet(f"{base.rstrip('/')}/{name}").filter(F.col("run_id") == run_id).drop("run_id")
+    """A table of the newest complete write of a run."""
+    base = base.rstrip("/")
+    held = _versions(spark, base).filter((F.col("run_id") == run_id) & F.array_contains("tables", name))
+    newest = held.orderBy(F.desc("version")).first()
+    if newest is None:
+        raise LookupError(f"run '{run_id}' has no table '{name}'")
+    return spark.read.parquet(f"{newest['folder']}/{name}")
