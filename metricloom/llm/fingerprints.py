@@ -5,8 +5,9 @@ hash is then one subtraction, two spans are compared in constant time, and the l
 extension of two places is found by binary search over lengths.
 
 The fingerprint of a text is the set of its ``KEPT`` smallest span hashes, spans of 20 code points at every place (of fewer in
-texts of less than 80), mixed to 32 bits. The likeness of two fingerprints is the share of the
-smallest hashes of their union that both hold, an estimate of the share of spans in common.
+texts of less than 80), mixed to 32 bits. The likeness of two texts is the share of the
+smallest hashes of their union that both hold, an estimate of the share of spans in common. Both are read at the span length of
+the shorter text: where that is not the longer one's own, the longer text is sketched again at it, so texts on either side of a limit compare like any others.
 
 Each text is also set against an edit of itself: its last third replaced by the first code points of the next document.
 Documents are ranged by descending id (null last, ties by a hash of the text), every partition is walked in order,
@@ -89,11 +90,15 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def sketch(of: Prefixes) -> np.ndarray:
-    """The smallest mixed span hashes, ascending."""
+def span_length(n: int) -> int:
+    return next(span for least, span in SPANS if n >= least)
+
+
+def sketch(of: Prefixes, length: int | None = None) -> np.ndarray:
+    """The smallest mixed hashes of spans of ``length``, by default the text's own, ascending."""
     if not of.n:
         return np.zeros(0, np.uint32)
-    length = next(span for least, span in SPANS if of.n >= least)
+    length = length or span_length(of.n)
     x = of.spans(np.arange(of.n - length + 1), length)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -112,6 +117,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).mean())
 
 
+def alike(a: Prefixes, sketch_a: np.ndarray, b: Prefixes, sketch_b: np.ndarray) -> float:
+    """Likeness at the span length of the shorter text."""
+    length = span_length(min(a.n, b.n))
+    if a.n and b.n:
+        sketch_a, sketch_b = (s if span_length(p.n) == length else sketch(p, length) for p, s in ((a, sketch_a), (b, sketch_b)))
+    return likeness(sketch_a, sketch_b)
+
+
 def _hex(s: np.ndarray) -> str:
     return s.astype(">u4").tobytes().hex()
 
@@ -134,7 +147,7 @@ class _Walk:
         third = len(text) // 3
         edited, e, t = self.of(text[: len(text) - third] + following[0][:third])
         digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        return (len(text), digest, _hex(s), _hex(t), likeness(s, t), likeness(s, following[2]), prefixes.common(0, e, 0), prefixes.common(0, following[1], 0))
+        return (len(text), digest, _hex(s), _hex(t), alike(prefixes, s, e, t), alike(prefixes, s, following[1], following[2]), prefixes.common(0, e, 0), prefixes.common(0, following[1], 0))
 
 
 def _rows(ids: list, rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
