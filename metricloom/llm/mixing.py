@@ -20,8 +20,6 @@ rows give the same mix in every run and partitioning.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +54,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: tu
 
 def apportion(cells: DataFrame, claim: str, seats: int, order: list[str], name: str = "quota") -> DataFrame:
     """``cells`` with the Sainte-Laguë share of ``seats`` in column ``name``; ties go by ``order``."""
-    whole = cells.agg(F.sum(claim)).first()[0] or 0.0
+    whole = float(cells.agg(F.sum(F.col(claim).cast("decimal(38,9)"))).first()[0] or 0)  # decimals add up to the same in any order
     if seats <= 0 or whole <= 0:
         return cells.withColumn(name, F.lit(0).cast("bigint"))
 
@@ -120,8 +118,10 @@ def mix(
     dealt = materialize(dealt.withColumn("drawn", F.xxhash64(F.lit(seed + 1), "drawn")))
     cells = dealt.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"), F.first("source_size").alias("ss"), F.first("target").alias("t"))
     cells = materialize(cells.filter("cell_size > 0").select("source", "cell", "cell_size", (F.col("t") * F.col("cell_size") / F.col("ss")).alias("claim")))
-    total = cells.agg(F.sum("claim")).first()[0] or 0.0
-    quotas = apportion(cells, "claim", math.floor(total / block + 0.5), ["source", "cell"])
+    words_of_all = cells.agg(F.sum("cell_size")).first()[0] or 0
+    up, down = budget
+    goal = words_of_all * min(up, cap * down)  # the targets' sum in 1/down words: what is above a cap is shared again unless all are capped
+    quotas = apportion(cells, "claim", (2 * goal + down * block) // (2 * down * block), ["source", "cell"])
     quotas = quotas.select(F.col("source").alias("_source"), F.col("cell").alias("_cell"), "cell_size", F.least(F.col("quota") * block, F.col("cell_size") * cap).alias("words"))
     both = dealt.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("cell") == F.col("_cell")), "left")
     upto = F.sum("size").over(Window.partitionBy("source", "cell").orderBy("drawn", "id", "seen").rowsBetween(Window.unboundedPreceding, 0))
