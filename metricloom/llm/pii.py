@@ -89,10 +89,8 @@ def _instances(tokens: Column, base: Column) -> Column:
         bare = F.btrim(F.when(F.size(begun) > 0, covered).otherwise(s["hit"]), F.lit(TRIM))
         lead = F.length(s["hit"]) - F.length(F.ltrim(s["hit"], F.lit(TRIM)))
         start = s["start"] + lead
-        word = F.regexp_extract(s["before"], r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1)
-        last = F.get(tokens, at - 1)
-        next_to = s["start"] - last["end"] == F.length(s["before"])  # the whole gap is seen: nothing but blanks, so the token before is the word
-        left = F.when(word != "", word).otherwise(F.when(next_to, last["hit"]).otherwise(F.lit("")))
+        last = F.get(tokens, at - 1)  # the word before where only blanks lie between
+        left = F.when(s["before"] == " ", F.coalesce(last["hit"], F.lit(""))).otherwise(F.rtrim(s["before"]))
         return F.struct(
             start.alias("start"), (start + F.length(bare)).alias("end"), bare.alias("token"),
             F.lower(left).alias("left"), touched.alias("seed"), (touched & (F.size(begun) == 0)).alias("within"),
@@ -104,7 +102,7 @@ def _instances(tokens: Column, base: Column) -> Column:
 def _marked(df: DataFrame, row_id: str, text: str) -> DataFrame:
     whole = F.coalesce(column(df, text), F.lit(""))
     own = df.select(column(df, row_id).alias("id"), F.xxhash64(whole).alias("seen"), whole.alias("t"))
-    based = own.select("id", "seen", base_spans(F.col("t")).alias("base"), S.matches(F.col("t"), TOKEN).alias("tokens"))
+    based = own.select("id", "seen", base_spans(F.col("t")).alias("base"), S.matches(F.col("t"), TOKEN, before=True).alias("tokens"))
     return materialize(based.select("id", "seen", "base", _instances(F.col("tokens"), F.col("base")).alias("held")))
 
 

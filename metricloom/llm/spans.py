@@ -8,12 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,hit:string,before:string>>"
-#: Characters before a match that are kept with it, back to the previous match at most.
-REACH = 48
 
 
-def matches(text: Column, pattern: str, keep: Callable[[Column, Column], Column] | None = None, group: int = 0) -> Column:
-    """Leftmost matches that do not overlap, as an array of (start, end, hit, before); places in code points, end exclusive.
+def matches(text: Column, pattern: str, keep: Callable[[Column, Column], Column] | None = None, group: int = 0, *, before: bool = False) -> Column:
+    """Leftmost matches that do not overlap, as an array of (start, end, hit, before); places in code points, end exclusive. ``before``, if asked for, is what
+    ``word_before`` makes of the text since the previous match.
 
     The texts between the matches and the matches themselves alternate, so adding up their lengths gives
     the places. ``keep(hit, group)`` drops matches after the search.
@@ -22,7 +21,7 @@ def matches(text: Column, pattern: str, keep: Callable[[Column, Column], Column]
     def step(state: Column, piece: Column) -> Column:
         start = state["at"] + F.length(piece["gap"])
         end = start + F.length(piece["hit"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("hit"), F.right(piece["gap"], F.lit(REACH)).alias("before")))
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), piece["hit"].alias("hit"), (word_before(piece["gap"]) if before else F.lit("")).alias("before")))
         kept = one if keep is None else F.when(keep(piece["hit"], piece["part"]), one).otherwise(nothing())
         return F.struct(end.alias("at"), F.concat(state["out"], kept).alias("out"))
 
@@ -43,6 +42,13 @@ def matches(text: Column, pattern: str, keep: Callable[[Column, Column], Column]
     return F.when(text.rlike(pattern), bound(parts, located)).otherwise(nothing())
 
 
+def word_before(gap: Column) -> Column:
+    """The last word of a text, of any length and any number of blanks away from its end, and one blank. One blank if there are only blanks, and nothing if the text does not end in one."""
+    plain = F.translate(gap, "\t\n\x0b\x0c\r", " " * 5)
+    bare = F.rtrim(plain)
+    return F.when(F.length(bare) < F.length(plain), F.concat(F.substring_index(bare, " ", -1), F.lit(" "))).otherwise("")
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -78,6 +78,14 @@ def test_context_taught_by_spans_of_several_tokens(spark):
     assert [found[k] for k in range(10, 13)] == [["x1234"], ["u77"], []]
 
 
+def test_context_behind_long_words_and_gaps(spark):
+    word = "w" * 60
+    texts = [f"mail {word} u{k}@mail.example.org today" for k in range(6)] + [f"mail ref:{' ' * 70}\t a{k}@mail.example.org today" for k in range(6)]
+    unseen = [f"mail {word} known-1 today", f"mail ref:\n{' ' * 90}known-2 today", f"mail {word[:-1]} known-3 today"]
+    found = _contexts(spark, texts + unseen)
+    assert [found[k] for k in range(12, 15)] == [["known-1"], ["known-2"], []]
+
+
 def test_context_spreads_through_discovered_instances(spark):
     texts = [f"write to contact: u{k}@mail.example.org today" for k in range(60)]
     texts += [f"write to contact: known-{k} today" for k in range(5)] + [f"booked on acct known-{k} today" for k in range(5)]
@@ -141,6 +149,29 @@ def test_fingerprints_match_brute_force(docs, rows, partitions):
     assert len(got) == len(known)
 
 
+@pytest.mark.parametrize("long, short", ((82, 78), (80, 79), (81, 80), (16, 15), (17, 16), (20, 12), (90, 14)))
+def test_texts_across_a_limit_compare(spark, long, short):
+    text = "".join(chr(97 + k * k % 23 + k % 3) for k in range(long))
+    found = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame([(2, text), (1, text[:short])], "doc_id int, text string")).collect()}
+    length = fingerprints.span_length(short)
+    a, b = ({t[k : k + length] for k in range(len(t) - length + 1)} for t in (text, text[:short]))
+    assert found[2]["near_next"] == pytest.approx(len(a & b) / len(a | b), abs=0.02) and found[2]["near_next"] > 0
+
+
+def test_likeness_matches_brute_force(spark):
+    """Texts with no more spans than are kept: the estimate is the exact share."""
+    rows = [(k, ("abcde fghij klmno"[: 3 + k % 14] * 4)[: 5 + 3 * k]) for k in range(14)] + [(90, ""), (91, None), (92, "x")]
+    found = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    ordered = sorted(rows, reverse=True)
+    for k, (own, text) in enumerate(ordered):
+        text, following = text or "", ordered[(k + 1) % len(ordered)][1] or ""
+        edited = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
+        for name, other in (("near_next", following), ("near_edited", edited)):
+            length = fingerprints.span_length(min(len(text), len(other)))
+            a, b = ({t[i : i + length] for i in range(len(t) - length + 1)} for t in (text, other))
+            assert found[own][name] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+
+
 def test_fingerprints_odd_rows(docs, rows, no_docs):
     assert fingerprints.fingerprints(docs).count() == len(rows)
     assert fingerprints.fingerprints(no_docs).count() == 0
