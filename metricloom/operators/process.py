@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom import scale
@@ -361,14 +361,33 @@ def order_violations(log: EventLog, before: str, after: str) -> DataFrame:
     )
 
 
+def _rule_table(log: EventLog, tests: list[str]) -> DataFrame:
+    """``rule, test``: one row for each declared rule."""
+    return log.events.sparkSession.createDataFrame(list(enumerate(tests)), "rule int, test string")
+
+
+def _rules(pairs: list[tuple[str, str]]) -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("rule"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(pairs)])
+
+
 def sequence_order(log: EventLog, pairs: list[tuple[str, str]]) -> DataFrame:
-    """``test, violations, missing`` per (before, after) pair."""
-    parts = [
-        order_violations(log, b, a).agg(F.count("*").alias("violations"), F.count_if("missing").alias("missing"))
-        .select(F.lit(f"order:{b}__before__{a}").alias("test"), "violations", "missing")
-        for b, a in pairs
-    ]
-    return stacked(parts)
+    """``test, violations, missing`` per (before, after) pair.
+
+    One scan and one aggregation serve all rules: a case is reduced to the first moment of each named activity, and the rules are data.
+    """
+    if not pairs:
+        return log.events.sparkSession.createDataFrame([], "test string, violations bigint, missing bigint")
+    names = sorted({name for pair in pairs for name in pair})
+    firsts = log.events.filter(F.col(ACTIVITY).isin(names)).groupBy(CASE, ACTIVITY).agg(F.min(F.struct(AT, ROW)).alias("_at"))
+    cases = firsts.groupBy(CASE).agg(F.map_from_entries(F.collect_list(F.struct(ACTIVITY, "_at"))).alias("_m"))  # at most one entry for each name
+    before = lambda r: F.try_element_at("_m", r["a"])
+    after = lambda r: F.try_element_at("_m", r["b"])
+    broken = F.filter(_rules(pairs), lambda r: after(r).isNotNull() & (before(r).isNull() | (before(r) > after(r))))
+    hits = cases.select(F.explode(F.transform(broken, lambda r: F.struct(r["rule"].alias("rule"), before(r).isNull().alias("missing")))).alias("h")).select("h.*")
+    counts = hits.groupBy("rule").agg(F.count("*").alias("violations"), F.count_if("missing").alias("missing"))
+    table = _rule_table(log, [f"order:{b}__before__{a}" for b, a in pairs])
+    zero = F.lit(0).cast("bigint")
+    return table.join(F.broadcast(counts), "rule", "left").select("test", F.coalesce("violations", zero).alias("violations"), F.coalesce("missing", zero).alias("missing"))
 
 
 def duty_violations(log: EventLog, first: str, second: str) -> DataFrame:
@@ -387,15 +406,20 @@ def duty_violations(log: EventLog, first: str, second: str) -> DataFrame:
 
 
 def segregation_of_duties(log: EventLog, pairs: list[tuple[str, str]]) -> DataFrame:
-    """``test, events, culprits`` per pair; culprits are the first three names."""
-    parts = []
-    for a, b in pairs:
-        hits = duty_violations(log, a, b).groupBy(RESOURCE).agg(F.sum("events").alias("events"))
-        named = hits.orderBy(RESOURCE).limit(3).agg(F.array_sort(F.collect_list(RESOURCE)).alias("culprits"))
-        total = hits.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("events"))
-        parts.append(
-            side_by_side(total, named).select(
-                F.lit(f"sod:{a}__vs__{b}").alias("test"), "events", F.array_join("culprits", ", ").alias("culprits")
-            )
-        )
-    return stacked(parts)
+    """``test, events, culprits`` per pair; culprits are the first three names. One scan and one aggregation serve all rules."""
+    if not pairs:
+        return log.events.sparkSession.createDataFrame([], "test string, events bigint, culprits string")
+    names = sorted({name for pair in pairs for name in pair})
+    acted = log.events.filter(F.col(ACTIVITY).isin(names) & F.col(RESOURCE).isNotNull()).groupBy(CASE, RESOURCE, ACTIVITY).agg(F.count("*").alias("_n"))
+    actors = acted.groupBy(CASE, RESOURCE).agg(F.map_from_entries(F.collect_list(F.struct(ACTIVITY, "_n"))).alias("_m"))  # at most one entry for each name
+    did = lambda name: F.coalesce(F.try_element_at("_m", name), F.lit(0))
+    broken = F.filter(_rules(pairs), lambda r: (did(r["a"]) > 0) & (did(r["b"]) > 0))
+    events = lambda r: did(r["a"]) + F.when(r["a"] != r["b"], did(r["b"])).otherwise(0)
+    hits = actors.select(RESOURCE, F.explode(F.transform(broken, lambda r: F.struct(r["rule"].alias("rule"), events(r).alias("events")))).alias("h")).select(RESOURCE, "h.*")
+    hits = hits.groupBy("rule", RESOURCE).agg(F.sum("events").alias("events"))
+    first = Window.partitionBy("rule").orderBy(RESOURCE)
+    named = hits.withColumn("_r", F.row_number().over(first)).filter("_r <= 3").groupBy("rule").agg(F.array_join(F.array_sort(F.collect_list(RESOURCE)), ", ").alias("culprits"))
+    totals = hits.groupBy("rule").agg(F.sum("events").alias("events")).join(named, "rule")
+    table = _rule_table(log, [f"sod:{a}__vs__{b}" for a, b in pairs])
+    found = table.join(F.broadcast(totals), "rule", "left")  # one row for each rule on both sides
+    return found.select("test", F.coalesce("events", F.lit(0).cast("bigint")).alias("events"), F.coalesce("culprits", F.lit("")).alias("culprits"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from metricloom.operators import counting, intervals, profile, stats
+from metricloom.operators import counting, intervals, process, profile, stats
 from metricloom.sources import sinks
 
 
@@ -138,3 +138,27 @@ def test_tables_of_a_run_appear_together(spark, tmp_path):
     assert (sinks.read_run(spark, base, "metrics", "r1").count(), sinks.read_run(spark, base, "metrics", "r2").count()) == (4, 9)
     with pytest.raises(LookupError):
         sinks.read_run(spark, base, "validation", "r1")
+
+
+def test_many_rules_in_one_pass(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(40), rng.choice("abcdef"), k, rng.choice(["x", "y", "z", "w", None])) for k in range(700)]
+    df = spark.createDataFrame(rows, "c int, act string, seq int, who string").repartition(3)
+    log = process.EventLog(df, "c", "act", "seq", resource="who")
+    pairs = [(a, b) for a in "abcdefg" for b in "abcdefg" if a != b]
+    first = {}
+    for c, act, seq, _ in sorted(rows, key=lambda r: r[2]):
+        first.setdefault((c, act), seq)
+    order = {r["test"]: (r["violations"], r["missing"]) for r in process.sequence_order(log, pairs).collect()}
+    duty = {r["test"]: (r["events"], r["culprits"]) for r in process.segregation_of_duties(log, pairs).collect()}
+    for a, b in pairs:
+        late = [first.get((c, a)) for c in range(40) if (c, b) in first and first.get((c, a), 10**9) > first[c, b]]
+        assert order[f"order:{a}__before__{b}"] == (len(late), late.count(None))
+        did = {}
+        for c, act, _, who in rows:
+            if who and act in (a, b):
+                did.setdefault((c, who), []).append(act)
+        guilty = {k: v for k, v in did.items() if len(set(v)) == 2}
+        assert duty[f"sod:{a}__vs__{b}"] == (sum(map(len, guilty.values())), ", ".join(sorted({w for _, w in guilty})[:3]))
+    plan = process.sequence_order(log, pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 2  # the log, and the rules
