@@ -211,14 +211,14 @@ def _merging(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple
 def _linked_forest(value: np.ndarray, starts: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """A spanning forest whose edges are links themselves: first that of each value to its nearest, then what else joins trees."""
     none = np.int64(budget + 1 << 40)
-    best = np.full(len(value), none)
+    best, spare, met = np.full(len(value), none), [], np.arange(len(value))
     for i, j in trie_links(value, starts, budget):
         bits = np.bitwise_count(value[i] ^ value[j]).sum(axis=1, dtype=np.int64) << 40
         np.minimum.at(best, i, bits | j)
         np.minimum.at(best, j, bits | i)
+        spare += _merging(met, i, j)
     parent, linked = np.arange(len(value)), np.flatnonzero(best < none)
-    yield from _merging(parent, linked, best[linked] & (1 << 40) - 1)
-    for i, j in trie_links(value, starts, budget):
+    for i, j in [(linked, best[linked] & (1 << 40) - 1), *spare]:
         yield from _merging(parent, i, j)
 
 
