@@ -12,6 +12,7 @@ Hashes of 128 bits make two different values equal with a chance below 1e-18 for
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -75,9 +76,18 @@ def digest(value: Column) -> list[Column]:
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], fields) -> DataFrame:
-    """One row per cell: ``at``, the place of its column, and ``fields(column)``."""
-    entries = [F.struct(F.lit(k).alias("at"), *fields(c)) for k, c in enumerate(columns)]
-    return df.select(F.explode(F.array(*entries)).alias("_cell")).select("_cell.*")
+    """One row per cell: ``at``, the place of its column, and ``fields(cells, "v")``. Columns of one type are exploded together, so that
+    expressions are written once for a type and not once for a column."""
+    kinds = types_of(df)
+    groups: dict[str, list[int]] = {}
+    for k, c in enumerate(columns):
+        groups.setdefault(kinds[c].simpleString(), []).append(k)
+    parts = []
+    for places in groups.values():
+        exploded = df.select(F.posexplode(F.array(*[quoted(columns[k]) for k in places])).alias("_p", "v"))
+        cells = exploded.select(F.element_at(F.array(*map(F.lit, places)), F.col("_p") + 1).alias("at"), "v")
+        parts.append(cells.select("at", *fields(cells, "v")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def named(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -88,7 +98,7 @@ def named(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def hash_counts(df: DataFrame, columns: Sequence[str], value_of=_native) -> DataFrame:
     """``at, a, b, n`` of every distinct value of every column, null among them."""
-    return unpivot(df, columns, lambda c: digest(value_of(df, c))).groupBy("at", "a", "b").agg(F.count("*").alias("n"))
+    return unpivot(df, columns, lambda d, c: digest(value_of(d, c))).groupBy("at", "a", "b").agg(F.count("*").alias("n"))
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], value_of=_native, name: str = "distinct") -> DataFrame:
@@ -97,8 +107,12 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], value_of=_native, nam
 
 
 def top_values(df: DataFrame, columns: Sequence[str], limit: int) -> DataFrame:
-    """``column, rank, value, n`` of the most common values of each column, ties by value."""
+    """``column, rank, value, n`` of the most common values of each column, ties by value. Short tables are counted on the values themselves."""
     columns = list(columns)
+    order = Window.partitionBy("at").orderBy(F.desc("n"), F.asc("value"))
+    if df.count() <= scale.group_limit(df):
+        short = unpivot(df, columns, lambda d, c: [as_text(d, c).alias("value")]).filter("value IS NOT NULL").groupBy("at", "value").agg(F.count("*").alias("n"))
+        return named(short.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("at", "rank", "value", "n"), columns)
     counts = materialize(hash_counts(df, columns).filter("a IS NOT NULL"))
     spectrum = counts.groupBy("at", "n").agg(F.count("*").alias("values"))  # few rows: n values need n (n + 1) / 2 rows of the table
     above = F.sum("values").over(Window.partitionBy("at").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
@@ -109,7 +123,7 @@ def top_values(df: DataFrame, columns: Sequence[str], limit: int) -> DataFrame:
     tied = {r["at"] for r in last if r["values"] > TIES}
     least = F.create_map(*[x for r in last for x in (F.lit(r["at"]), F.lit(r["n"] + (r["at"] in tied)))])
     wanted = counts.filter(F.col("n") >= least[F.col("at")])  # at most (limit + TIES) for each column
-    cells = unpivot(df, columns, lambda c: [*digest(_native(df, c)), as_text(df, c).alias("value")])
+    cells = unpivot(df, columns, lambda d, c: [*digest(_native(d, c)), as_text(d, c).alias("value")])
     found = cells.join(F.broadcast(wanted), ["at", "a", "b"]).groupBy("at", "a", "b").agg(F.first("value").alias("value"), F.first("n").alias("n")).select("at", "value", "n")
     ask = FIRST_TEXTS
     while tied:
@@ -122,7 +136,6 @@ def top_values(df: DataFrame, columns: Sequence[str], limit: int) -> DataFrame:
         found = found.unionByName(fitting.filter(F.col("at").isin(sorted(enough)))) if enough else found
         tied -= enough
         ask *= 16  # every text is asked for in the end
-    order = Window.partitionBy("at").orderBy(F.desc("n"), F.asc("value"))
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     return named(ranked.select("at", "rank", "value", "n"), columns)
 
@@ -179,10 +192,12 @@ def _quantiles(df: DataFrame, columns: Sequence[str], own: Sequence[str], shares
             brackets.append((k, name, rank, low, high))
     if not brackets:
         return []
-    below = data.agg(*[F.count_if(F.col(f"x{k}") < low).alias(f"b{i}") for i, (k, _, _, low, _) in enumerate(brackets)]).first()
+    sides = [c for i, (k, _, _, low, high) in enumerate(brackets) for c in (F.count_if(F.col(f"x{k}") < low).alias(f"b{i}"), F.count_if(F.col(f"x{k}").between(low, high)).alias(f"m{i}"))]
+    below = data.agg(*sides).first()
+    split = max(below[f"m{i}"] for i in range(len(brackets))) > scale.group_limit(df)
     inside = F.array_compact(F.array(*[F.when(F.col(f"x{k}").between(low, high), F.struct(F.lit(i).alias("i"), F.col(f"x{k}").alias("x"))) for i, (k, _, _, low, high) in enumerate(brackets)]))
     counted = data.select(F.explode(inside).alias("e")).groupBy("e.i", "e.x").agg(F.count("*").alias("n"))
-    upto = scale.Sequenced(counted, ["i"], ["x"]).with_running_sum("upto", "n").rows()
+    upto = scale.Sequenced(counted, ["i"], ["x"], split=split).with_running_sum("upto", "n").rows()
     start = F.create_map(*[x for i in range(len(brackets)) for x in (F.lit(i), F.lit(below[f"b{i}"]))])
     rank_of = F.create_map(*[x for i, (_, _, rank, _, _) in enumerate(brackets) for x in (F.lit(i), F.lit(float(rank)))])
     last = start[F.col("i")] + F.col("upto")

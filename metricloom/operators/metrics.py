@@ -36,7 +36,7 @@ def row_total(df: DataFrame) -> DataFrame:
 def column_metrics(df: DataFrame) -> DataFrame:
     """``<column>.distinct`` and ``<column>.null_pct`` of every column."""
     columns = df.columns
-    sums = counting.unpivot(df, columns, lambda c: [_as_text(df, c).isNull().alias("missing")]).groupBy("at").agg(F.count("*").alias("rows"), F.count_if("missing").alias("nulls"))
+    sums = counting.unpivot(df, columns, lambda d, c: [_as_text(d, c).isNull().alias("missing")]).groupBy("at").agg(F.count("*").alias("rows"), F.count_if("missing").alias("nulls"))
     shape = counting.named(sums, columns).join(F.broadcast(counting.distinct_counts(df, columns)), "column")  # one row per column
     name = F.col("column")
     return metric_rows(shape, [
@@ -73,7 +73,7 @@ def flag_metrics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     flags = [r["column"] for r in counting.distinct_counts(df, columns, counting.as_number, "d").filter("d = 2").collect()] if columns else []  # at most one per column
     if not flags:
         return metric_rows(df.sparkSession.range(0), [metric("", F.lit(0.0))])
-    by_number = counting.named(counting.unpivot(df, flags, lambda c: [counting.as_number(df, c).alias("x")]).groupBy("at", "x").agg(F.count("*").alias("n")), flags)
+    by_number = counting.named(counting.unpivot(df, flags, lambda d, c: [counting.as_number(d, c).alias("x")]).groupBy("at", "x").agg(F.count("*").alias("n")), flags)
     shape = by_number.groupBy("column").agg(F.sum("n").alias("rows"))
     # Two values per kept column: both sides are bounded by the table's width.
     kept = by_number.filter("x IS NOT NULL").join(F.broadcast(shape), "column")

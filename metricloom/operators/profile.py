@@ -59,7 +59,7 @@ def _weighted(condition: Column) -> Column:
 def column_shape(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per column: counts, shares, distinct values, length and both kinds of extremes."""
     columns = list(columns if columns is not None else df.columns)
-    fields = lambda c: [F.length(_as_text(df, c)).alias("chars"), counting.as_number(df, c).alias("x")]
+    fields = lambda d, c: [F.length(_as_text(d, c)).alias("chars"), counting.as_number(d, c).alias("x")]
     sums = counting.unpivot(df, columns, fields).groupBy("at").agg(
         F.count("*").alias("row_count"), F.count("chars").alias("non_null"), F.sum("chars").alias("_chars"), F.count("x").alias("_numeric"),
         F.min("x").alias("min_number"), F.max("x").alias("max_number"),
@@ -261,7 +261,7 @@ def bi_fields(df: DataFrame, row_id: str) -> DataFrame:
     """Role and kind of every column for drag-and-drop queries: ``column, role, kind, distinct``."""
     kinds = _types(df)
     names = [c for c in df.columns if c != row_id]
-    fields = lambda c: [F.coalesce(text.strip(_as_text(df, c)) != "", F.lit(False)).alias("filled"), counting.as_number(df, c).alias("x")]
+    fields = lambda d, c: [F.coalesce(text.strip(_as_text(d, c)) != "", F.lit(False)).alias("filled"), counting.as_number(d, c).alias("x")]
     sums = counting.unpivot(df, names, fields).groupBy("at").agg(
         F.count_if("filled").alias("_filled"),
         F.count("x").alias("_numbers"),
@@ -296,7 +296,7 @@ def bi_fields(df: DataFrame, row_id: str) -> DataFrame:
 def measurable_and_grouping(df: DataFrame) -> DataFrame:
     """``column, is_measure, is_group``: what statistics may use as a number and as a group."""
     names = df.columns
-    fields = lambda c: [_as_text(df, c).isNotNull().alias("present"), counting.as_number(df, c).alias("x")]
+    fields = lambda d, c: [_as_text(d, c).isNotNull().alias("present"), counting.as_number(d, c).alias("x")]
     sums = counting.unpivot(df, names, fields).groupBy("at").agg(
         F.count("*").alias("rows"), F.count_if("present").alias("present"), F.count("x").alias("nx"), F.min("x").alias("lo"), F.max("x").alias("hi"),
         F.bool_and(F.col("x") % 1 == 0).alias("whole"),
@@ -364,7 +364,7 @@ def temporal_columns(df: DataFrame) -> DataFrame:
 
 def period_columns(df: DataFrame, largest: int | None = None) -> DataFrame:
     """Columns whose distinct values, two or more and at most ``largest``, are all period labels, in time order: ``column, position, value``."""
-    texts = counting.unpivot(df, df.columns, lambda c: [_as_text(df, c).alias("value")])
+    texts = counting.unpivot(df, df.columns, lambda d, c: [_as_text(d, c).alias("value")])
     labelled = texts.select("at", (dates.period_key(F.col("value")).isNotNull() | F.col("value").isNull()).alias("ok"))
     names = [r["column"] for r in counting.named(labelled.groupBy("at").agg(F.bool_and("ok").alias("ok")).filter("ok"), df.columns).collect()]  # at most one per column
     if not names:
@@ -458,8 +458,8 @@ def period_layout(df: DataFrame) -> DataFrame:
         cell = _as_text(df, c)
         return F.when((text.strip(cell) != "") & ~text.is_sentinel(cell), text.strip(cell))
 
-    number = lambda c: numbers.reads_international(meaningful(df, c)) | numbers.reads_local(meaningful(df, c))
-    sums = counting.unpivot(df, names, lambda c: [meaningful(df, c).isNotNull().alias("filled"), number(c).alias("number")]).groupBy("at").agg(
+    number = lambda d, c: numbers.reads_international(meaningful(d, c)) | numbers.reads_local(meaningful(d, c))
+    sums = counting.unpivot(df, names, lambda d, c: [meaningful(d, c).isNotNull().alias("filled"), number(d, c).alias("number")]).groupBy("at").agg(
         F.count_if("filled").alias("n"), F.count_if("number").alias("numbers")
     )
     shape = counting.named(sums, names).join(F.broadcast(counting.distinct_counts(df, names, meaningful)), "column").filter("n > 0")

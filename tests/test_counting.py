@@ -22,7 +22,10 @@ def cells(spark):
     return spark.createDataFrame(rows, schema).repartition(5), rows
 
 
-def test_top_values(cells):
+@pytest.mark.parametrize("short", (True, False))
+def test_top_values(spark, cells, request, short):
+    if not short:
+        request.getfixturevalue("tiny_groups")
     df, rows = cells
     found = {}
     for r in profile.top_values(df, ["k", "name", "word", "code", "nothing"]).collect():
@@ -34,7 +37,7 @@ def test_top_values(cells):
     assert "nothing" not in found
 
 
-def test_first_of_many_ties_behind_common_values(spark):
+def test_first_of_many_ties_behind_common_values(spark, tiny_groups):
     """Half of the values occur once, but the first texts in order occur three times."""
     rows = [(f"a{k:04d}",) for k in range(300) for _ in range(3)] + [("top",)] * 9 + [(f"b{k:05d}",) for k in range(3000)]
     few = [(f"a{k:04d}",) for k in range(3) for _ in range(3)] + [(f"c{k:05d}",) for k in range(3000)]
