@@ -62,7 +62,8 @@ def test_op5(spark, texts):
     found = run(spark, "op5_mixing", "doc_id size source_size target taken")
     assert {k: r["size"] for k, r in found.items()} == {k: len(brute.words(t)) for k, t in texts.items()}
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in found.values())
-    assert abs(sum(r["taken"] for r in found.values()) - 1.5 * sum(r["size"] for r in found.values())) <= 16
+    cells = len({r["source_size"] for r in found.values()})  # each source is one cell here, and loses less than a block of 16 words to its cap
+    assert abs(sum(r["taken"] for r in found.values()) - 1.5 * sum(r["size"] for r in found.values())) <= 16 * cells
     again = run(spark, "op5_mixing", "doc_id size source_size target taken")
     assert again == found
 
