@@ -8,7 +8,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from metricloom import scale
 from metricloom.functions import numbers
 from metricloom.operators.common import side_by_side
 from metricloom.operators.profile import _quoted, _types
@@ -16,6 +18,8 @@ from metricloom.operators.profile import _quoted, _types
 MAX_ROWS = 50_000_000
 EXPLOSION = 10
 FEW_ROWS = 5
+PAGE_ROWS = 1_000_000
+PAGE_BLOCK = "_page_block"
 #: Leaves of a plan that hold no table: constants, number ranges, and references to the statement's own WITH parts.
 FREE_LEAVES = ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef")
 
@@ -132,5 +136,45 @@ def rows_where(df: DataFrame, where: Mapping[str, object]) -> DataFrame:
 
 
 def page(df: DataFrame, row_id: str, limit: int, offset: int = 0) -> DataFrame:
-    """A page of a stored table in row order."""
+    """A page of a table in row order. The rows before it are sorted too: use ``store_pages`` for a table read page by page."""
     return df.orderBy(row_id).offset(offset).limit(limit)
+
+
+@dataclass(frozen=True)
+class Pages:
+    """A table stored in ordered blocks, with the number of the first row of each block."""
+
+    index: DataFrame
+    folder: str
+    schema: StructType
+    row_id: str
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        """Rows ``offset`` to ``offset + limit`` in row order; reads the blocks that hold them and no others."""
+        hit = (
+            self.index.filter((F.col("first_row") < offset + limit) & (F.col("first_row") + F.col("rows") > offset))
+            .agg(F.min("first_row"), F.collect_list("block")).first()  # as many blocks as the page spans
+        )
+        spark = self.index.sparkSession
+        if not hit[1]:
+            return spark.createDataFrame([], self.schema)
+        parts = [f"{self.folder}/rows/{PAGE_BLOCK}={block}" for block in sorted(hit[1])]
+        return spark.read.schema(self.schema).parquet(*parts).orderBy(self.row_id).offset(offset - hit[0]).limit(limit)
+
+
+def store_pages(df: DataFrame, row_id: str, folder: str, block_rows: int = PAGE_ROWS) -> Pages:
+    """Store ``df`` in blocks of about ``block_rows`` rows in the order of ``row_id`` (unique), and an index of the blocks.
+
+    The first row of a block is a running sum over the index, so finding a page costs the same at any offset.
+    """
+    if PAGE_BLOCK in df.columns:
+        raise MartError(f"the name '{PAGE_BLOCK}' is taken")
+    blocks = max(1, -(-df.count() // block_rows))
+    ranged = df.repartitionByRange(blocks, row_id).withColumn(PAGE_BLOCK, F.spark_partition_id())
+    ranged.write.partitionBy(PAGE_BLOCK).parquet(f"{folder}/rows")
+    spark = df.sparkSession
+    stored = spark.read.schema(ranged.schema).parquet(f"{folder}/rows")
+    counted = stored.groupBy(F.col(PAGE_BLOCK).alias("block")).agg(F.count("*").alias("rows"))
+    summed = scale.Sequenced(counted, [], ["block"]).with_running_sum("end", "rows").rows()
+    summed.select("block", "rows", (F.col("end") - F.col("rows")).alias("first_row")).write.parquet(f"{folder}/index")
+    return Pages(spark.read.schema("block int, rows bigint, first_row bigint").parquet(f"{folder}/index"), folder, df.schema, row_id)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -28,6 +30,8 @@ CLUSTERS = (2, 3, 4, 5, 6)
 MIN_SILHOUETTE = 0.25
 MIN_GAP = 0.08
 MIN_CLUSTER_ROWS = 5
+DRAWN_ROWS = 1000  # of a cluster, to measure distances to it
+SCORED_ROWS = 1024  # at a time
 
 
 class ModelError(ValueError):
@@ -104,8 +108,50 @@ def measure_importance(df: DataFrame, outcome: str, features: Sequence[str], *,
     return Outcome(_metrics(df, rows), refusals(spark, note))
 
 
+def _scores(points: np.ndarray, own: np.ndarray, drawn: Sequence[np.ndarray], sizes: Sequence[int]) -> np.ndarray:
+    """Silhouette of each row against the rows drawn from every cluster."""
+    square = (points**2).sum(1)[:, None]
+    total = np.empty((len(points), len(sizes)))
+    for c, rows in enumerate(drawn):
+        apart = np.sqrt(np.maximum(square + (rows**2).sum(1) - 2 * points @ rows.T, 0))
+        total[:, c] = apart.sum(1) * (sizes[c] / len(rows))
+    size = np.asarray(sizes, dtype=float)
+    here = np.arange(len(points)), own
+    inside = total[here] / np.maximum(size[own] - 1, 1)
+    mean = total / size
+    mean[here] = np.inf
+    outside = mean.min(1)
+    larger = np.maximum(inside, outside)
+    return np.where((size[own] > 1) & (larger > 0), (outside - inside) / np.where(larger > 0, larger, 1), 0.0)
+
+
+def silhouette(labelled: DataFrame, sizes: Sequence[int], drawn_rows: int = DRAWN_ROWS) -> float:
+    """Mean silhouette of plain distances over all rows; ``prediction`` numbers the clusters of ``sizes``, at least two and none empty.
+
+    A sum of distances to a cluster is taken over ``drawn_rows`` rows drawn from it on average and scaled up; a cluster of
+    no more rows is taken whole, which is exact. With 1,000 rows the sum has a standard error of about three percent of the
+    spread of the distances. A row alone in its cluster scores 0. The driver holds the drawn rows, whose number
+    depends on the clusters and not on the table.
+    """
+    width = len(sizes)
+    points = labelled.select(F.col("prediction").cast("int").alias("c"), vector_to_array("features").alias("p"))
+    picked = points.sampleBy("c", {c: min(1.0, drawn_rows / n) for c, n in enumerate(sizes)}, seed=0).collect()
+    drawn = [np.array([r["p"] for r in picked if r["c"] == c], dtype=float) for c in range(width)]
+
+    def score(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SCORED_ROWS):
+                part = batch.slice(at, SCORED_ROWS)
+                own = part.column("c").to_numpy()
+                rows = part.column("p").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                found = _scores(rows, own, drawn, sizes)
+                yield pa.RecordBatch.from_pydict({"s": [float(found.sum())], "n": [len(own)]})
+
+    summed = points.mapInArrow(score, "s double, n bigint").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    return summed["s"] / summed["n"]
+
+
 def _best_split(points: DataFrame, rows: int) -> tuple[tuple[float, int, object] | None, list[tuple[int, float]]]:
-    evaluator = ClusteringEvaluator(featuresCol="features", metricName="silhouette")
     best, tried = None, []
     for k in CLUSTERS:
         if k >= rows:
@@ -114,7 +160,7 @@ def _best_split(points: DataFrame, rows: int) -> tuple[tuple[float, int, object]
         labelled = model.transform(points)
         if model.summary.k < k or min(model.summary.clusterSizes) == 0:
             continue
-        score = evaluator.evaluate(labelled)
+        score = silhouette(labelled, model.summary.clusterSizes)
         tried.append((k, round(score, 4)))
         if best is None or score > best[0]:
             best = (score, k, model)
@@ -124,8 +170,7 @@ def _best_split(points: DataFrame, rows: int) -> tuple[tuple[float, int, object]
 def find_clusters(df: DataFrame, columns: Sequence[str]) -> Outcome:
     """Groups of rows in standardised columns, compared with structureless data of the same extent.
 
-    The silhouette uses squared distances, which needs only per-cluster sums and so one
-    pass, where the textbook form compares all pairs of rows.
+    Groups are found by squared distances and judged by the silhouette of plain ones (``silhouette``).
     """
     spark = df.sparkSession
     columns = list(columns)

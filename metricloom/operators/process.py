@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from metricloom import scale
 from metricloom.functions import dates, text
+from metricloom.operators import paths
 from metricloom.operators.common import Outcome, metric, metric_rows, refusals, side_by_side, stacked
 from metricloom.session import materialize
 
@@ -19,7 +20,7 @@ MIN_PARSED = 0.9
 TOP_VARIANTS = 5
 TOP_TRANSITIONS = 5
 TOP_ACTIVITIES = 10
-#: First steps of a path that are kept for ranking ties and for previews.
+#: First steps of a path that are kept for previews and settle most ties.
 HEAD_STEPS = 100
 
 CASE, ACTIVITY, MOMENT, RESOURCE, ROW, AT = "case_id", "activity", "moment", "resource", "row_id", "_at"
@@ -144,11 +145,23 @@ def variant_table(log: EventLog, traces: DataFrame | None = None) -> DataFrame:
 
 
 def top_variants(log: EventLog, table: DataFrame | None = None, limit: int = TOP_VARIANTS) -> DataFrame:
-    """The most common paths, ties by their first steps, then by digest: ``rank, head, cases, steps, share_pct, example``."""
-    table = variant_table(log) if table is None else table
+    """The most common paths, ties by the path itself: ``rank, head, cases, steps, share_pct, example``.
+
+    First steps settle most ties. Where paths that may be among the first ``limit`` agree in them, the rest of
+    their steps is put in order, whatever its length.
+    """
+    table = materialize(variant_table(log)) if table is None else table
     total = table.agg(F.sum("cases")).first()[0] or 0
-    order = [F.desc("cases"), F.asc("head"), F.asc("variant")]
-    ranked = table.orderBy(*order).limit(limit)
+    order = [F.desc("cases"), F.asc("head")]
+    last = table.orderBy(*order).limit(limit).agg(F.min("cases"), F.max_by("head", F.struct(-F.col("cases"), F.col("head")))).first()
+    near = table
+    if last[0] is not None:
+        near = table.filter((F.col("cases") > last[0]) | ((F.col("cases") == last[0]) & (F.col("head") <= F.lit(last[1]))))
+    seen = near.agg(F.count("*").alias("n"), F.countDistinct("cases", "head").alias("different")).first()
+    if seen["n"] > seen["different"]:
+        near = near.join(paths.lexical_places(_later_steps(log, near), "variant", "_pos", ACTIVITY), "variant", "left")
+        order.append(F.asc_nulls_first("place"))
+    ranked = near.orderBy(*order).limit(limit)
     place = Window.orderBy(*order)  # at most ``limit`` rows
     return ranked.select(
         F.row_number().over(place).alias("rank"), "head", "cases", "steps",
@@ -156,6 +169,13 @@ def top_variants(log: EventLog, table: DataFrame | None = None, limit: int = TOP
     )
 
 
+def _later_steps(log: EventLog, variants: DataFrame) -> DataFrame:
+    """``variant, _pos, activity`` of the steps behind ``head``, from the example case of each variant."""
+    longer = variants.filter(F.col("steps") > HEAD_STEPS).select("variant", "example")
+    later = log.sequence.with_position("_pos").rows().filter(F.col("_pos") > HEAD_STEPS)
+    return later.join(longer, F.col(CASE) == F.col("example")).select("variant", "_pos", ACTIVITY)
+
+
 def variant_paths(log: EventLog, best: DataFrame) -> DataFrame:
     """``rank, position, activity``: every step of the chosen paths, read from their example cases."""
     placed = log.sequence.with_position("position").rows()

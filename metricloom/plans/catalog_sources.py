@@ -174,6 +174,11 @@ def _(t):
     return mart.page(t.orders, "o_orderkey", 25, 50)
 
 
+@query("src12_stored_page", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 1240")
+def _(t):
+    return mart.store_pages(t.orders, "o_orderkey", scratch(t, "pages"), block_rows=500).page(25, 1240)
+
+
 @query(
     "src13_span_quality",
     """SELECT o_custkey AS doc, count(*) AS spans, round(avg(c), 4) AS mean, min(c) AS lowest, count(*) FILTER (WHERE c < 0.75) AS low, count(*) FILTER (WHERE c < 0.75)::DOUBLE / count(*) > 0.15 AS needs_review
@@ -256,17 +261,23 @@ def _(t):
     return models.measure_importance(t.supplier, "s_acctbal", ["s_suppkey", "s_nationkey"]).refused
 
 
+def vector_columns(t, *extra):
+    """Every element of the vectors as a column ``e0, e1, ...``, and their names."""
+    width = t.embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"e{i}" for i in range(width)]
+    return t.embeddings.select(*extra, *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)]), names
+
+
 @query("sta12_clusters")
 def _(t):
-    width = 8
-    rows = t.embeddings.select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)])
+    rows, names = vector_columns(t, "label")
     # Labelled vectors, moved apart by label: the groups are known.
-    moved = rows.select(*[(F.col(f"e{i}") + (F.col("label") % 3 == i % 3).cast("double") * 2).alias(f"e{i}") for i in range(width)])
-    out = models.find_clusters(moved, [f"e{i}" for i in range(width)])
+    moved = rows.select(*[(F.col(c) + (F.col("label") % 3 == i % 3).cast("double") * 2).alias(c) for i, c in enumerate(names)])
+    out = models.find_clusters(moved, names)
     return out.metrics.filter("stat IN ('count', 'silhouette', 'rows', 'size')").select("key", "value")
 
 
 @query("sta12_refused")
 def _(t):
-    rows = t.embeddings.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(6)])
-    return models.find_clusters(rows, [f"e{i}" for i in range(6)]).refused.select("op", "reason", "required")
+    rows, names = vector_columns(t)
+    return models.find_clusters(rows, names).refused.select("op", "reason", "required")
