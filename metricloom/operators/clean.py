@@ -3,6 +3,9 @@
 A rule takes the table and returns the new table and its log. Logs have the schema
 ``rule_id, column, row_index, before, after, reason``; ``row_index`` is the table's row
 id, -1 for a note about a whole column.
+
+Rules that change cells are first compiled to an ``Edit``. A plan writes what consecutive edits change into one array
+column beside the cells and stores the table once for all of them; the log is read from what was stored.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ from metricloom.functions import dates, numbers, text, words
 from metricloom.operators import variants
 from metricloom.operators.common import stacked
 from metricloom.operators.profile import _quoted, cells
+from metricloom.session import materialize
 
 ROW_ID = "_row_id"
 MISSING_FLAG = "_missing_required"
+CHANGES = "_changes"
 MAX_LOSS_PCT = 5.0
 DIFF_SCHEMA = "rule_id string, column string, row_index bigint, before string, after string, reason string"
 # Names of the columns that an unpivot makes.
@@ -57,6 +62,56 @@ class Rule:
 
 
 Result = tuple[DataFrame, DataFrame]
+Change = tuple[Column, Column, Column, str]
+
+
+@dataclass(frozen=True)
+class Edit:
+    """A rule as columns of one projection: the new cells and, per column, (changed?, before, after, reason).
+
+    ``df`` is the table with the ``helpers`` that these columns read; they go afterwards. ``notes`` are log rows about whole columns.
+    """
+
+    df: DataFrame
+    new: Mapping[str, Column] = field(default_factory=dict)
+    changes: Mapping[str, Change] = field(default_factory=dict)
+    notes: Sequence[tuple] = ()
+    helpers: Sequence[str] = ()
+
+    def table(self) -> DataFrame:
+        return self.df.withColumns(dict(self.new)).drop(*self.helpers)
+
+    def entries(self, rule: Rule) -> Column:
+        """The changes of one row as an array of log entries."""
+        return F.array_compact(F.array(*[
+            F.when(hit, F.struct(
+                F.lit(rule.rule_id).alias("rule_id"), F.lit(name).alias("column"), F.coalesce(before.cast("string"), F.lit("")).alias("before"),
+                F.coalesce(after.cast("string"), F.lit("")).alias("after"), F.lit(reason).alias("reason")))
+            for name, (hit, before, after, reason) in self.changes.items()
+        ]))
+
+    def alone(self, rule: Rule) -> Result:
+        """The new table and the log, for a rule that runs by itself."""
+        log = _logged(self.df.withColumn(CHANGES, self.entries(rule))) if self.changes else _no_log(self.df)
+        return self.table(), log.unionByName(_notes(self.df, list(self.notes))) if self.notes else log
+
+    def tracked(self, rule: Rule) -> DataFrame:
+        """The new table with the changes added to those of earlier rules."""
+        known = [F.col(CHANGES)] if CHANGES in self.df.columns else []
+        noted = self.df.withColumn(CHANGES, F.concat(*known, self.entries(rule))) if self.changes else self.df
+        return noted.withColumns(dict(self.new)).drop(*self.helpers)
+
+
+def _logged(df: DataFrame) -> DataFrame:
+    """The log kept beside the cells, as rows."""
+    return df.select(F.col(ROW_ID).cast("bigint").alias("row_index"), F.explode(CHANGES).alias("e")).select(
+        "e.rule_id", "e.column", "row_index", "e.before", "e.after", "e.reason")
+
+
+def _staged(df: DataFrame, new: Mapping[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+    """New cells as helper columns, so that each is computed once for the cell and for its log entry."""
+    names = {c: f"_after{i}" for i, c in enumerate(new)}
+    return df.withColumns({names[c]: e for c, e in new.items()}), {c: F.col(n) for c, n in names.items()}
 
 
 def _no_log(df: DataFrame) -> DataFrame:
@@ -69,7 +124,7 @@ def _notes(df: DataFrame, rows: list[tuple]) -> DataFrame:
 
 def _targets(rule: Rule, df: DataFrame) -> list[str]:
     if not rule.columns:
-        return [c for c in df.columns if c != ROW_ID]
+        return [c for c in df.columns if c not in (ROW_ID, CHANGES)]
     missing = [c for c in rule.columns if c not in df.columns]
     if missing:
         raise RuleError(f"rule '{rule.rule_id}' names columns that do not exist: {missing}")
@@ -81,41 +136,28 @@ def _text_targets(rule: Rule, df: DataFrame) -> list[str]:
     return [c for c in _targets(rule, df) if isinstance(kinds[c], T.StringType)]
 
 
-def _log_changes(df: DataFrame, rule: Rule, changes: Mapping[str, tuple[Column, Column, Column, str]]) -> DataFrame:
-    """Log entries of one pass: per column (changed?, before, after, reason)."""
-    if not changes:
-        return _no_log(df)
-    entries = [
-        F.when(hit, F.struct(F.lit(name).alias("column"), before.cast("string").alias("before"), after.cast("string").alias("after"), F.lit(reason).alias("reason")))
-        for name, (hit, before, after, reason) in changes.items()
-    ]
-    return df.select(F.col(ROW_ID).cast("bigint").alias("row_index"), F.explode(F.array_compact(F.array(*entries))).alias("e")).select(
-        F.lit(rule.rule_id).alias("rule_id"), "e.column", "row_index", F.coalesce("e.before", F.lit("")).alias("before"),
-        F.coalesce("e.after", F.lit("")).alias("after"), "e.reason",
-    )
+def _rewrite(df: DataFrame, new: Mapping[str, Column], reason: str) -> Edit:
+    """Replace cells and log those that differ."""
+    staged, after = _staged(df, new)
+    changes = {c: (~_quoted(c).eqNullSafe(e), _quoted(c), e, reason) for c, e in after.items()}
+    return Edit(staged, after, changes, helpers=[f"_after{i}" for i in range(len(new))])
 
 
-def _rewrite(df: DataFrame, rule: Rule, new: Mapping[str, Column], reason: str, hit: Callable[[Column, Column], Column] | None = None) -> Result:
-    hit = hit or (lambda before, after: ~before.eqNullSafe(after))
-    log = _log_changes(df, rule, {c: (hit(_quoted(c), e), _quoted(c), e, reason) for c, e in new.items()})
-    return df.withColumns(dict(new)), log
+def _trim(df: DataFrame, rule: Rule) -> Edit:
+    return _rewrite(df, {c: text.strip(_quoted(c)) for c in _text_targets(rule, df)}, "surrounding white space removed")
 
 
-def trim_whitespace(df: DataFrame, rule: Rule) -> Result:
-    return _rewrite(df, rule, {c: text.strip(_quoted(c)) for c in _text_targets(rule, df)}, "surrounding white space removed")
-
-
-def normalize_unicode_nfc(df: DataFrame, rule: Rule) -> Result:
+def _nfc(df: DataFrame, rule: Rule) -> Edit:
     """Only cells outside ASCII can be in another form, so only their values reach Python."""
     new = {}
     for c in _text_targets(rule, df):
         cell = _quoted(c)
         odd = cell.rlike(r"[^\x00-\x7F]")
         new[c] = F.when(odd, words.nfc(F.when(odd, cell))).otherwise(cell)
-    return _rewrite(df, rule, new, "Unicode normal form")
+    return _rewrite(df, new, "Unicode normal form")
 
 
-def replace_sentinel_with_null(df: DataFrame, rule: Rule) -> Result:
+def _sentinels(df: DataFrame, rule: Rule) -> Edit:
     sentinels = rule.params.get("sentinels")
     if not isinstance(sentinels, (list, tuple)) or not sentinels:
         raise RuleError(f"rule '{rule.rule_id}' needs 'sentinels', a list of values; they are never guessed")
@@ -123,10 +165,10 @@ def replace_sentinel_with_null(df: DataFrame, rule: Rule) -> Result:
         raise RuleError(f"rule '{rule.rule_id}' needs its columns named: on a whole table it would erase meaningful zeros")
     wanted = [str(s) for s in sentinels]
     new = {c: F.when(~_quoted(c).cast("string").isin(wanted), _quoted(c)) for c in _targets(rule, df)}
-    return _rewrite(df, rule, new, "sentinel to empty")
+    return _rewrite(df, new, "sentinel to empty")
 
 
-def standardize_datetime(df: DataFrame, rule: Rule) -> Result:
+def _datetimes(df: DataFrame, rule: Rule) -> Edit:
     zone = rule.params.get("assume_timezone")
     if not isinstance(zone, str) or not zone:
         raise RuleError(f"rule '{rule.rule_id}' needs 'assume_timezone'; it is never guessed")
@@ -149,7 +191,7 @@ def standardize_datetime(df: DataFrame, rule: Rule) -> Result:
             hits[c] = (cell.isNotNull() & (cell != "") & parsed.isNull(), cell, F.lit(""), "not readable as a moment")
         else:
             new[c] = F.to_utc_timestamp(dates.as_moment(cell, kinds[c]), zone)
-    return df.withColumns(new), _log_changes(df, rule, hits)
+    return Edit(df, new, hits)
 
 
 def conventions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -189,12 +231,12 @@ def conventions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return shape.select("column", "readable", "numeric", "only_international", "only_local", convention.alias("convention"), refusal.alias("refusal"), example.alias("example"))
 
 
-def cast_numeric_safe(df: DataFrame, rule: Rule) -> Result:
+def _numbers(df: DataFrame, rule: Rule) -> Edit:
     """The whole column decides: mostly numbers and one convention, otherwise it stays and the log says why."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     targets = [c for c in _targets(rule, df) if isinstance(kinds[c], T.StringType)]
     if not targets:
-        return df, _no_log(df)
+        return Edit(df)
     decided = {r["column"]: r for r in conventions(df, targets).collect()}  # one row per column
     new, hits, notes = {}, {}, []
     for c in targets:
@@ -215,26 +257,20 @@ def cast_numeric_safe(df: DataFrame, rule: Rule) -> Result:
             if readable and (readable - failed[f"f{i}"]) / readable < numbers.NUMERIC_SHARE:
                 notes = [n for n in notes if n[1] != c] + [(rule.rule_id, c, -1, "kept", "kept", "not a numeric column")]
                 del new[c], hits[c]
-    log = _log_changes(df, rule, hits)
-    return df.withColumns(new), log.unionByName(_notes(df, notes)) if notes else log
+    return Edit(df, new, hits, notes)
 
 
-def _map_values(df: DataFrame, rule: Rule, mapping: DataFrame, columns: Sequence[str], reason: str) -> Result:
+def _map_values(df: DataFrame, mapping: DataFrame, columns: Sequence[str], reason: str, notes: Sequence[tuple] = ()) -> Edit:
     """Replace cells through ``column, value, after``. The mapping holds distinct values only;
     whether it is broadcast is left to the planner's size check."""
-    log = _no_log(df)
-    out = df
-    for c in columns:
-        one = mapping.filter(F.col("column") == c).select(F.col("value").alias("_from"), F.col("after").alias("_to"))
-        joined = out.join(one, _quoted(c) == F.col("_from"), "left")
-        log = log.unionByName(
-            joined.filter(F.col("_to").isNotNull()).select(
-                F.lit(rule.rule_id).alias("rule_id"), F.lit(c).alias("column"), F.col(ROW_ID).cast("bigint").alias("row_index"),
-                _quoted(c).alias("before"), F.col("_to").alias("after"), F.lit(reason).alias("reason"),
-            )
-        )
-        out = joined.withColumn(c, F.coalesce("_to", _quoted(c))).drop("_from", "_to")
-    return out, log
+    out, after = df, {}
+    for i, c in enumerate(columns):
+        one = mapping.filter(F.col("column") == c).select(F.col("value").alias(f"_from{i}"), F.col("after").alias(f"_to{i}"))
+        out = out.join(one, _quoted(c) == F.col(f"_from{i}"), "left")
+        after[c] = F.col(f"_to{i}")
+    new = {c: F.coalesce(e, _quoted(c)) for c, e in after.items()}
+    changes = {c: (e.isNotNull(), _quoted(c), e, reason) for c, e in after.items()}
+    return Edit(out, new, changes, notes, [f"_{x}{i}" for i in range(len(columns)) for x in ("from", "to")])
 
 
 def _counts_with_share(df: DataFrame, targets: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -246,23 +282,23 @@ def _counts_with_share(df: DataFrame, targets: Sequence[str]) -> tuple[DataFrame
     return counts, shape
 
 
-def merge_text_variants(df: DataFrame, rule: Rule) -> Result:
+def _one_spelling(df: DataFrame, rule: Rule) -> Edit:
     targets = _text_targets(rule, df)
     if not targets:
-        return df, _no_log(df)
+        return Edit(df)
     counts, shape = _counts_with_share(df, targets)
     wordy = shape.filter(F.col("numbers") / F.col("readable") < numbers.NUMERIC_SHARE)
     forms = variants.canonical_forms(counts.join(F.broadcast(wordy), "column", "left_semi"), ["column"], "value", "n")
     mapping = forms.select("column", "value", F.col("kept").alias("after")).cache()  # rewritten spellings only
     touched = [r["column"] for r in mapping.select("column").distinct().collect()]  # at most one row per column
-    return _map_values(df, rule, mapping, [c for c in targets if c in touched], "one spelling per value")
+    return _map_values(df, mapping, [c for c in targets if c in touched], "one spelling per value")
 
 
-def cast_words_to_numbers(df: DataFrame, rule: Rule) -> Result:
+def _spoken(df: DataFrame, rule: Rule) -> Edit:
     """Spelled-out numbers become digits where at least 90 % of the column reads as numbers."""
     targets = _text_targets(rule, df)
     if not targets:
-        return df, _no_log(df)
+        return Edit(df)
     counts, shape = _counts_with_share(df, targets)
     spelled = counts.filter(numbers.to_double(F.col("value")).isNull()).withColumn("after", words.spoken_numbers("value").cast("string")).filter("after IS NOT NULL").cache()
     understood = shape.join(spelled.groupBy("column").agg(F.sum("n").alias("spelled")), "column", "left").filter("distinct >= 2")
@@ -273,22 +309,21 @@ def cast_words_to_numbers(df: DataFrame, rule: Rule) -> Result:
             notes.append((rule.rule_id, r["column"], -1, "kept", "kept", "not a column of spelled-out numbers"))
         elif r["spelled"]:
             good.append(r["column"])
-    out, log = _map_values(df, rule, spelled.select("column", "value", "after"), [c for c in targets if c in good], "number written in words")
-    return out, log.unionByName(_notes(df, notes)) if notes else log
+    return _map_values(df, spelled.select("column", "value", "after"), [c for c in targets if c in good], "number written in words", notes)
 
 
 def drop_exact_duplicates(df: DataFrame, rule: Rule) -> Result:
-    """Keep the first row of equal ones. The rank filter is a per-group limit of one, applied before the shuffle."""
+    """Keep the first row of equal ones. First rows are found by an aggregate that starts where the rows are, so a
+    row with very many copies reaches no task whole; kept and dropped rows are read from one stored table."""
     keys = _targets(rule, df)
-    first = Window.partitionBy(*[_quoted(c) for c in keys]).orderBy(ROW_ID)
-    kept = df.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    gone = df.select(ROW_ID).join(kept.select(ROW_ID), ROW_ID, "left_anti")
+    first = df.groupBy(*[_quoted(c) for c in keys]).agg(F.min(ROW_ID).alias("_first")).select(F.col("_first").alias(ROW_ID), F.lit(True).alias("_first"))
+    marked = materialize(df.join(first, ROW_ID, "left").select(*[_quoted(c) for c in df.columns], F.coalesce("_first", F.lit(False)).alias("_first")))
     name = ",".join(rule.columns) if rule.columns else "*"
-    log = gone.select(
+    log = marked.filter(~F.col("_first")).select(
         F.lit(rule.rule_id).alias("rule_id"), F.lit(name).alias("column"), F.col(ROW_ID).cast("bigint").alias("row_index"),
         F.lit("duplicate row").alias("before"), F.lit("").alias("after"), F.lit("duplicate row dropped").alias("reason"),
     )
-    return kept, log
+    return marked.filter("_first").drop("_first"), log
 
 
 def unpivot_periods(df: DataFrame, rule: Rule) -> Result:
@@ -322,30 +357,49 @@ def unpivot_periods(df: DataFrame, rule: Rule) -> Result:
     return out.select(ROW_ID, *[_quoted(c) for c in (*keep, PERIOD_COLUMN, VALUE_COLUMN)]), log.unionByName(cast_log)
 
 
-def flag_missing_required(df: DataFrame, rule: Rule) -> Result:
+def _missing(df: DataFrame, rule: Rule) -> Edit:
     required = _targets(rule, df)
     missing = F.lit(False)
     for c in required:
         missing = missing | _quoted(c).isNull() | (_quoted(c).cast("string") == "")
-    out = df.withColumn(MISSING_FLAG, missing)
-    log = out.filter(MISSING_FLAG).select(
-        F.lit(rule.rule_id).alias("rule_id"), F.lit(",".join(required)).alias("column"), F.col(ROW_ID).cast("bigint").alias("row_index"),
-        F.lit("").alias("before"), F.lit("True").alias("after"), F.lit("required value missing").alias("reason"),
-    )
-    return out, log
+    return Edit(df, {MISSING_FLAG: missing}, {",".join(required): (missing, F.lit(""), F.lit("True"), "required value missing")})
+
+
+EDITS: dict[str, Callable[[DataFrame, Rule], Edit]] = {
+    "trim_whitespace": _trim,
+    "normalize_unicode_nfc": _nfc,
+    "replace_sentinel_with_null": _sentinels,
+    "standardize_datetime": _datetimes,
+    "cast_numeric_safe": _numbers,
+    "merge_text_variants": _one_spelling,
+    "cast_words_to_numbers": _spoken,
+    "flag_missing_required": _missing,
+}
+#: Edits that look at the whole table before they decide; what came before is stored first.
+DECIDED = ("standardize_datetime", "cast_numeric_safe", "merge_text_variants", "cast_words_to_numbers")
+
+
+def _run_alone(rule_id: str) -> Callable[[DataFrame, Rule], Result]:
+    def run(df: DataFrame, rule: Rule) -> Result:
+        return EDITS[rule_id](df, rule).alone(rule)
 
+    run.__name__, run.__doc__ = rule_id, EDITS[rule_id].__doc__
+    return run
 
-RULES: dict[str, Callable[[DataFrame, Rule], Result]] = {
-    "trim_whitespace": trim_whitespace,
-    "normalize_unicode_nfc": normalize_unicode_nfc,
-    "replace_sentinel_with_null": replace_sentinel_with_null,
-    "standardize_datetime": standardize_datetime,
-    "cast_numeric_safe": cast_numeric_safe,
-    "merge_text_variants": merge_text_variants,
-    "cast_words_to_numbers": cast_words_to_numbers,
+
+trim_whitespace = _run_alone("trim_whitespace")
+normalize_unicode_nfc = _run_alone("normalize_unicode_nfc")
+replace_sentinel_with_null = _run_alone("replace_sentinel_with_null")
+standardize_datetime = _run_alone("standardize_datetime")
+cast_numeric_safe = _run_alone("cast_numeric_safe")
+merge_text_variants = _run_alone("merge_text_variants")
+cast_words_to_numbers = _run_alone("cast_words_to_numbers")
+flag_missing_required = _run_alone("flag_missing_required")
+
+#: Rules that change the number of rows.
+RESIZING: dict[str, Callable[[DataFrame, Rule], Result]] = {
     "drop_exact_duplicates": drop_exact_duplicates,
     "unpivot_periods": unpivot_periods,
-    "flag_missing_required": flag_missing_required,
 }
 
 
@@ -371,25 +425,46 @@ class CleanOutcome:
 
 def apply_rules(df: DataFrame, plan: Sequence[Rule]) -> CleanOutcome:
     """Run a plan in the fixed order. ``df`` carries its row id in ``_row_id``."""
-    unknown = [r.rule_id for r in plan if r.rule_id not in RULES]
+    unknown = [r.rule_id for r in plan if r.rule_id not in RULE_ORDER]
     if unknown:
         raise RuleError(f"unknown rules {unknown}; allowed: {', '.join(RULE_ORDER)}")
     for rule in plan:
         extra = sorted(set(rule.params) - set(RULE_PARAMETERS[rule.rule_id]))
         if extra:
             raise RuleError(f"rule '{rule.rule_id}' does not take {extra}")
+    if CHANGES in df.columns:
+        raise RuleError(f"the name '{CHANGES}' is taken")
     rows_in = rows = df.count()
-    removed, applied, logs, out = 0, [], [], df
-    for rule_id in RULE_ORDER:
-        for rule in (r for r in plan if r.rule_id == rule_id):
-            out, log = RULES[rule_id](out, rule)
-            logs.append(log)
-            applied.append(rule_id)
-            if rule_id in ("drop_exact_duplicates", *RESHAPING):  # the only rules that change the number of rows
-                after = out.count()
-                removed += 0 if rule_id in RESHAPING else rows - after
-                rows = after
-    return CleanOutcome(out, stacked(logs) if logs else _no_log(df), rows_in, rows, removed, tuple(applied))
+    removed, logs, notes, out = 0, [], [], df
+    ordered = sorted(plan, key=lambda r: RULE_ORDER.index(r.rule_id))
+    for rule in ordered:
+        if rule.rule_id in (*DECIDED, *RESIZING):
+            out = _settled(out, logs)
+        if rule.rule_id in EDITS:
+            edit = EDITS[rule.rule_id](out, rule)
+            notes += edit.notes
+            out = edit.tracked(rule)
+            continue
+        out, log = RESIZING[rule.rule_id](out, rule)
+        if rule.rule_id in RESHAPING:
+            out = materialize(out)
+        logs.append(log)
+        after = out.count()
+        removed += 0 if rule.rule_id in RESHAPING else rows - after
+        rows = after
+    out = _settled(out, logs)
+    if notes:
+        logs.append(_notes(df, notes))
+    return CleanOutcome(out, stacked(logs) if logs else _no_log(df), rows_in, rows, removed, tuple(r.rule_id for r in ordered))
+
+
+def _settled(df: DataFrame, logs: list[DataFrame]) -> DataFrame:
+    """Store the table if edits are pending; their log is read from what was stored."""
+    if CHANGES not in df.columns:
+        return df
+    stored = materialize(df)
+    logs.append(_logged(stored))
+    return stored.drop(CHANGES)
 
 
 def summarise_diff(diff: DataFrame, examples: int = 3) -> DataFrame:
