@@ -26,6 +26,8 @@ MIN_PHRASE = 2
 MAX_MENTIONS = 20
 MAX_TERMS = 40
 MAX_METRIC_TERMS = 20
+HOT_GRAMS = 20_000
+HOT_CHARS = 200
 BANDS = ("nen", "vua", "hiem")  # fixed values: background, middle, rare
 
 # Words without content (Vietnamese without accents, then English).
@@ -290,6 +292,20 @@ def _grams(source: Column) -> Column:
     return F.concat(words, pairs)
 
 
+def _with_spread(counted: DataFrame, hot_grams: int = HOT_GRAMS) -> DataFrame:
+    """Add ``df``, the number of texts of each gram.
+
+    Grams with at least one in ``hot_grams`` of all rows are at most ``hot_grams`` in number, so the counts of those up to ``HOT_CHARS``
+    characters long are broadcast; only the rows of rarer (or longer) ones are shuffled to theirs.
+    """
+    spread = materialize(counted.groupBy("gram").agg(F.count("*").alias("df")))
+    least = -(-counted.count() // hot_grams)
+    is_hot = (F.col("df") >= least) & (F.length("gram") <= HOT_CHARS)
+    hot = F.broadcast(spread.filter(is_hot))
+    rest = counted.join(hot, "gram", "left_anti").join(spread.filter(~is_hot), "gram")
+    return counted.join(hot, "gram").unionByName(rest)
+
+
 def relevance(df: DataFrame, key: str, source: str, question: str, threshold: float = RELEVANT) -> DataFrame:
     """Cosine of 1-2-gram TF-IDF (sublinear, smoothed) of every text with a question.
 
@@ -301,9 +317,8 @@ def relevance(df: DataFrame, key: str, source: str, question: str, threshold: fl
     asked = spark.createDataFrame([(None, question, True)], "_k string, _t string, _q boolean")
     counted = mine.unionByName(asked).select("_k", "_q", F.explode(_grams(F.col("_t"))).alias("gram")).groupBy("_k", "_q", "gram").agg(F.count("*").alias("tf"))
     total = mine.count() + 1
-    spread = counted.groupBy("gram").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0 + total) / (1.0 + F.col("df"))) + 1.0
-    weighted = counted.join(spread, "gram").select("_k", "_q", "gram", ((1.0 + F.log("tf")) * idf).alias("w"))
+    weighted = _with_spread(materialize(counted)).select("_k", "_q", "gram", ((1.0 + F.log("tf")) * idf).alias("w"))
     # The question is one text: its weights are few and known to be few.
     query = weighted.filter("_q").select("gram", F.col("w").alias("q"))
     norm = query.agg(F.sqrt(F.sum(F.col("q") ** 2))).first()[0] or 0.0

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricloom import scale
-from metricloom.operators import process, stats
+from metricloom.operators import process, stats, textmine
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +95,12 @@ def test_spearman_split(skewed, tiny_groups):
     cov = sum((x - ma) * (y - mb) for x, y in zip(a, b))
     want = cov / (sum((x - ma) ** 2 for x in a) * sum((y - mb) ** 2 for y in b)) ** 0.5
     assert rho == pytest.approx(want)
+
+
+@pytest.mark.parametrize("hot_grams", [1, 3, 1000])
+def test_frequent_and_rare_grams_meet_their_counts(spark, hot_grams):
+    rows = [(i, g) for i in range(60) for g in ("everywhere", f"tenth {i % 10}", f"own {i}", "long" * 60)]
+    counted = spark.createDataFrame(rows, "k long, gram string")
+    spread = Counter(g for _, g in rows)
+    got = textmine._with_spread(counted, hot_grams)
+    assert sorted((r["k"], r["gram"], r["df"]) for r in got.collect()) == sorted((k, g, spread[g]) for k, g in rows)
