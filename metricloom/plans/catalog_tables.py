@@ -226,8 +226,9 @@ def _(t):
     wide = F.when(F.col("o_orderkey") % 400 == 0, 50000.0).otherwise((F.col("o_orderkey") % 7) * 1.5)
     bands = t.orders.select("o_orderkey", (F.col("o_totalprice") - (F.col("o_orderkey") % 50) * 2.0).alias("lo"), (F.col("o_totalprice") + wide).alias("hi"))
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
-    joined = intervals.interval_join(lines, bands, "l_extendedprice", "lo", "hi", closed=True)
-    return joined.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("bands"), F.min("o_orderkey").alias("first_band"))
+    fold = {"bands": (F.sum, F.lit(1)), "first_band": (F.min, F.col("o_orderkey"))}
+    joined = intervals.interval_join(lines, bands, "l_extendedprice", "lo", "hi", closed=True, fold=fold)
+    return joined.groupBy("l_orderkey", "l_linenumber").agg(F.sum("bands").alias("bands"), F.min("first_band").alias("first_band"))
 
 
 @query(

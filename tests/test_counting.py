@@ -165,3 +165,25 @@ def test_many_rules_in_one_pass(spark):
         assert duty[f"sod:{a}__vs__{b}"] == (sum(map(len, guilty.values())), ", ".join(sorted({w for _, w in guilty})[:3]))
     plan = process.sequence_order(log, pairs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") <= 2  # the log, and the rules
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_folded_bands_equal_the_pairs(spark, tiny_groups, closed):
+    draw = random.Random(5)
+    rows = [(i, draw.choice([None, float("nan"), -0.0, 0.0, *[round(draw.uniform(-9, 99), 1) for _ in range(60)]])) for i in range(300)]
+    ends = [(b, *(lambda at, w: (at, at + w))(round(draw.uniform(-20, 99), 1), draw.choice([-1.0, 0.0, 0.3, 4.0, 60.0, float("inf")]))) for b in range(200)]
+    ends += [(200, None, 5.0), (201, 1.0, float("nan")), (202, -0.0, 0.0), (203, 0.0, 0.0), (204, float("-inf"), float("inf"))]
+    df, bands = spark.createDataFrame(rows, "n int, v double"), spark.createDataFrame(ends, "band int, lo double, hi double")
+    pairs = intervals.interval_join(df, bands, "v", "lo", "hi", closed=closed).groupBy("n").agg(F.count("*").alias("c"), F.min("band").alias("m"))
+    fold = {"c": (F.sum, F.lit(1)), "m": (F.min, F.col("band"))}
+    folded = intervals.interval_join(df, bands, "v", "lo", "hi", closed=closed, fold=fold).select("n", "c", "m")
+    assert sorted(map(tuple, folded.collect())) == sorted(map(tuple, pairs.collect()))
+    assert intervals.interval_join(df.limit(0), bands, "v", "lo", "hi", fold=fold).count() == 0
+    assert intervals.interval_join(df, bands.limit(0), "v", "lo", "hi", fold=fold).count() == 0
+
+
+def test_folding_makes_no_pairs(spark):
+    """Three thousand rows that all lie in three thousand bands: nine million pairs."""
+    df, bands = spark.range(3000).select(F.col("id").cast("double").alias("v")), spark.range(3000).select((-F.col("id") - 1.0).alias("lo"), (F.col("id") + 3000.0).alias("hi"))
+    folded = intervals.interval_join(df, bands, "v", "lo", "hi", fold={"c": (F.sum, F.lit(1))})
+    assert folded.agg(F.min("c"), F.max("c"), F.count("*")).first()[:] == (3000, 3000, 3000)
