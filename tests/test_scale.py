@@ -3,6 +3,8 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,34 @@ def test_frequent_and_rare_grams_meet_their_counts(spark, hot_grams):
     spread = Counter(g for _, g in rows)
     got = textmine._with_spread(counted, hot_grams)
     assert sorted((r["k"], r["gram"], r["df"]) for r in got.collect()) == sorted((k, g, spread[g]) for k, g in rows)
+
+
+def test_tokens_of_a_task_against_plain_python():
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice(["alpha", "beta", "the", "x", "12,5%", "-3", "gamma_1", "!"]) if draw.random() < 0.2 else draw.choice(["beta", "delta"]) for _ in range(n)) for n in (0, 1, 40, 300, 90)]
+    read = textmine._read_texts(texts)
+    tok = [[(w, i) for i, w in enumerate(t.replace("!", " ").split())] for t in texts]
+    content = lambda w: w[0].isalpha() and len(w) > 1 and w != "the"
+    words = [(r, i, w, any(abs(i - j) <= textmine.REACH and not v[0].isalpha() for v, j in own)) for r, own in enumerate(tok) for w, i in own if content(w)]
+    at = np.flatnonzero(read.content)
+    assert list(zip(read.row[at].tolist(), read.pos[at].tolist(), read.terms.take(pa.array(at)).to_pylist(), read.near(at).tolist())) == words
+    pairs = [(r, i) for r, own in enumerate(tok) for (v, i), (w, _) in zip(own, own[1:]) if content(v) and content(w) and v != w]
+    assert list(zip(read.row[read.pairs()].tolist(), read.pos[read.pairs()].tolist())) == pairs
+
+
+def test_texts_are_read_in_chunks_and_counted_in_the_task(monkeypatch):
+    monkeypatch.setattr(textmine, "CHUNK_CHARS", 10)
+    batch = pa.RecordBatch.from_pydict({"text": ["aa bb aa", "x" * 30, "cc", None, "dd"]})
+    assert [c.num_rows for c in textmine._chunks([batch])] == [2, 3]
+    read = textmine._read_texts(["aa bb aa bb cc"] * 50)
+    found = textmine._folded(read.terms.take(pa.array(read.pairs())), read.terms.take(pa.array(read.pairs() + 1)), read.near(read.pairs()))
+    assert sorted((r["a"], r["b"], r["turned"], r["n"]) for b in found for r in b.to_pylist()) == [("aa", "bb", False, 100), ("aa", "bb", True, 50), ("bb", "cc", False, 50)]
+
+
+def test_texts_of_one_key_are_scored_together(spark):
+    df = spark.createDataFrame([(1, "red fox"), (1, "red hen"), (2, "red fox red hen"), (None, "hen"), (None, "fox"), (3, "")], "k long, t string")
+    found = textmine.relevance(df, "k", "t", "red fox").orderBy("k", "score").collect()
+    assert [r["k"] for r in found] == [None, None, "1", "1", "2", "3"]
+    assert found[0]["score"] == found[1]["score"] > 0 and found[2]["score"] == found[3]["score"] > 0 and found[5]["score"] == 0
+    marked = textmine._with_spread(df.select(F.col("k"), F.explode(F.split("t", " ")).alias("gram")), 2)
+    assert {(r["gram"], r["df"]) for r in marked.collect()} == {("red", 4), ("fox", 3), ("hen", 3), ("", 1)}
