@@ -114,8 +114,10 @@ def _(t):
     message = F.concat(
         F.lit("From: s"), "s_suppkey", F.lit("@example.com\nSubject: Account "), "s_name", F.lit("\nContent-Type: text/plain; charset=utf-8\n\nBalance "), "s_acctbal", F.lit("\n-\n")
     )
-    mails = t.supplier.select(message.alias("value"), "s_suppkey")
-    mails.repartition(F.col("s_suppkey")).write.partitionBy("s_suppkey").text(path)
+    # One file per key, messages of one key below each other.
+    lines = F.array_sort(F.collect_list(F.coalesce(message, F.lit(""))))
+    mails = t.supplier.groupBy("s_suppkey").agg(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("content"))
+    sinks.write_files(mails.select(F.concat(F.lit("mail-"), F.coalesce(F.col("s_suppkey").cast("string"), F.lit("none")), F.lit(".eml")).alias("name"), "content"), path)
     return markup.read_email(t.spark, path).select("text")
 
 

@@ -33,7 +33,7 @@ class HeadReader(DataSourceReader):
         self.folder, self.glob, self.limit = options["path"], options.get("glob", "*"), int(options["bytes"])
 
     def partitions(self) -> list[PathList]:
-        system, root = _opened(self.folder)
+        system, root = opened(self.folder)
         info = system.get_file_info(root)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.folder)
@@ -46,7 +46,7 @@ class HeadReader(DataSourceReader):
         return [PathList(found[k : k + TASK_FILES]) for k in range(0, len(found), TASK_FILES)] or [PathList([])]
 
     def read(self, partition: PathList) -> Iterator[pa.RecordBatch]:
-        system, _ = _opened(self.folder)
+        system, _ = opened(self.folder)
         rows: list[tuple[str, int, bytes]] = []
         held = 0
         for path, size in partition.paths:
@@ -72,7 +72,7 @@ class HeadSource(DataSource):
         return HeadReader(self.options)
 
 
-def _opened(folder: str) -> tuple[fs.FileSystem, str]:
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or address, and the path inside it."""
     system, root = fs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
     return system, root.rstrip("/")

@@ -5,9 +5,12 @@ from __future__ import annotations
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metricloom.sources.heads import opened
+
 LAYERS = ("raw", "extracted", "staging", "clean", "mart", "profile", "validation", "artifacts")
 
 
@@ -120,3 +123,20 @@ def read_run(spark: SparkSession, base: str, name: str, run_id: str) -> DataFram
     if newest is None:
         raise LookupError(f"run '{run_id}' has no table '{name}'")
     return spark.read.parquet(f"{newest['folder']}/{name}")
+
+
+def write_files(df: DataFrame, folder: str) -> None:
+    """One file for each row ``name, content`` (names must differ). The tasks write them side by side through the file system of the folder; nothing is renamed
+    one by one at the end. A task that runs again writes the same files again."""
+
+    def write(batches):
+        system, root = opened(folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                with system.open_output_stream(f"{root}/{name}") as stream:
+                    stream.write(content.encode())
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    written = df.select(F.col("name").cast("string"), F.col("content").cast("string")).mapInArrow(write, "files bigint")
+    written.agg(F.sum("files")).collect()
