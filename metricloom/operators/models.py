@@ -32,6 +32,7 @@ MIN_GAP = 0.08
 MIN_CLUSTER_ROWS = 5
 DRAWN_ROWS = 1000  # of a cluster, to measure distances to it
 SCORED_ROWS = 1024  # at a time
+TASK_ROWS = 20_000  # of a forest: every row is followed through all its trees
 
 
 class ModelError(ValueError):
@@ -55,6 +56,12 @@ def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[numbers.numeric(_quoted(c), kinds[c]).alias(f"x{i}") for i, c in enumerate(columns)]).dropna()
 
 
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """Rows in enough partitions for their number: a small file is one partition however many rows it holds."""
+    parts = min(-(-rows // TASK_ROWS), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parts) if parts > df.rdd.getNumPartitions() else df
+
+
 def measure_importance(df: DataFrame, outcome: str, features: Sequence[str], *, trees: int = TREES, depth: int = DEPTH) -> Outcome:
     """Which features help to guess the outcome, from five forests with different seeds.
 
@@ -79,7 +86,7 @@ def measure_importance(df: DataFrame, outcome: str, features: Sequence[str], *,
         return refuse("too few usable rows", seen["n"], need)
     if seen["lo"] == seen["hi"]:
         return refuse("the outcome does not vary", 1, 2)
-    points = VectorAssembler(inputCols=names, outputCol="features").transform(data).cache()
+    points = VectorAssembler(inputCols=names, outputCol="features").transform(_dealt(data, seen["n"])).cache()
     scores, orders, shares = [], [], [0.0] * len(wanted)
     evaluator = RegressionEvaluator(labelCol=label, metricName="r2")
     try:
