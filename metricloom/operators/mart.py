@@ -6,9 +6,9 @@ import uuid
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from metricloom import scale
 from metricloom.functions import numbers
@@ -20,6 +20,8 @@ EXPLOSION = 10
 FEW_ROWS = 5
 PAGE_ROWS = 1_000_000
 PAGE_BLOCK = "_page_block"
+PAGE_FILE = "_page_file"
+FILE_ROWS = 500_000  # at least, in a folder of many small blocks
 #: Leaves of a plan that hold no table: constants, number ranges, and references to the statement's own WITH parts.
 FREE_LEAVES = ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef")
 
@@ -150,31 +152,37 @@ class Pages:
     row_id: str
 
     def page(self, limit: int, offset: int = 0) -> DataFrame:
-        """Rows ``offset`` to ``offset + limit`` in row order; reads the blocks that hold them and no others."""
+        """Rows ``offset`` to ``offset + limit`` in row order; reads the folders that hold them, and of a folder the parts with their blocks."""
         hit = (
             self.index.filter((F.col("first_row") < offset + limit) & (F.col("first_row") + F.col("rows") > offset))
-            .agg(F.min("first_row"), F.collect_list("block")).first()  # as many blocks as the page spans
+            .agg(F.min("first_row"), F.collect_set("file"), F.min("block"), F.max("block")).first()  # as many folders as the page spans
         )
         spark = self.index.sparkSession
         if not hit[1]:
             return spark.createDataFrame([], self.schema)
-        parts = [f"{self.folder}/rows/{PAGE_BLOCK}={block}" for block in sorted(hit[1])]
-        return spark.read.schema(self.schema).parquet(*parts).orderBy(self.row_id).offset(offset - hit[0]).limit(limit)
+        parts = [f"{self.folder}/rows/{PAGE_FILE}={file}" for file in sorted(hit[1])]
+        rows = spark.read.schema(StructType([*self.schema.fields, StructField(PAGE_BLOCK, LongType())])).parquet(*parts).filter(F.col(PAGE_BLOCK).between(hit[2], hit[3]))
+        return rows.drop(PAGE_BLOCK).orderBy(self.row_id).offset(offset - hit[0]).limit(limit)
 
 
 def store_pages(df: DataFrame, row_id: str, folder: str, block_rows: int = PAGE_ROWS) -> Pages:
     """Store ``df`` in blocks of about ``block_rows`` rows in the order of ``row_id`` (unique), and an index of the blocks.
 
-    The first row of a block is a running sum over the index, so finding a page costs the same at any offset.
+    Many small blocks share a folder, so tasks and files grow with the rows and not with the blocks. The number of a block is stored beside its rows, which lie
+    in order, and a stored page of a column holds no more rows than a block: reading a block passes over the rest of its folder. The first row of a block is a
+    running sum over the index, so finding a page costs the same at any offset.
     """
-    if PAGE_BLOCK in df.columns:
-        raise MartError(f"the name '{PAGE_BLOCK}' is taken")
-    blocks = max(1, -(-df.count() // block_rows))
-    ranged = df.repartitionByRange(blocks, row_id).withColumn(PAGE_BLOCK, F.spark_partition_id())
-    ranged.write.partitionBy(PAGE_BLOCK).parquet(f"{folder}/rows")
+    if {PAGE_BLOCK, PAGE_FILE} & set(df.columns):
+        raise MartError(f"the names '{PAGE_BLOCK}' and '{PAGE_FILE}' are taken")
+    folders = max(1, -(-df.count() // max(block_rows, FILE_ROWS)))
+    ranged = df.repartitionByRange(folders, row_id).withColumn(PAGE_FILE, F.spark_partition_id())
+    place = F.rank().over(Window.partitionBy(PAGE_FILE).orderBy(row_id)) - 1  # equal ids stay in one block
+    block = F.col(PAGE_FILE).cast("bigint") * 2**32 + F.floor(place / block_rows)
+    placed = ranged.withColumn(PAGE_BLOCK, block)
+    placed.write.option("parquet.page.row.count.limit", block_rows).partitionBy(PAGE_FILE).parquet(f"{folder}/rows")
     spark = df.sparkSession
-    stored = spark.read.schema(ranged.schema).parquet(f"{folder}/rows")
-    counted = stored.groupBy(F.col(PAGE_BLOCK).alias("block")).agg(F.count("*").alias("rows"))
+    stored = spark.read.schema(placed.schema).parquet(f"{folder}/rows")
+    counted = stored.groupBy(F.col(PAGE_BLOCK).alias("block"), F.col(PAGE_FILE).alias("file")).agg(F.count("*").alias("rows"))
     summed = scale.Sequenced(counted, [], ["block"]).with_running_sum("end", "rows").rows()
-    summed.select("block", "rows", (F.col("end") - F.col("rows")).alias("first_row")).write.parquet(f"{folder}/index")
-    return Pages(spark.read.schema("block int, rows bigint, first_row bigint").parquet(f"{folder}/index"), folder, df.schema, row_id)
+    summed.select("block", "file", "rows", (F.col("end") - F.col("rows")).alias("first_row")).write.parquet(f"{folder}/index")
+    return Pages(spark.read.schema("block bigint, file int, rows bigint, first_row bigint").parquet(f"{folder}/index"), folder, df.schema, row_id)
