@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from metricloom.operators import mart, models, process
@@ -136,14 +135,12 @@ def xes_file(t):
     cases = joined.groupBy("c_custkey", "c_mktsegment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", event.alias("e")))), lambda x: x["e"]), "").alias("events"))
     trace = F.concat(F.lit("<trace>"), attr("string", "concept:name", F.col("c_custkey").cast("string")), attr("string", "Segment", F.col("c_mktsegment")), "events", F.lit("</trace>"))
 
-
-    def document(batches):
-        """Every part file is one well-formed document."""
-        yield pd.DataFrame({"value": ["<log>"]})
-        yield from batches
-        yield pd.DataFrame({"value": ["</log>"]})
-
-    cases.select(trace.alias("value")).mapInPandas(document, "value string").write.text(path)
+    # Every folder holds one well-formed document: its opening row, its traces, its closing row. A trace of any length stays in the JVM.
+    documents = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    ends = t.spark.range(documents).select(F.col("id").cast("int").alias("document"), F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(v).alias("value")) for k, v in ((0, "<log>"), (2, "</log>"))])).alias("e"))
+    traces = cases.select(F.pmod(F.hash("c_custkey"), F.lit(documents)).cast("int").alias("document"), F.lit(1).alias("place"), trace.alias("value"))
+    rows = traces.unionByName(ends.select("document", "e.place", "e.value"))
+    rows.repartition(documents, "document").sortWithinPartitions("document", "place").select("document", "value").write.partitionBy("document").text(path)
     return path
 
 
