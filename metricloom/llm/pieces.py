@@ -32,8 +32,9 @@ from pyspark.sql import types as T
 from metricloom.llm.common import column, small_batches, text_bytes
 
 BLANK = "▁"
-#: Bytes of text encoded at once, words that a partition remembers, and the word length from which words are folded singly.
-CHUNK = 500_000
+#: Bytes of text encoded at once (small batches are put together; every call of numpy then has more words to do), words that a partition remembers,
+#: and the word length from which words are folded singly.
+CHUNK = 2_000_000
 REMEMBERED = 500_000
 LONG = 48
 OF_POINTS = 0x9E3779B97F4A7C15
@@ -368,6 +369,19 @@ def coders_of(model_file: str) -> tuple[Encoder, _Decoder]:
     return Encoder(pieces), _Decoder(pieces)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts, in column ``place``, have about ``CHUNK`` bytes, or that are given larger."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(place).nbytes
+        if size >= CHUNK:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids", *, check: str | None = None, keep_text: bool = True) -> DataFrame:
     """``df`` with the ids of ``text`` as an array column, and on request with a column ``check`` that says whether
     decoding them gives the text back. Columns of these names are replaced."""
@@ -380,7 +394,7 @@ def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Memory(encoder)
-        for batch in batches:
+        for batch in _gathered(batches, place):
             data, offsets = text_bytes(batch.column(place))
             at = 0
             while at < batch.num_rows:

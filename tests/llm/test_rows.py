@@ -262,6 +262,18 @@ def test_long_words_fold_alike():
     assert encoder.fold(word)[0].tolist() == encoder.fold_long(word[0]).tolist()
 
 
+def test_small_batches_are_folded_together(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(pieces, "CHUNK", 4_000)
+    texts = [None if k % 7 == 0 else f"row {k} " + "x" * (9_000 if k == 300 else 20) for k in range(600)]
+    table = pa.table({"n": list(range(600)), "t": texts})
+    found = list(pieces._gathered(iter(table.to_batches(max_chunksize=5)), 1))
+    assert [v for b in found for v in b.column(1).to_pylist()] == texts and [v for b in found for v in b.column(0).to_pylist()] == list(range(600))
+    assert len(found) < 12 and all(b.num_rows < 300 for b in found)
+    assert list(pieces._gathered(iter([]), 0)) == []
+
+
 def test_decoding_bad_bytes(spark):
     df = spark.createDataFrame([([3 + 0xC3],), ([],), (None,)], "ids array<int>")
     assert [r[0] for r in df.select(pieces.decoded(F.col("ids"), MODEL)).collect()] == ["�", "", None]
