@@ -117,6 +117,27 @@ def sample(df: DataFrame, text: str, label: str, row_id: str, rows: int, longest
     return sorted((r["l"], r["t"]) for r in picked)
 
 
+class _Bags:
+    """Buckets of each text and how often it has them. Two long arrays hold those of all texts: thousands of small ones would leave
+    the driver's memory in pieces that do not go back to the system."""
+
+    def __init__(self, texts: list[str]):
+        most = sum(max(0, len(t.encode()) - k + 1) for t in texts for k in ORDERS)
+        self.index, self.n = np.empty(most, np.min_scalar_type((1 << BITS) - 1)), np.empty(most, np.uint32)  # what is not written takes no memory
+        self.ends = np.zeros(len(texts) + 1, np.int64)
+        for i, t in enumerate(texts):
+            data, at = _LOWER[np.frombuffer(t.encode(), np.uint8)], self.ends[i]
+            found = [_buckets(data, k) for k in ORDERS if len(data) >= k]
+            index, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint32), np.zeros(0, int))
+            self.ends[i + 1] = to = at + len(index)
+            self.index[at:to], self.n[at:to] = index, n
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of text ``i`` and the share of each."""
+        some = slice(self.ends[i], self.ends[i + 1])
+        return self.index[some], self.n[some] / max(1, int(self.n[some].sum()))
+
+
 def train(labelled: list[tuple[str, str]], *, epochs: int = 6, rate: float = 6.0, reject_share: float = 0.001, seed: int = 7) -> LanguageModel | None:
     """A model of the labelled texts, None if there are none."""
     languages = tuple(sorted({l for l, _ in labelled}))
@@ -126,19 +147,14 @@ def train(labelled: list[tuple[str, str]], *, epochs: int = 6, rate: float = 6.0
     order = rng.permutation(len(labelled))
     held = set(order[: len(order) // 5].tolist())
     wanted = np.array([languages.index(l) for l, _ in labelled])
-    bags = []
-    for i, (_, t) in enumerate(labelled):
-        data = _LOWER[np.frombuffer(t.encode(), np.uint8)]
-        found = [_buckets(data, k) for k in ORDERS if len(data) >= k]
-        index, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint32), np.zeros(0, int))
-        bags.append((index, n / max(1, n.sum())))
+    bags = _Bags([t for _, t in labelled])
     vectors = rng.standard_normal((1 << BITS, DIMENSIONS)) / DIMENSIONS
     heads = np.zeros((DIMENSIONS, len(languages)))
     own = [i for i in range(len(labelled)) if i not in held]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(own):
-            index, share = bags[i]
+            index, share = bags.of(i)
             mean = share @ vectors[index]
             slope = _softmax(mean @ heads)
             slope[wanted[i]] -= 1

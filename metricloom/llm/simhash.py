@@ -326,8 +326,8 @@ def _measured(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", F.coalesce(F.try_divide(common, every) >= similarity, F.lit(True)).alias("alike"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs that are alike, as many as are needed for the components; a pair inside one is passed over."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Those of the pairs that are alike, as many as are needed for the components, and these components; a pair inside one is passed over."""
     left = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     held = None
     for k in range(ROUNDS + 1):
@@ -335,15 +335,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
         asked = materialize(_measured(asked, sets, similarity))
         good = asked.filter("alike").select("a", "b")
         held = good if held is None else held.unionByName(good)
+        roots = components(held)
         if k == ROUNDS:
             break
-        roots = components(held)
         ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b")]
         left = left.join(asked.select("a", "b"), ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
         left = materialize(left.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
         if left.isEmpty():
             break
-    return held
+    return held, roots
 
 
 def similar(distinct: DataFrame, sets_of, similarity: float, wide: int = WIDE) -> DataFrame:
@@ -352,15 +352,14 @@ def similar(distinct: DataFrame, sets_of, similarity: float, wide: int = WIDE) -
     pairs = materialize(candidates(distinct, similarity, wide))
     met = components(pairs)
     sets = materialize(sets_of(met.select(F.col("node").alias("fp"))))
-    held = _confirmed(pairs, sets, similarity)
-    sure = components(held).select("node", F.col("root").alias("own"))
-    both = met.join(sure, "node", "left").select("root", F.col("node").alias("fp"), F.coalesce("own", "node").alias("own"))
+    held, sure = _confirmed(pairs, sets, similarity)
+    both = met.join(sure.select("node", F.col("root").alias("own")), "node", "left").select("root", F.col("node").alias("fp"), F.coalesce("own", "node").alias("own"))
     broken = both.groupBy("root").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
     broken = broken.filter("n > 2 AND low <> high").select("root")  # of two nodes the only link has been measured
     again = materialize(both.join(broken, "root", "left_semi").join(sets, "fp"))
-    if not again.isEmpty():
-        held = held.unionByName(materialize(_rejoined(again, similarity, _width(similarity, wide)[1])))
-    return components(held)
+    if again.isEmpty():
+        return sure
+    return components(held.unionByName(materialize(_rejoined(again, similarity, _width(similarity, wide)[1]))))
 
 
 def _rejoined(parts: DataFrame, similarity: float, budget: int) -> DataFrame:
@@ -443,9 +442,10 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = materialize(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("root")))
         while True:
             upper = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = materialize(hooks.join(upper, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+            once = hooks.join(upper, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+            jumped = materialize(once.join(upper, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
             hooks = jumped.select("node", "root")
-            if jumped.filter("moved").isEmpty():
+            if jumped.filter("moved").isEmpty():  # two steps led every node to the end of its hooks
                 break
         if found is None:
             found = hooks

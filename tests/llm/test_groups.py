@@ -51,6 +51,24 @@ def test_components_of_a_long_path(spark):
     assert len({found[n] for n in names[:200]}) == 1
 
 
+def test_components_store_few_tables(spark, monkeypatch):
+    """Every stored table is a job that the driver keeps account of."""
+    stored, plain = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df: stored.append(1) or plain(df))
+    found = simhash.components(spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a bigint, b bigint"))
+    assert {(r["node"], r["root"]) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)}
+    assert len(stored) == 4  # edges, hooks, hooks followed to their ends in one go, no edges
+
+
+def test_components_are_found_once(spark, monkeypatch):
+    asked, plain = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: asked.append(1) or plain(edges))
+    words = " ".join(f"w{k}" for k in range(200))
+    df = spark.createDataFrame([(3, words), (1, words + " end"), (2, "something else"), (4, None)], "doc_id int, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [1, 2, 4]
+    assert len(asked) == 2  # of the candidates, and of the links that are right
+
+
 def test_keep_one(docs, rows, no_docs):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns

@@ -219,6 +219,18 @@ def test_language_rejects_what_it_never_learned(wrong):
     assert rejected(unlearned) > 0.9 and rejected(gibberish) > 0.9
 
 
+def test_training_leaves_no_small_arrays():
+    """Thousands of small arrays, freed, stay with the process; the buckets of all texts are in two long ones."""
+    texts = ["Naïve text, naïve", "", "a", "ab ab", "x" * 700]
+    bags = language._Bags(texts)
+    assert all(bags.of(k)[0].base is bags.index for k in range(len(texts)))
+    for k, text in enumerate(texts):
+        data = language._LOWER[np.frombuffer(text.encode(), np.uint8)]
+        count = Counter(b for order in language.ORDERS if len(data) >= order for b in language._buckets(data, order).tolist())
+        index, share = bags.of(k)
+        assert dict(zip(index.tolist(), share.tolist())) == {b: n / sum(count.values()) for b, n in count.items()}
+
+
 def test_language_without_labels(docs, no_docs):
     assert language.fit(no_docs) is None
     found = language.identify(docs, None)
