@@ -335,7 +335,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> tuple[Da
         asked = materialize(_measured(asked, sets, similarity))
         good = asked.filter("alike").select("a", "b")
         held = good if held is None else held.unionByName(good)
-        roots = components(held)
+        roots = materialize(components(held))  # read several times
         if k == ROUNDS:
             break
         ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b")]
@@ -350,10 +350,11 @@ def similar(distinct: DataFrame, sets_of, similarity: float, wide: int = WIDE) -
     """``node, root`` of the fingerprints that hang together by candidates whose shingle sets are as similar as asked. ``sets_of`` gives
     ``fp, held`` for a table of fingerprints."""
     pairs = materialize(candidates(distinct, similarity, wide))
-    met = components(pairs)
+    met = materialize(components(pairs))
     sets = materialize(sets_of(met.select(F.col("node").alias("fp"))))
     held, sure = _confirmed(pairs, sets, similarity)
-    both = met.join(sure.select("node", F.col("root").alias("own")), "node", "left").select("root", F.col("node").alias("fp"), F.coalesce("own", "node").alias("own"))
+    both = met.join(sure.select("node", F.col("root").alias("own")), "node", "left")
+    both = materialize(both.select("root", F.col("node").alias("fp"), F.coalesce("own", "node").alias("own")))
     broken = both.groupBy("root").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
     broken = broken.filter("n > 2 AND low <> high").select("root")  # of two nodes the only link has been measured
     again = materialize(both.join(broken, "root", "left_semi").join(sets, "fp"))
