@@ -14,6 +14,7 @@ from metricloom import scale
 from metricloom.functions import numbers
 from metricloom.operators.common import side_by_side
 from metricloom.operators.profile import _quoted, _types
+from metricloom.sources import runs
 
 MAX_ROWS = 50_000_000
 EXPLOSION = 10
@@ -90,13 +91,73 @@ def run_sql(sql: str, tables: Mapping[str, DataFrame], args: Mapping | None = No
     return result
 
 
+def _repeated(result: DataFrame) -> tuple[DataFrame, int] | None:
+    """The different lines of a join with how often each occurs, and the number of rows, if all its columns come from one side, its condition is that columns
+    are equal, and a line occurs ``EXPLOSION`` times or more on average. A row of that side occurs as often as its keys do on the other side, so
+    the other side is counted by key instead of being joined row by row."""
+    plan = result._jdf.queryExecution().optimizedPlan()
+    join = plan.child() if plan.nodeName() == "Project" else None
+    if join is None or join.nodeName() != "Join" or join.joinType().sql() != "INNER" or not plan.deterministic():
+        return None
+    sides = [join.left(), join.right()]
+    if not plan.references().subsetOf(sides[0].outputSet()):
+        sides.reverse()
+        if not plan.references().subsetOf(sides[0].outputSet()):
+            return None
+    keys, open_terms = [[], []], [join.condition().get()] if join.condition().isDefined() else []
+    while open_terms:
+        term = open_terms.pop()
+        if term.nodeName() == "And":
+            open_terms += [term.left(), term.right()]
+            continue
+        ends = [term.left(), term.right()] if term.nodeName() == "EqualTo" else []
+        if [e.nodeName() for e in ends] != ["AttributeReference"] * 2:
+            return None
+        if not sides[0].outputSet().contains(ends[0]):
+            ends.reverse()
+        for held, end in zip(keys, ends):
+            held.append(end)
+    if not keys[0]:
+        return None
+    session, jvm = result.sparkSession, result.sparkSession._jvm
+
+    def columns(side, shown) -> DataFrame:
+        chosen = jvm.org.apache.spark.api.python.PythonUtils.toSeq(shown)
+        node = jvm.org.apache.spark.sql.catalyst.plans.logical.Project(chosen, side)
+        return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(result._jdf.sparkSession(), node), session)
+
+    places, names = [f"k{i}" for i in range(len(keys[0]))], [f"c{i}" for i in range(len(result.columns))]
+    own = plan.projectList()
+    lines = columns(sides[0], [*[own.apply(i) for i in range(own.size())], *keys[0]]).toDF(*names, *places)
+    times = columns(sides[1], keys[1]).toDF(*places).groupBy(*places).agg(F.count("*").alias("times"))
+    counted = lines.groupBy(*places).agg(F.count("*").alias("lines")).join(times, places)
+    size = counted.agg(F.sum("lines").alias("lines"), F.sum(F.col("lines").cast("decimal(38)") * F.col("times")).cast("bigint").alias("rows")).first()
+    if not size["rows"] or size["rows"] < EXPLOSION * size["lines"]:
+        return None
+    return lines.join(times, places).select(*names, "times"), size["rows"]
+
+
+def _qualified(session: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark gives it."""
+    named = session._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).makeQualified(named).toString()
+
+
 def build_mart(sql: str, tables: Mapping[str, DataFrame], path: str, *, max_rows: int = MAX_ROWS) -> Mart:
     """Run, store and check the size of a mart. The statement runs once and is written by all tasks; rows are counted while
-    they are written, and a result that is too large is emptied again."""
+    they are written, and a result that is too large is emptied again. Where a join repeats its lines, they are counted first and stored as runs."""
     result = run_sql(sql, tables)
-    seen = Observation()
-    result.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").parquet(path)
-    rows_out = seen.get["rows"]
+    folder = _qualified(result.sparkSession, path)
+    repeated = _repeated(result) if runs.can_hold(result.schema, folder) else None
+    if repeated is not None:
+        rows_out = repeated[1]
+        result.limit(0).write.mode("overwrite").parquet(path)
+        if rows_out <= max_rows:
+            rows_out = runs.write_runs(repeated[0], result.schema, folder)
+    else:
+        seen = Observation()
+        result.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").parquet(path)
+        rows_out = seen.get["rows"]
     if rows_out > max_rows:
         result.limit(0).write.mode("overwrite").parquet(path)
         raise MartError(f"the result has {rows_out:,} rows, more than {max_rows:,}; a join may lack a condition")
